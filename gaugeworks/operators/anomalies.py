@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import bucket, rounded
-from gaugeworks.operators.chunks import CARRIED, CHUNK, chunk_of, with_history
+from gaugeworks.operators.chunks import CARRIED, CHUNK, SMALL, in_chunks, with_history
 from gaugeworks.schema import DEVICE_METRICS
 
 ORDER = ("timestamp", "msg_id")
 
 
 def detect_spikes(
-    ev: DataFrame, metric: str, factor: float = 2.0, n: int = 20, chunk: str = "1 hour"
+    ev: DataFrame, metric: str, factor: float = 2.0, n: int = 20, chunk: str = "1 hour", small: int = SMALL
 ) -> DataFrame:
     """Values at least ``factor`` times the mean of the ``n`` readings before, or of opposite sign."""
     rows = ev.filter(F.col(metric).isNotNull()).select("device_id", *ORDER, F.col(metric).alias("value"))
-    led = with_history(rows, ["device_id"], ORDER, n, chunk)
+    led = with_history(in_chunks(rows, ["device_id"], "timestamp", chunk, small), ["device_id"], ORDER, n)
     before = Window.partitionBy("device_id", CHUNK).orderBy(*ORDER).rowsBetween(-n, -1)
     total = F.sum("value").over(before).cast("double")
     count = F.count("value").over(before)
@@ -48,14 +48,16 @@ def _new_run() -> Column:
     return (~F.col("value").eqNullSafe(F.lag("value").over(previous))).cast("int")
 
 
-def detect_stuck(ev: DataFrame, metric: str, min_run: int = 5, chunk: str = "1 hour") -> DataFrame:
+def detect_stuck(
+    ev: DataFrame, metric: str, min_run: int = 5, chunk: str = "1 hour", small: int = SMALL
+) -> DataFrame:
     """Runs of at least ``min_run`` equal consecutive values.
 
     Runs are found inside each chunk. Only the first and last run of a chunk can go on in another
     one; those, two per device and chunk at most, are joined up in a second, small pass.
     """
     rows = ev.filter(F.col(metric).isNotNull()).select("device_id", *ORDER, F.col(metric).alias("value"))
-    rows = rows.withColumn(CHUNK, chunk_of("timestamp", chunk)).withColumn("_new", _new_run())
+    rows = in_chunks(rows, ["device_id"], "timestamp", chunk, small).withColumn("_new", _new_run())
     inside = Window.partitionBy("device_id", CHUNK).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     runs = (
         rows.withColumn("_run", F.sum("_new").over(inside))

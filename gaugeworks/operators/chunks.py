@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.timing import span_seconds
@@ -18,21 +18,46 @@ CHUNK = "_chunk"
 CARRIED = "_carried"
 
 
-def chunk_of(col: Column | str, length: str) -> Column:
-    """Number of the stretch of time a row falls into."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(span_seconds(length) * 1_000_000)).cast("long")
+# A group larger than this share of all rows is cut further, so fewer than 1 / SHARE groups are.
+SHARE = 1e-5
+SMALL = 1_000_000
 
 
-def with_history(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, length: str = "1 hour") -> DataFrame:
-    """Rows cut into chunks, each chunk led by the ``n`` rows that precede it in its series.
+def in_chunks(
+    rows: DataFrame, keys: Sequence[str], time_col: str, length: str = "1 hour", small: int = SMALL
+) -> DataFrame:
+    """Rows with the number of their chunk; chunks of a series are ordered like its time.
+
+    A chunk is a stretch of ``length``. Where a series has very many rows in one stretch (more than
+    ``small`` and more than ``SHARE`` of the table), the stretch is cut into as many equal parts as
+    its size asks for. At most 1 / SHARE such stretches can exist, whatever the data, which is what
+    makes broadcasting their list safe.
+    """
+    us = F.unix_micros(F.col(time_col).cast("timestamp"))
+    width = span_seconds(length) * 1_000_000
+    group = [*keys, "_slot"]
+    rows = rows.withColumn("_slot", F.floor(us / F.lit(width)).cast("long"))
+
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    limit = F.greatest(F.lit(float(small)), sizes.agg(F.sum("_size") * F.lit(SHARE)).scalar())
+    crowded = sizes.filter(F.col("_size") > limit).select(*group, F.ceil(F.col("_size") / limit).alias("_parts"))
+
+    inside = F.floor((us - F.col("_slot") * width) / F.lit(width) * F.coalesce("_parts", F.lit(1))).cast("long")
+    return (
+        rows.join(F.broadcast(crowded), group, "left")
+        .withColumn(CHUNK, F.col("_slot") * F.lit(int(2 / SHARE)) + inside)
+        .drop("_slot", "_parts")
+    )
+
+
+def with_history(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """Chunked rows (``in_chunks``), each chunk led by the ``n`` rows that precede it in its series.
 
     Carried rows are marked in ``_carried``; a window of up to ``n`` preceding rows over (keys,
     chunk) then sees what it would see over the whole series. A row is carried into at most the
     next ``n`` chunks, and only where fewer than ``n`` rows lie in between, so carried rows number
     at most n per chunk. The tails come from a rank limit that Spark applies before the shuffle.
     """
-    rows = rows.withColumn(CHUNK, chunk_of(order[0], length))
     group = [*keys, CHUNK]
 
     back = F.row_number().over(Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order]))

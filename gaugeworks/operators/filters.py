@@ -22,7 +22,7 @@ def trailing(ev: DataFrame, span: str, as_of=None) -> DataFrame:
     bound = since(ev, span, as_of)
     recent = ev.filter(F.col("timestamp") >= bound)
     if "yyyymm" in ev.columns and as_of is not None:
-        recent = recent.filter(F.col("yyyymm") >= month_of(bound))
+        recent = recent.filter(F.col("yyyymm").cast("string") >= month_of(bound))
     return recent
 
 
@@ -78,7 +78,8 @@ def anomaly_points(
 ) -> DataFrame:
     """Raw out-of-range values, by minute and device."""
     out = trailing(ev, span, as_of).filter((F.col(metric) > hi) | (F.col(metric) < lo))
-    return out.select(bucket("timestamp", "minute").alias("minute"), "device_id", metric).orderBy("minute")
+    in_order = out.orderBy("timestamp", "msg_id")
+    return in_order.select(bucket("timestamp", "minute").alias("minute"), "device_id", metric)
 
 
 def distinct_devices(ev: DataFrame, span: str = "1 day", as_of=None) -> DataFrame:

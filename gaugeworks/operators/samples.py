@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import percent, rounded, since
 from gaugeworks.functions.timing import span_seconds
-from gaugeworks.operators.chunks import CHUNK, chunk_of
+from gaugeworks.operators.chunks import CHUNK, SMALL, in_chunks
 
 NEWEST_LAST = ("ts", "value")
 
@@ -33,7 +33,7 @@ def _increase(value: Column, previous: Column) -> Column:
 
 def counter_rate(
     samples: DataFrame, name: str, span: str | None = "5 minutes", as_of=None, seconds: int | None = None,
-    chunk: str = "1 minute",
+    chunk: str = "1 minute", small: int = SMALL,
 ) -> DataFrame:
     """Per-second rate of every series of a counter over the span.
 
@@ -41,9 +41,8 @@ def counter_rate(
     the step from one chunk to the next is added from those.
     """
     length = seconds if seconds is not None else span_seconds(span)
-    rows = _named(samples, name, span, as_of).select(
-        series_id().alias("series"), "ts", "value", chunk_of("ts", chunk).alias(CHUNK)
-    )
+    rows = _named(samples, name, span, as_of).select(series_id().alias("series"), "ts", "value")
+    rows = in_chunks(rows, ["series"], "ts", chunk, small)
     inside = Window.partitionBy("series", CHUNK).orderBy(*NEWEST_LAST)
     steps = rows.withColumn("_up", _increase(F.col("value"), F.lag("value").over(inside)))
     per_chunk = steps.groupBy("series", CHUNK).agg(
@@ -101,4 +100,4 @@ def bucket_histogram(df: DataFrame, value: str, bounds: Sequence[float], labels:
         *within, F.count(value).alias("+Inf"),
         F.sum(value).cast("double").alias("sum"), F.count(value).alias("count"),
     )
-    return counted.unpivot([*labels, "sum", "count"], [*names, "+Inf"], "le", "bucket")
+    return counted.unpivot([*labels, "sum", "count"], [F.col(f"`{n}`") for n in [*names, "+Inf"]], "le", "bucket")

@@ -19,6 +19,9 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
     )
 
 
+_own_folder: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
@@ -27,11 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="gaugeworks-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _own_folder:
+        _own_folder[context.applicationId] = tempfile.mkdtemp(prefix="gaugeworks-")
+    return _own_folder[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -16,7 +16,10 @@ def zero_filled(ev: DataFrame) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, fmt: str = "parquet", missing_as_zero: bool = False) -> DataFrame:
-    """The wide events table with its declared schema; nothing is inferred from the files."""
+    """The wide events table with its declared schema; nothing is inferred from the files.
+
+    A month-partitioned table also shows its ``yyyymm`` column, which ``trailing`` prunes by.
+    """
     if fmt == "parquet":
         ev = spark.read.schema(EVENTS).parquet(path)
     elif fmt == "json":

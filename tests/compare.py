@@ -68,6 +68,7 @@ def session(cpus: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]").appName("gaugeworks-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     spark = tuned(builder).getOrCreate()
