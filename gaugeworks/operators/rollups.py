@@ -59,10 +59,11 @@ def merged_parts(rolled: DataFrame) -> list[Column]:
 
 
 def rollup(ev: DataFrame, grain: str = "minute", metrics: Sequence[str] | None = None) -> DataFrame:
-    """Partials per bucket, device, type and place."""
+    """Partials per bucket, device, type and place; by default of the quantities the frame has."""
     if grain not in GRAINS:
         raise ValueError(f"grain must be one of {GRAINS}")
-    chosen = metrics or (MINUTE_METRICS if grain == "minute" else HOUR_METRICS)
+    usual = MINUTE_METRICS if grain == "minute" else HOUR_METRICS
+    chosen = metrics or [m for m in usual if m in ev.columns]
     return ev.groupBy(bucket("timestamp", grain).alias("bucket"), *KEY[1:]).agg(*parts(chosen))
 
 
