@@ -97,11 +97,8 @@ def device_presence(notices: DataFrame, col: str = "message", tie: str = "seq")
 
     A notice without its own time (the broker sends it when a device is lost) ranks by arrival.
     """
-    m = F.from_json(col, PRESENCE)
-    parsed = notices.select(
-        "device_id", F.col(tie).alias("seq"),
-        m["online"].alias("online"), from_epoch_ms(m["timestamp"]).alias("at"),
-    )
+    read = notices.select("device_id", F.col(tie).alias("seq"), F.inline(F.array(F.from_json(col, PRESENCE))))
+    parsed = read.select("device_id", "seq", "online", from_epoch_ms("timestamp").alias("at"))
     newest_notice = F.max(F.struct("seq", "online", "at"))
     out = parsed.groupBy("device_id").agg(newest_notice.alias("n"), F.max("at").alias("last_notice"))
     return out.select("device_id", F.col("n.online").alias("online"), "last_notice")

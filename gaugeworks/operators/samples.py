@@ -16,7 +16,7 @@ NEWEST_LAST = ("ts", "value")
 
 def series_id(labels: str = "labels") -> Column:
     """The labels as JSON text in key order, so equal sets are one series."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(labels))))
 
 
 def _named(samples: DataFrame, name: str, span: str | None, as_of) -> DataFrame:

@@ -12,16 +12,23 @@ from gaugeworks.schema import ALT_MESSAGE, HEADER, MESSAGE, METRICS
 _CORRUPT = "_rejected"
 
 
+def _parsed_once(document: Column) -> Column:
+    """The fields of a parsed document as columns.
+
+    A generator, unlike a struct, is not repeated by the optimizer: filters and further columns on
+    the fields read its output, so a text is parsed once however often its fields are used.
+    """
+    return F.inline(F.array(document))
+
+
 def parse_messages(df: DataFrame, col: str = "message", time_type: str = "timestamp_ntz") -> DataFrame:
     """Flat JSON readings to typed columns; text that does not parse is kept in ``rejected``.
 
     A reading without a device or a usable time is rejected too: no later step could place it.
     """
     schema = T.StructType(MESSAGE.fields + [T.StructField(_CORRUPT, T.StringType())])
-    parsed = df.select(
-        F.col(col).alias("_text"),
-        F.from_json(col, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("m"),
-    ).select("_text", "m.*")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    parsed = df.select(F.col(col).alias("_text"), _parsed_once(F.from_json(col, schema, options)))
     parsed = parsed.withColumn("timestamp", from_iso("timestamp", time_type))
     bad = F.col(_CORRUPT).isNotNull() | F.col("timestamp").isNull() | F.col("device_id").isNull()
     return parsed.select(
@@ -36,13 +43,12 @@ def rejected_messages(parsed: DataFrame) -> DataFrame:
 
 def normalise_alt_messages(df: DataFrame, col: str = "message", time_type: str = "timestamp_ntz") -> DataFrame:
     """Messages of the load-test clients in the shape of the events table; padding is dropped."""
-    parsed = df.select(F.from_json(col, ALT_MESSAGE).alias("m"))
-    return parsed.select(
-        from_epoch_ms("m.timestamp", time_type).alias("timestamp"),
-        F.col("m.deviceId").alias("device_id"),
-        "m.temperature",
-        "m.humidity",
-        "m.pressure",
+    return df.select(_parsed_once(F.from_json(col, ALT_MESSAGE))).select(
+        from_epoch_ms("timestamp", time_type).alias("timestamp"),
+        F.col("deviceId").alias("device_id"),
+        "temperature",
+        "humidity",
+        "pressure",
     )
 
 

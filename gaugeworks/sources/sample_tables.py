@@ -6,11 +6,13 @@ be compressed so that minute-sized windows hold rows; every quantity is a decima
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.functions.timing import span_seconds
+from gaugeworks.functions.timing import instant, span_seconds
 from gaugeworks.schema import LOCATIONS, METRICS
 
 ORIGIN = "2024-01-01 00:00:00"
@@ -28,81 +30,77 @@ SOURCE = T.StructType(
 )
 
 _DEC = "decimal(12,3)"
+_EPOCH = dt.datetime(1970, 1, 1)
+_ORIGIN_US = (dt.datetime.fromisoformat(ORIGIN) - _EPOCH) // dt.timedelta(microseconds=1)
 
 
-def _origin_us() -> Column:
-    return F.unix_micros(F.lit(ORIGIN + "Z").cast("timestamp"))
-
-
-def _utc_us(ts: str) -> Column:
-    """Microseconds since 1970 of a time without zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
+def _tick_ms(us: int, compression: int) -> int:
+    """Whole milliseconds since the origin, after compression, of a stored time."""
+    return (us - _ORIGIN_US) // (1000 * compression)
 
 
-def _tick_ms(compression: int) -> Column:
-    """Whole milliseconds since the origin, after compression."""
-    return F.floor((_utc_us("ts") - _origin_us()) / F.lit(1000 * compression)).cast("long")
+def _time_sql(compression: int) -> str:
+    """The mapped time; Spark's side of ``_tick_ms``."""
+    us = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
+    tick = f"cast(floor(({us} - {_ORIGIN_US}) / {1000 * compression}) as bigint)"
+    return f"timestampadd(MICROSECOND, {tick} * 1000, timestamp_ntz'{ORIGIN}')"
 
 
-def _as_ntz(ms_since_origin: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", ms_since_origin * 1000, F.lit(ORIGIN).cast("timestamp_ntz"))
-
-
-def _device_name(number: Column) -> Column:
+def _device_sql(number: str) -> str:
     """Four digits at least; longer numbers keep all their digits."""
-    text = number.cast("string")
-    return F.concat(F.lit("device-"), F.lpad(text, F.greatest(F.length(text), F.lit(4)), F.lit("0")))
-
-
-def _columns(timestamp: Column) -> list[Column]:
-    user, k = F.col("user_id"), F.get_json_object("props", "$.k").cast("int")
-    kind = F.when(user % 10 < 4, "temperature-sensor").when(user % 10 < 7, "pressure-sensor").otherwise("multi-sensor")
-    has_temp = user % 10 < 4
-    has_pressure = (user % 10 >= 4) & (user % 10 < 7)
-    multi = user % 10 >= 7
-    number = lambda text: F.lit(text).cast("decimal(8,2)")
-    step = k.cast("decimal(8,0)")
-    site = F.element_at(F.array(*[F.lit(p) for p in LOCATIONS]), (user % 16 + 1).cast("int"))
-    status = (
-        F.when(F.col("event_type") == "error", "CRITICAL")
-        .when(F.col("event_type") == "purchase", "WARN")
-        .when(F.col("event_type") == "signup", "ERROR")
-        .otherwise("OK")
+    text = f"cast({number} as string)"
+    return f"concat('device-', lpad({text}, greatest(length({text}), 4), '0'))"
+
+
+def _site_sql(number: str) -> str:
+    names = ", ".join(f"'{p}'" for p in LOCATIONS)
+    return f"element_at(array({names}), cast({number} % {len(LOCATIONS)} + 1 as int))"
+
+
+def _thousandths(whole: str) -> str:
+    """A decimal with three places from a whole number of thousandths."""
+    return f"cast(({whole}) / 1000D as {_DEC})"
+
+
+# What each quantity is made of; u is the last digit of the user, k the number in props.
+_VALUES = {
+    "temperature": f"if(u < 4 or u >= 7, cast(cast(value as decimal(12,2)) * 0.2 + 15 as {_DEC}), null)",
+    "pressure": f"if(u >= 4, {_thousandths('1013250 + (k - 50) * 1400')}, null)",
+    "humidity": f"if(u < 4 or u >= 7, {_thousandths('30000 + k * 680')}, null)",
+    "voltage": _thousandths("3300 - event_id % 90 * 10"),
+    "light_intensity": f"if(u >= 7, {_thousandths('500000 + (k - 50) * 8000')}, null)",
+    "co2": f"if(u >= 7, {_thousandths('400000 + event_id % 200 * 1000')}, null)",
+    "vibration": f"if(u >= 7, {_thousandths('500 + event_id % 20 * 100')}, null)",
+    "power_consumption": f"if(u >= 7, {_thousandths('150000 + (k - 50) * 1000')}, null)",
+    "signal_strength": _thousandths("-70000 + (k - 50) * 300"),
+    "battery_level": _thousandths("100000 - event_id % 1000 * 100"),
+}
+
+
+def _mapped(src: DataFrame, compression: int, time_type: str = "timestamp_ntz") -> DataFrame:
+    """Stored events as telemetry. The number in ``props`` is parsed once per row, in its own step."""
+    parsed = src.selectExpr("*", "user_id % 10 as u", "cast(get_json_object(props, '$.k') as int) as k")
+    return parsed.selectExpr(
+        f"cast({_time_sql(compression)} as {time_type}) as timestamp",
+        f"{_device_sql('user_id + 1')} as device_id",
+        "case when u < 4 then 'temperature-sensor' when u < 7 then 'pressure-sensor' else 'multi-sensor' end as device_type",
+        f"{_site_sql('user_id')} as location",
+        "case event_type when 'error' then 'CRITICAL' when 'purchase' then 'WARN' when 'signup' then 'ERROR' "
+        "else 'OK' end as status",
+        "event_id as msg_id",
+        *[f"{_VALUES[m]} as {m}" for m in METRICS],
     )
-    turn = lambda n: (F.col("event_id") % n).cast("decimal(8,0)")
-    values = {
-        "temperature": F.when(
-            has_temp | multi, F.col("value").cast("decimal(12,2)") * number("0.2") + number("15")
-        ),
-        "pressure": F.when(has_pressure | multi, number("1013.25") + (step - 50) * number("1.4")),
-        "humidity": F.when(has_temp | multi, number("30") + step * number("0.68")),
-        "voltage": number("3.3") - turn(90) * number("0.01"),
-        "light_intensity": F.when(multi, number("500") + (step - 50) * number("8")),
-        "co2": F.when(multi, number("400") + turn(200)),
-        "vibration": F.when(multi, number("0.5") + turn(20) * number("0.1")),
-        "power_consumption": F.when(multi, number("150") + (step - 50)),
-        "signal_strength": number("-70") + (step - 50) * number("0.3"),
-        "battery_level": number("100") - turn(1000) * number("0.1"),
-    }
-    return [
-        timestamp.alias("timestamp"),
-        _device_name(user + 1).alias("device_id"),
-        kind.alias("device_type"),
-        site.alias("location"),
-        status.alias("status"),
-        F.col("event_id").alias("msg_id"),
-        *[values[m].cast(_DEC).alias(m) for m in METRICS],
-    ]
 
 
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(SOURCE).parquet(f"{sf_dir}/events.parquet")
 
 
-def newest_time(spark: SparkSession, sf_dir: str, compression: int = COMPRESSION):
+def newest_time(spark: SparkSession, sf_dir: str, compression: int = COMPRESSION) -> dt.datetime:
     """Newest time of the telemetry: one pass over the ``ts`` column, one value to the driver."""
-    top = _source(spark, sf_dir).agg(F.max(_as_ntz(_tick_ms(compression))).alias("t"))
-    return top.first()["t"]
+    top = _source(spark, sf_dir).agg(F.max("ts")).first()[0]
+    tick = _tick_ms((top - _EPOCH) // dt.timedelta(microseconds=1), compression)
+    return dt.datetime.fromisoformat(ORIGIN) + dt.timedelta(milliseconds=tick)
 
 
 def telemetry(
@@ -117,15 +115,14 @@ def telemetry(
     src = _source(spark, sf_dir)
     if within is not None:
         src = src.filter(F.col("ts") >= _stored_bound(within, as_of, compression))
-    return src.select(*_columns(_as_ntz(_tick_ms(compression))))
+    return _mapped(src, compression)
 
 
-def _stored_bound(within: str, as_of, compression: int) -> Column:
+def _stored_bound(within: str, as_of: dt.datetime, compression: int) -> Column:
     """The smallest stored time whose mapped time is not before ``as_of - within``."""
-    origin = F.lit(ORIGIN).cast("timestamp_ntz")
-    end = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
-    offset = F.timestamp_diff("MICROSECOND", origin, end) - F.lit(span_seconds(within) * 1_000_000)
-    return F.timestamp_add("MICROSECOND", offset * compression, origin)
+    origin = dt.datetime.fromisoformat(ORIGIN)
+    first = as_of - dt.timedelta(seconds=span_seconds(within))
+    return instant(origin + (first - origin) * compression)
 
 
 def telemetry_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
@@ -134,7 +131,7 @@ def telemetry_stream(spark: SparkSession, sf_dir: str, max_files: int | None = N
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     src = reader.parquet(sf_dir)
-    return src.select(*_columns(_as_ntz(_tick_ms(COMPRESSION)).cast("timestamp")))
+    return _mapped(src, COMPRESSION, "timestamp")
 
 
 def nested_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,12 +182,8 @@ def presence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def device_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Device names from ``customer``: customer n names device n."""
     cust = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return cust.select(
-        _device_name(F.col("c_custkey")).alias("device_id"),
-        F.col("c_name").alias("device_name"),
-        F.element_at(
-            F.array(*[F.lit(p) for p in LOCATIONS]), (F.col("c_custkey") % 16 + 1).cast("int")
-        ).alias("site"),
+    return cust.selectExpr(
+        f"{_device_sql('c_custkey')} as device_id", "c_name as device_name", f"{_site_sql('c_custkey')} as site"
     )
 
 
