@@ -17,11 +17,12 @@ Rule = tuple[str, str, float, str]
 def trailing(ev: DataFrame, span: str, as_of=None) -> DataFrame:
     """Rows of the last ``span`` before ``as_of`` (lower bound only, newer rows stay in).
 
-    On a month-partitioned table with a given ``as_of`` the bound is also put on ``yyyymm``.
+    On a month-partitioned table the bound is also put on ``yyyymm``, so that older months are left
+    out when the plan is made or, if the bound is only known then, when the query starts.
     """
     bound = since(ev, span, as_of)
     recent = ev.filter(F.col("timestamp") >= bound)
-    if "yyyymm" in ev.columns and as_of is not None:
+    if "yyyymm" in ev.columns:
         recent = recent.filter(F.col("yyyymm").cast("string") >= month_of(bound))
     return recent
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import instant, month_of, readable_size
 from gaugeworks.functions.timing import interval
+from gaugeworks.operators.folders import TARGET_BYTES, drop_partitions_before, stored_totals
 
 
 def partition_inventory(
@@ -37,21 +38,12 @@ def partition_inventory(
     )
 
 
-def _totals(spark: SparkSession, name: str, path: str) -> DataFrame:
-    per_file = (
-        spark.read.parquet(path)
-        .select("_metadata.file_path", "_metadata.file_size")
-        .groupBy("file_path")
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("file_size").alias("bytes"))
-    )
-    return per_file.agg(
-        F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("files")
-    ).select(F.lit(name).alias("table"), "bytes", "rows", "files")
-
-
 def table_sizes(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Size, rows and files of each table, largest first. No column is read, only row counts."""
-    parts = [_totals(spark, name, path) for name, path in paths.items()]
+    parts = [
+        stored_totals(spark.read.parquet(path)).select(F.lit(name).alias("table"), "bytes", "rows", "files")
+        for name, path in paths.items()
+    ]
     return reduce(DataFrame.unionByName, parts).withColumn("size", readable_size("bytes")).orderBy(F.desc("bytes"))
 
 
@@ -60,7 +52,7 @@ def total_size(sizes: DataFrame) -> DataFrame:
 
 
 def compact(
-    spark: SparkSession, path: str, part: str, order: tuple[str, ...], target_bytes: int = 512 * 1024 * 1024,
+    spark: SparkSession, path: str, part: str, order: tuple[str, ...], target_bytes: int = TARGET_BYTES,
     only: tuple[str, ...] | None = None,
 ) -> None:
     """Rewrite the partitions of a table as few large files, sorted by ``order``.
@@ -72,7 +64,7 @@ def compact(
     table = spark.read.parquet(path)
     if only is not None:
         table = table.filter(F.col(part).cast("string").isin(*only))
-    size = _totals(spark, path, path).first()["bytes"] or 0
+    size = stored_totals(table).first()["bytes"] or 0
     files = max(1, -(-size // target_bytes))
     keys = [part, *order]
     (
@@ -117,9 +109,4 @@ def drop_expired_partitions(
         first_kept = edge
     else:
         first_kept = str(int(edge) + 1)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for entry in files.listStatus(folder):
-        name = entry.getPath().getName()
-        if name.startswith(f"{part}=") and name.split("=", 1)[1] < first_kept:
-            files.delete(entry.getPath(), True)
+    drop_partitions_before(spark, path, part, first_kept)

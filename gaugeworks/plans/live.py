@@ -113,7 +113,7 @@ def stream_history(spark, sf_dir):
     """Micro-batched append into the month-partitioned table."""
     base = fresh_path(spark, "history")
     sink_batched(telemetry_stream(spark, sf_dir), f"{base}/table", f"{base}/checkpoint", every=None).awaitTermination()
-    return doubled(unzoned(spark.read.parquet(f"{base}/table").drop("yyyymm")))
+    return doubled(spark.read.parquet(f"{base}/table").drop("yyyymm"))
 
 
 _STATE = over_events(
@@ -126,7 +126,7 @@ _STATE = over_events(
 def stream_latest_state(spark, sf_dir):
     base = fresh_path(spark, "state")
     upsert_latest(telemetry_stream(spark, sf_dir), f"{base}/table", f"{base}/checkpoint", every=None).awaitTermination()
-    return doubled(unzoned(latest_state(spark, f"{base}/table", "5 minutes", newest_time(spark, sf_dir))))
+    return doubled(latest_state(spark, f"{base}/table", "5 minutes", newest_time(spark, sf_dir)))
 
 
 @query("dual_write_history", over_events(
@@ -137,7 +137,7 @@ def dual_write_history(spark, sf_dir):
     St.dual_write(
         telemetry_stream(spark, sf_dir), f"{base}/history", f"{base}/live", f"{base}/checkpoint", every=None
     ).awaitTermination()
-    history = unzoned(spark.read.parquet(f"{base}/history"))
+    history = spark.read.parquet(f"{base}/history")
     return history.groupBy("device_id").agg(
         F.count(F.lit(1)).alias("events"), F.max("timestamp").alias("last_seen"),
         F.count_if(F.col("status") == "WARN").alias("warnings"),
@@ -151,4 +151,4 @@ def dual_write_state(spark, sf_dir):
     St.dual_write(
         telemetry_stream(spark, sf_dir), f"{base}/history", f"{base}/live", f"{base}/checkpoint", every=None
     ).awaitTermination()
-    return doubled(unzoned(latest_state(spark, f"{base}/live", "5 minutes", newest_time(spark, sf_dir))))
+    return doubled(latest_state(spark, f"{base}/live", "5 minutes", newest_time(spark, sf_dir)))

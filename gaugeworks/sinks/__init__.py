@@ -1,7 +1,7 @@
-from gaugeworks.sinks.live import latest_state, sink_batched, upsert_latest
-from gaugeworks.sinks.tables import archive_expired, publish_snapshot, write_events, write_indexed
+from gaugeworks.sinks.live import drop_old_state, latest_state, sink_batched, upsert_latest
+from gaugeworks.sinks.tables import archive_expired, publish_snapshot, settle_months, write_events, write_indexed
 
 __all__ = [
-    "archive_expired", "latest_state", "publish_snapshot", "sink_batched", "upsert_latest",
-    "write_events", "write_indexed",
+    "archive_expired", "drop_old_state", "latest_state", "publish_snapshot", "settle_months", "sink_batched",
+    "upsert_latest", "write_events", "write_indexed",
 ]

@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeworks.functions import day_of, instant, interval, month_of
+from gaugeworks.functions import instant, interval, month_of
 from gaugeworks.operators.devices import idle_filter, latest_per
+from gaugeworks.operators.folders import drop_partitions_before
 
 STATE_COLUMNS = ("timestamp", "msg_id", "temperature", "pressure", "status")
 
 
+def unzoned(ev: DataFrame) -> DataFrame:
+    """Rows with the time type of the stored tables."""
+    return ev.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+def _hour_of(col: Column | str) -> Column:
+    return F.date_format(col, "yyyyMMddHH")
+
+
 def _triggered(writer, every: str | None):
     """Run on a clock, or once over what is there when ``every`` is None."""
     return writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
@@ -22,12 +32,12 @@ def _triggered(writer, every: str | None):
 def sink_batched(
     stream: DataFrame, path: str, checkpoint: str, max_rows: int = 500_000, every: str | None = "5 seconds"
 ) -> StreamingQuery:
-    """Append micro-batches to the month-partitioned history table, exactly once.
+    """Append micro-batches to a month-partitioned landing table, exactly once.
 
-    ``every`` and ``max_rows`` bound a batch in time and a file in rows. Small files are merged later
-    by ``compact``.
+    ``every`` and ``max_rows`` bound a batch in time and a file in rows. ``settle_months`` turns the
+    many small files of a month into the events table.
     """
-    laid = stream.withColumn("yyyymm", month_of("timestamp"))
+    laid = unzoned(stream).withColumn("yyyymm", month_of("timestamp"))
     writer = (
         laid.writeStream.format("parquet").outputMode("append")
         .option("path", path).option("checkpointLocation", checkpoint)
@@ -38,15 +48,15 @@ def sink_batched(
 
 
 def write_state_segment(batch: DataFrame, path: str, batch_id: int, columns: Sequence[str] = STATE_COLUMNS) -> None:
-    """The newest row per device of one micro-batch, filed under day and batch.
+    """The newest row per device of one micro-batch, filed under hour and batch.
 
     The batch is reduced before it is written, and a repeated batch replaces its own files.
     """
-    newest = latest_per(batch, ["device_id"], columns)
+    newest = latest_per(unzoned(batch), ["device_id"], columns)
     (
-        newest.withColumn("day", day_of("timestamp")).withColumn("batch", F.lit(batch_id))
+        newest.withColumn("hour", _hour_of("timestamp")).withColumn("batch", F.lit(batch_id))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day", "batch").parquet(path)
+        .partitionBy("hour", "batch").parquet(path)
     )
 
 
@@ -56,8 +66,8 @@ def upsert_latest(
 ) -> StreamingQuery:
     """Keep the latest reading per device as small segments, one per micro-batch.
 
-    Nothing old is rewritten. Readers merge the segments of the days that can still be alive
-    (``latest_state``); older days hold only expired devices and can be removed as folders.
+    Nothing old is rewritten. Readers merge the segments of the hours that can still be alive
+    (``latest_state``); older hours hold only expired devices, and ``drop_old_state`` removes them.
     """
     writer = (
         stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
@@ -72,7 +82,13 @@ def latest_state(
     """Latest reading per device; devices idle for ``ttl`` or longer are gone."""
     segments = spark.read.parquet(path)
     if ttl is not None and as_of is not None:
-        oldest = day_of(instant(as_of) - interval(ttl))
-        segments = segments.filter(F.col("day").cast("string") >= oldest)
+        oldest = _hour_of(instant(as_of) - interval(ttl))
+        segments = segments.filter(F.col("hour").cast("string") >= oldest)
     merged = latest_per(segments, ["device_id"], columns)
     return merged if ttl is None else idle_filter(merged, ttl, as_of, "timestamp")
+
+
+def drop_old_state(spark: SparkSession, path: str, ttl: str, as_of) -> None:
+    """Remove the hours in which every device has expired."""
+    oldest = spark.range(1).select(_hour_of(instant(as_of) - interval(ttl)).alias("h")).first()["h"]
+    drop_partitions_before(spark, path, "hour", oldest)

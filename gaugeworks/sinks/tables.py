@@ -3,27 +3,52 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import instant, month_of
+from gaugeworks.operators.folders import TARGET_BYTES, stored_totals
 from gaugeworks.operators.quality import expired
+from gaugeworks.schema import EVENTS
 
 LAYOUT = ("device_id", "timestamp")
 
 
-def write_events(ev: DataFrame, path: str, files: int | None = None, mode: str = "append") -> None:
+def write_events(ev: DataFrame, path: str, files: int | None = None, replace_months: bool = False) -> None:
     """Month partitions, rows ordered by device and time.
 
     Range partitioning on (month, device, time) gives every file a narrow device range, so min/max
     statistics skip most files for a device query; a device with a third of all rows is split by
     time. ``files`` sets the number of output tasks; without it the session's partition count holds.
+    With ``replace_months`` the months that occur in ``ev`` are replaced instead of added to.
     """
     laid = ev.withColumn("yyyymm", month_of("timestamp"))
     keys = ["yyyymm", *LAYOUT]
     spread = laid.repartitionByRange(*keys) if files is None else laid.repartitionByRange(files, *keys)
-    spread.sortWithinPartitions(*keys).write.mode(mode).partitionBy("yyyymm").parquet(path)
+    (
+        spread.sortWithinPartitions(*keys)
+        .write.mode("overwrite" if replace_months else "append")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("yyyymm")
+        .parquet(path)
+    )
+
+
+def settle_months(
+    spark: SparkSession, landing: str, table: str, months: tuple[str, ...], files: int | None = None
+) -> None:
+    """Move finished months of a landing table into the events table, sorted and in large files.
+
+    Each month is rebuilt whole from the landing rows and replaces what the table had of it, so the
+    job can be repeated. Only those months are read.
+    """
+    landed = spark.read.parquet(landing).filter(F.col("yyyymm").cast("string").isin(*months))
+    ev = landed.select(*[c for c in EVENTS.fieldNames() if c in landed.columns])
+    if files is None:
+        files = max(1, -(-(stored_totals(landed).first()["bytes"] or 0) // TARGET_BYTES))
+    write_events(ev, table, int(files), replace_months=True)
 
 
 def write_indexed(
@@ -33,7 +58,8 @@ def write_indexed(
     """The events layout with per-column skipping aids.
 
     Columns with few values are dictionary-encoded, which Parquet readers use to skip row groups;
-    ``bloom_cols`` get Bloom filters sized for ``expected_devices`` distinct values.
+    ``bloom_cols`` get Bloom filters sized for ``expected_devices`` distinct values; Parquet leaves a
+    filter out where a complete dictionary already answers the question.
     """
     laid = ev.withColumn("yyyymm", month_of("timestamp"))
     writer = (
@@ -50,13 +76,13 @@ def write_indexed(
     writer.parquet(path)
 
 
-def archive_expired(ev: DataFrame, path: str, keep: str = "30 days", as_of=None) -> None:
+def archive_expired(ev: DataFrame, path: str, keep: str, as_of) -> None:
     """Copy rows past retention to cold storage, by month and archive run.
 
     The run is named after ``as_of``: repeating a run replaces its own files instead of adding rows
     twice. Remove the rows from the live table afterwards with the retention job.
     """
-    run = "newest" if as_of is None else str(as_of).replace(" ", "T").replace(":", "")
+    run = str(as_of).replace(" ", "T").replace(":", "")
     (
         expired(ev, keep, as_of)
         .withColumn("yyyymm", month_of("timestamp"))
@@ -75,18 +101,13 @@ def publish_snapshot(df: DataFrame, store: str, key: str, ttl_seconds: int, as_o
     """Publish a result set under ``key`` for ``ttl_seconds``; an earlier one is replaced.
 
     Each result row is one JSON document. The set is written by the tasks that computed it and never
-    gathered into a single array, so it may grow with the fleet.
+    gathered into a single array, so it may grow with the fleet. An empty set replaces too, which is
+    why the key's own folder is overwritten.
     """
     at = instant(as_of)
-    (
-        df.select(
-            F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("payload"),
-            at.alias("written_at"),
-            F.timestamp_add("SECOND", F.lit(ttl_seconds), at).alias("expires_at"),
-            F.lit(key).alias("key"),
-        )
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("key")
-        .parquet(store)
+    documents = df.select(
+        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("payload"),
+        at.alias("written_at"),
+        F.timestamp_add("SECOND", F.lit(ttl_seconds), at).alias("expires_at"),
     )
+    documents.write.mode("overwrite").parquet(f"{store}/key={quote(key, safe='')}")

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gaugeworks.functions import month_of
 from gaugeworks.operators.filters import classify_alerts
 from gaugeworks.session import fresh_path
-from gaugeworks.sinks.live import write_state_segment
+from gaugeworks.sinks.live import unzoned, write_state_segment
 
 
 def stream_alerts(stream: DataFrame) -> DataFrame:
@@ -21,17 +21,18 @@ def stream_alerts(stream: DataFrame) -> DataFrame:
 
 
 def dual_write(stream: DataFrame, history: str, live: str, checkpoint: str, every: str | None = "5 seconds") -> StreamingQuery:
-    """One stream into the history table and the latest state.
+    """One stream into the history landing table and the latest state.
 
     The micro-batch is kept for the two writes and let go. Both are filed under the batch number and
-    replaced when Spark repeats a batch after a failure, so neither gains rows twice.
+    replaced when Spark repeats a batch after a failure, so neither gains rows twice. A finished
+    month moves on with ``settle_months``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             (
-                batch.withColumn("yyyymm", month_of("timestamp")).withColumn("batch", F.lit(batch_id))
+                unzoned(batch).withColumn("yyyymm", month_of("timestamp")).withColumn("batch", F.lit(batch_id))
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                 .partitionBy("yyyymm", "batch").parquet(history)
             )

@@ -44,6 +44,15 @@ def test_given_time_prunes_months_and_reaches_the_scan(spark, year):
             .select(F.col("_metadata.file_path").alias("f")).collect()} <= {"202411", "202412"}
 
 
+def test_default_time_prunes_months_when_the_query_starts(spark, year):
+    recent = trailing(read_events(spark, year), "30 days").select("msg_id", F.col("_metadata.file_path").alias("f"))
+    text = plan_of(recent)
+    assert text.count("PartitionFilters: [isnotnull(yyyymm") >= 2  # the newest month, and the months of the span
+    assert {r["f"].split("yyyymm=")[1][:6] for r in recent.collect()} <= {"202411", "202412"}
+    newest = read_events(spark, year).agg(F.max("timestamp")).first()[0]
+    assert ids(recent) == ids(trailing(read_events(spark, year), "30 days", newest))
+
+
 def test_month_range(spark, year):
     months = read_month_range(spark, year, "202403", "202404").select("yyyymm").distinct().collect()
     assert {r[0] for r in months} == {"202403", "202404"}
@@ -55,17 +64,26 @@ def test_rows_are_sorted_inside_files(spark, year):
     assert got == sorted(got)
 
 
-def test_bloom_filter_is_written(spark, sf_dir):
-    pq = pytest.importorskip("pyarrow.parquet")
+def test_bloom_filters_and_dictionaries_are_written(spark, sf_dir, sql):
     path = fresh_path(spark, "indexed")
     write_indexed(as_stored(telemetry(spark, sf_dir)), path, expected_devices=1000)
     device = "device-0003"
     assert read_events(spark, path).filter(F.col("device_id") == device).count() == telemetry(spark, sf_dir).filter(
         F.col("device_id") == device).count()
-    file = spark.read.parquet(path).select("_metadata.file_path").first()[0].removeprefix("file:").replace("//", "")
-    meta = pq.ParquetFile(file).metadata.row_group(0)
-    encodings = {meta.column(i).path_in_schema: meta.column(i).encodings for i in range(meta.num_columns)}
-    assert any("DICTIONARY" in e for e in encodings["status"])
+    meta = sql.sql(
+        f"SELECT path_in_schema, bloom_filter_offset, encodings FROM parquet_metadata('{path}/**/*.parquet')"
+    ).fetchall()
+    assert all("DICTIONARY" in e for c, _, e in meta if c in ("status", "location", "device_id"))
+
+    # A column too varied for a dictionary gets its Bloom filter.
+    varied = spark.range(400_000).select(F.sha2(F.col("id").cast("string"), 256).alias("device_id"), "id")
+    ev = varied.join(as_stored(telemetry(spark, sf_dir)).drop("device_id").limit(1))
+    path = fresh_path(spark, "indexed")
+    write_indexed(ev, path, expected_devices=100_000)
+    meta = sql.sql(
+        f"SELECT path_in_schema, bloom_filter_offset FROM parquet_metadata('{path}/**/*.parquet')"
+    ).fetchall()
+    assert {c for c, bloom in meta if bloom is not None} == {"device_id"}
 
 
 def test_compaction_keeps_every_row_in_fewer_files(spark, sf_dir):
@@ -131,6 +149,15 @@ def test_snapshots_expire_and_are_replaced_by_key(spark):
     assert read("one", "2024-05-01 12:02:30") == [(1, None)] and read("two", "2024-05-01 12:01:00") == [(2, "x")]
 
 
+def test_an_empty_result_replaces_an_older_one(spark):
+    store = fresh_path(spark, "snapshots")
+    df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    publish_snapshot(df, store, "dash:one", 120, "2024-05-01 12:00:00")
+    assert read_snapshot(spark, store, "dash:one", df.schema, "2024-05-01 12:00:10").count() == 2
+    publish_snapshot(df.limit(0), store, "dash:one", 120, "2024-05-01 12:00:00")
+    assert read_snapshot(spark, store, "dash:one", df.schema, "2024-05-01 12:00:10").count() == 0
+
+
 def test_missing_store_falls_back(spark):
     df = spark.createDataFrame([(1,)], "a int")
     got = snapshot_or(spark, fresh_path(spark, "nothing"), "k", df.schema, "2024-05-01 12:00:00", lambda: df)

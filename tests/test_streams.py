@@ -9,8 +9,8 @@ from gaugeworks import streaming as St
 from gaugeworks.operators import rollups as R
 from gaugeworks.plans.tables import as_stored
 from gaugeworks.session import fresh_path
-from gaugeworks.sinks import latest_state, sink_batched, upsert_latest
-from gaugeworks.sources import stream_events
+from gaugeworks.sinks import drop_old_state, latest_state, settle_months, sink_batched, upsert_latest
+from gaugeworks.sources import read_events, stream_events
 from gaugeworks.sources.sample_tables import telemetry
 
 START = dt.datetime(2024, 5, 1, 12)
@@ -103,6 +103,39 @@ def test_history_is_exactly_once_over_restarts(spark, feed):
     assert got.groupBy("_metadata.file_path").count().agg(F.max("count")).first()[0] <= 4
 
 
+@pytest.mark.parametrize("flow", ["batched", "dual"])
+def test_landed_months_settle_into_the_events_table(spark, feed, flow):
+    folder, drop, stream = feed
+    base = fresh_path(spark, "landing")
+    month = 31 * 86400
+    drop([(i, "a", "OK", i, 1.0) for i in range(10)] + [(month + i, "b", "OK", 100 + i, 1.0) for i in range(5)])
+    drop([(20 + i, "b", "OK", 50 + i, 1.0) for i in range(5)])
+    if flow == "batched":
+        sink_batched(stream(), f"{base}/history", f"{base}/checkpoint", every=None).awaitTermination()
+    else:
+        St.dual_write(stream(), f"{base}/history", f"{base}/live", f"{base}/checkpoint", every=None).awaitTermination()
+    for _ in range(2):
+        settle_months(spark, f"{base}/history", f"{base}/events", ("202405",))
+        table = read_events(spark, f"{base}/events")
+        assert sorted(r[0] for r in table.select("msg_id").collect()) == list(range(10)) + list(range(50, 55))
+    settle_months(spark, f"{base}/history", f"{base}/events", ("202406",))
+    assert read_events(spark, f"{base}/events").count() == 20
+
+
+def test_old_state_goes_by_the_hour(spark, feed):
+    folder, drop, stream = feed
+    base = fresh_path(spark, "state")
+    drop([(0, "a", "OK", 1, 1.0), (7200, "b", "OK", 2, 1.0)])
+    drop([(7300, "a", "OK", 3, 1.0), (100, "c", "OK", 4, 1.0)])
+    upsert_latest(stream(), f"{base}/table", f"{base}/checkpoint", every=None).awaitTermination()
+    now = START + dt.timedelta(seconds=7400)
+    alive = lambda: {(r["device_id"], r["msg_id"]) for r in latest_state(spark, f"{base}/table", "15 minutes", now).collect()}
+    before = alive()
+    drop_old_state(spark, f"{base}/table", "15 minutes", now)
+    assert alive() == before == {("a", 3), ("b", 2)}
+    assert latest_state(spark, f"{base}/table", None).count() == 2
+
+
 def test_dual_write_repeats_safely(spark, feed):
     """A batch that is written again, as after a lost driver, replaces its own rows."""
     folder, drop, stream = feed
