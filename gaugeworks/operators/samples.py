@@ -14,9 +14,17 @@ from gaugeworks.operators.chunks import CHUNK, SMALL, in_chunks
 NEWEST_LAST = ("ts", "value")
 
 
-def series_id(labels: str = "labels") -> Column:
-    """The labels as JSON text in key order, so equal sets are one series."""
-    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(labels))))
+TAGS = "_tags"
+
+
+def tags(labels: str = "labels") -> Column:
+    """The labels in key order, so that equal sets are one series whatever order they came in."""
+    return F.sort_array(F.map_entries(labels)).alias(TAGS)
+
+
+def series() -> Column:
+    """The labels of a series as JSON text; made once per series, after grouping."""
+    return F.to_json(F.map_from_entries(TAGS)).alias("series")
 
 
 def _named(samples: DataFrame, name: str, span: str | None, as_of) -> DataFrame:
@@ -41,22 +49,23 @@ def counter_rate(
     the step from one chunk to the next is added from those.
     """
     length = seconds if seconds is not None else span_seconds(span)
-    rows = _named(samples, name, span, as_of).select(series_id().alias("series"), "ts", "value")
-    rows = in_chunks(rows, ["series"], "ts", chunk, small)
-    inside = Window.partitionBy("series", CHUNK).orderBy(*NEWEST_LAST)
+    rows = _named(samples, name, span, as_of).select(tags(), "ts", "value")
+    rows = in_chunks(rows, [TAGS], "ts", chunk, small)
+    inside = Window.partitionBy(TAGS, CHUNK).orderBy(*NEWEST_LAST)
     steps = rows.withColumn("_up", _increase(F.col("value"), F.lag("value").over(inside)))
-    per_chunk = steps.groupBy("series", CHUNK).agg(
+    per_chunk = steps.groupBy(TAGS, CHUNK).agg(
         F.sum("_up").alias("_up"),
         F.min(F.struct(*NEWEST_LAST)).alias("_first"),
         F.max(F.struct(*NEWEST_LAST)).alias("_last"),
     )
-    in_order = Window.partitionBy("series").orderBy(CHUNK)
+    in_order = Window.partitionBy(TAGS).orderBy(CHUNK)
     edge = _increase(F.col("_first.value"), F.lag("_last.value").over(in_order))
-    return (
+    rates = (
         per_chunk.withColumn("_edge", edge)
-        .groupBy("series")
+        .groupBy(TAGS)
         .agg((F.sum(F.col("_up") + F.col("_edge")) / F.lit(float(length))).alias("rate"))
     )
+    return rates.select(series(), "rate")
 
 
 def busy_percent(samples: DataFrame, idle_counter: str, span: str | None = "5 minutes", as_of=None, seconds=None) -> DataFrame:
@@ -67,21 +76,19 @@ def busy_percent(samples: DataFrame, idle_counter: str, span: str | None = "5 mi
 
 def gauge_latest(samples: DataFrame, name: str) -> DataFrame:
     """Newest value of every series."""
-    newest = _named(samples, name, None, None).groupBy(series_id().alias("series")).agg(
-        F.max(F.struct(*NEWEST_LAST)).alias("_last")
-    )
-    return newest.select("series", F.col("_last.ts").alias("ts"), F.col("_last.value").alias("value"))
+    newest = _named(samples, name, None, None).groupBy(tags()).agg(F.max(F.struct(*NEWEST_LAST)).alias("_last"))
+    return newest.select(series(), F.col("_last.ts").alias("ts"), F.col("_last.value").alias("value"))
 
 
 def gauge_ratio(samples: DataFrame, part: str, whole: str) -> DataFrame:
     """``(1 - part/whole) * 100`` of the newest values with equal labels, without a join."""
-    both = samples.filter(F.col("metric").isin(part, whole)).groupBy(series_id().alias("series")).agg(
+    both = samples.filter(F.col("metric").isin(part, whole)).groupBy(tags()).agg(
         F.max(F.when(F.col("metric") == part, F.struct(*NEWEST_LAST))).alias("_part"),
         F.max(F.when(F.col("metric") == whole, F.struct(*NEWEST_LAST))).alias("_whole"),
     )
     matched = both.filter(F.col("_part").isNotNull() & F.col("_whole").isNotNull())
     used = percent(F.col("_whole.value") - F.col("_part.value"), F.col("_whole.value"), 3)
-    return matched.select("series", used.alias("used_pct"))
+    return matched.select(series(), used.alias("used_pct"))
 
 
 def sum_where(samples: DataFrame, name: str, labels: dict[str, str]) -> DataFrame:

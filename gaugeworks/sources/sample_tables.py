@@ -7,6 +7,7 @@ be compressed so that minute-sized windows hold rows; every quantity is a decima
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -196,22 +197,20 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = telemetry(spark, sf_dir)
     labels = lambda *pairs: F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)])
     device = ("device", F.col("device_id"))
-    row = lambda name, tags, value: F.struct(
-        F.lit(name).alias("metric"), tags.alias("labels"), F.col("timestamp").alias("ts"),
-        value.cast("double").alias("value"),
-    )
-    total = F.lit(8192.0)
     running = F.when(F.col("status").isin("OK", "WARN"), 1.0).otherwise(0.0)
-    return ev.select(
-        F.explode(
-            F.array(
-                row("cpu_idle_seconds_total", labels(device), F.col("msg_id") % 997),
-                row("memory_available_bytes", labels(device), F.col("battery_level") * 64),
-                row("memory_total_bytes", labels(device), total),
-                row(
-                    "pod_status_phase",
-                    labels(device, ("phase", F.lit("Running")), ("namespace", F.col("location"))), running,
-                ),
-            )
-        ).alias("s")
-    ).select("s.*")
+    pod = (device, ("phase", F.lit("Running")), ("namespace", F.col("location")))
+    series = (
+        ("cpu_idle_seconds_total", labels(device), F.col("msg_id") % 997),
+        ("memory_available_bytes", labels(device), F.col("battery_level") * 64),
+        ("memory_total_bytes", labels(device), F.lit(8192.0)),
+        ("pod_status_phase", labels(*pod), running),
+    )
+    # One branch per metric: a filter on the name leaves only the branches it needs in the plan.
+    branches = [
+        ev.select(
+            F.lit(name).alias("metric"), tags.alias("labels"), F.col("timestamp").alias("ts"),
+            value.cast("double").alias("value"),
+        )
+        for name, tags, value in series
+    ]
+    return reduce(DataFrame.unionByName, branches)
