@@ -57,7 +57,7 @@ def instant(value: Column | datetime | str, time_type: str = "timestamp_ntz") ->
     return F.lit(text).cast(time_type)
 
 
-def _newest_part(df: DataFrame, time_col: str) -> DataFrame:
+def newest_part(df: DataFrame, time_col: str = "timestamp") -> DataFrame:
     """The part of a month-partitioned table that holds its newest time; other months are not read."""
     if "yyyymm" not in df.columns or time_col != "timestamp":
         return df
@@ -68,7 +68,7 @@ def newest(df: DataFrame, as_of=None, time_col: str = "timestamp") -> Column:
     """``as_of``, or the newest time of the frame as an uncorrelated scalar subquery."""
     if as_of is not None:
         return instant(as_of, _time_type(df, time_col))
-    return _newest_part(df, time_col).agg(F.max(time_col)).scalar()
+    return newest_part(df, time_col).agg(F.max(time_col)).scalar()
 
 
 def since(df: DataFrame, span: str, as_of=None, time_col: str = "timestamp") -> Column:
@@ -80,7 +80,7 @@ def since(df: DataFrame, span: str, as_of=None, time_col: str = "timestamp") ->
     """
     if as_of is not None:
         return instant(as_of, _time_type(df, time_col)) - interval(span)
-    return _newest_part(df, time_col).agg(F.max(time_col) - interval(span)).scalar()
+    return newest_part(df, time_col).agg(F.max(time_col) - interval(span)).scalar()
 
 
 def bucket(col: Column | str, unit: str, time_type: str = "timestamp_ntz") -> Column:

@@ -104,20 +104,29 @@ def device_presence(notices: DataFrame, col: str = "message", tie: str = "seq")
     return out.select("device_id", F.col("n.online").alias("online"), "last_notice")
 
 
+def _newest_holding(ev: DataFrame, key: Column, n: int) -> Column:
+    """The newest ``key`` from which at least ``n`` rows follow, or the oldest key there is.
+
+    One row per month or minute of history goes through the running sum, so even decades are a small
+    sort.
+    """
+    counts = ev.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
+    running = F.sum("_rows").over(Window.orderBy(F.desc("_key")))
+    enough = F.max(F.when(F.col("_running") >= n, F.col("_key")))
+    return counts.withColumn("_running", running).agg(F.coalesce(enough, F.min("_key"))).scalar()
+
+
 def replay_buffer(ev: DataFrame, n: int = 10_000) -> DataFrame:
     """The last ``n`` events, newest first.
 
     A plain top-n hands up to n rows of every task to one reducer. Counting rows per minute first
     (one column, partial aggregation) finds the newest minute from which at least n rows follow; the
-    real read then starts there, and the bound is pushed into the scan.
+    real read then starts there, and the bound is pushed into the scan. On a month-partitioned table
+    row counts per month, which need no column, leave out the older months before that.
     """
-    per_minute = ev.groupBy(bucket("timestamp", "minute").alias("minute")).agg(F.count(F.lit(1)).alias("rows"))
-    # One row per minute of history, so even decades of them are a small sort.
-    running = F.sum("rows").over(Window.orderBy(F.desc("minute")))
-    counted = per_minute.withColumn("running", running)
-    start = counted.agg(
-        F.coalesce(F.max(F.when(F.col("running") >= n, F.col("minute"))), F.min("minute"))
-    ).scalar()
+    if "yyyymm" in ev.columns:
+        ev = ev.filter(F.col("yyyymm") >= _newest_holding(ev, F.col("yyyymm"), n))
+    start = _newest_holding(ev, bucket("timestamp", "minute"), n)
     return ev.filter(F.col("timestamp") >= start).orderBy(F.desc("timestamp"), F.desc("msg_id")).limit(n)
 
 

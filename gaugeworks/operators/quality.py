@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import newest, rounded, seconds_between, since
-from gaugeworks.functions.timing import interval
+from gaugeworks.functions.timing import interval, newest_part
 from gaugeworks.operators.filters import band_of, trailing
 from gaugeworks.schema import FRESHNESS_BANDS
 
@@ -59,7 +59,7 @@ def quality_alerts(quality: DataFrame, min_completeness: float = 95.0) -> DataFr
 def freshness(ev: DataFrame, as_of=None, steps=FRESHNESS_BANDS) -> DataFrame:
     """Seconds since the newest event, with its colour band."""
     now = newest(ev, as_of)
-    lag = ev.agg(F.max("timestamp").alias("latest")).select(seconds_between(F.col("latest"), now).alias("lag_seconds"))
+    lag = newest_part(ev).agg(F.max("timestamp").alias("latest")).select(seconds_between(F.col("latest"), now).alias("lag_seconds"))
     return lag.withColumn("band", band_of(F.col("lag_seconds"), steps))
 
 
@@ -70,7 +70,7 @@ def _run_key(prefix: str, now: Column) -> Column:
 def freshness_trigger(ev: DataFrame, as_of=None, limit: str = "5 minutes") -> DataFrame:
     """Whether a quality run is due: no event for longer than ``limit``. An empty table never fires."""
     now = newest(ev, as_of)
-    latest = ev.agg(F.max("timestamp").alias("latest")).withColumn("now", now)
+    latest = newest_part(ev).agg(F.max("timestamp").alias("latest")).withColumn("now", now)
     fire = F.coalesce(F.col("now") > F.col("latest") + interval(limit), F.lit(False))
     age_us = F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("latest").cast("timestamp"))
     return latest.select(

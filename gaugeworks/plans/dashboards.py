@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from gaugeworks.functions import rounded
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import newest, seconds_between
@@ -11,9 +10,11 @@ from gaugeworks.operators import filters as Fl
 from gaugeworks.operators import summaries as A
 from gaugeworks.plans.registry import doubled, query, recent
 from gaugeworks.plans.sql import (
-    HOUR, MINUTE, RANGE5, avg, doubles, high, latest, low, mean, n_status, over_events, pct, r, within,
+    HOUR, MINUTE, RANGE5, any_of, avg, doubles, high, label, latest, low, mean, n_status, over_events, pct, r, within,
+)
+from gaugeworks.schema import (
+    ALERT_RULES, BATTERY_BANDS, FRESHNESS_BANDS, LAST_EVENT_BANDS, LOCATIONS, METRICS, RANGE_RULES, WARNING_BANDS,
 )
-from gaugeworks.schema import BATTERY_BANDS, FRESHNESS_BANDS, LAST_EVENT_BANDS, LOCATIONS, METRICS, WARNING_BANDS
 from gaugeworks.sources.sample_tables import ORIGIN, device_metadata, newest_time, presence_notices, telemetry
 
 # -- caches ---------------------------------------------------------------------------------------
@@ -502,10 +503,7 @@ def alert_status_rows(spark, sf_dir):
 
 ALERTS = f"""
 SELECT timestamp, device_id, device_type, location, {doubles('temperature', 'pressure')}, status,
-  CASE WHEN temperature > 40 THEN 'temperature_critical' WHEN temperature > 35 THEN 'temperature_warn'
-    WHEN pressure > 1070 THEN 'pressure_critical' WHEN pressure > 1050 THEN 'pressure_warn'
-    WHEN battery_level < 10 THEN 'battery_critical' WHEN battery_level < 20 THEN 'battery_warn'
-    ELSE 'normal' END AS anomaly_type, msg_id
+  {label(ALERT_RULES, 'normal')} AS anomaly_type, msg_id
 FROM ev WHERE status IN ('WARN', 'CRITICAL')"""
 
 
@@ -516,11 +514,8 @@ def classified_alerts(spark, sf_dir):
 
 @query("recent_anomalies", over_events(f"""
 SELECT timestamp, device_id, location, {doubles('temperature', 'pressure', 'humidity', 'battery_level')}, status,
-  CASE WHEN temperature > 80 THEN 'High Temp' WHEN temperature < 10 THEN 'Low Temp'
-    WHEN pressure > 1050 THEN 'High Pressure' WHEN pressure < 950 THEN 'Low Pressure'
-    WHEN humidity > 95 THEN 'High Humidity' WHEN battery_level < 20 THEN 'Low Battery'
-    ELSE 'Unknown' END AS anomaly_type, msg_id
-FROM ev WHERE {within('1 hour')} AND ({RANGE5} OR battery_level < 20)
+  {label(RANGE_RULES, 'Unknown')} AS anomaly_type, msg_id
+FROM ev WHERE {within('1 hour')} AND {any_of(RANGE_RULES)}
 ORDER BY timestamp DESC, msg_id DESC LIMIT 50"""))
 def recent_anomalies(spark, sf_dir):
     ev, as_of = recent(spark, sf_dir, "1 hour")

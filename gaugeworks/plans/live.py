@@ -144,7 +144,7 @@ def dual_write_history(spark, sf_dir):
     )
 
 
-@query("dual_write_state", _STATE.replace("WHERE timestamp >", "WHERE true AND timestamp >"))
+@query("dual_write_state", _STATE)
 def dual_write_state(spark, sf_dir):
     """The live side of the same flow."""
     base = fresh_path(spark, "dual")

@@ -5,7 +5,7 @@ These texts run on another engine over the same tables; they share no code with
 
 from __future__ import annotations
 
-from gaugeworks.schema import LOCATIONS
+from gaugeworks.schema import LOCATIONS, RANGE_RULES
 
 _US0 = 1704067200000000
 
@@ -91,4 +91,18 @@ def latest(keys: str, where: str = "true") -> str:
 
 MINUTE = "date_trunc('minute', timestamp)"
 HOUR = "date_trunc('hour', timestamp)"
-RANGE5 = "(temperature > 80 OR temperature < 10 OR pressure > 1050 OR pressure < 950 OR humidity > 95)"
+
+
+def any_of(rules) -> str:
+    """True where one of the rules holds."""
+    return "(" + " OR ".join(f"{metric} {sign} {limit:g}" for metric, sign, limit, _ in rules) + ")"
+
+
+def label(rules, default: str) -> str:
+    """Label of the first rule that holds."""
+    arms = " ".join(f"WHEN {metric} {sign} {limit:g} THEN '{name}'" for metric, sign, limit, name in rules)
+    return f"CASE {arms} ELSE '{default}' END"
+
+
+# Readings outside their range, the battery left aside.
+RANGE5 = any_of(RANGE_RULES[:5])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import maintenance as X
 from gaugeworks.operators import quality as Q
+from gaugeworks.operators.devices import replay_buffer
 from gaugeworks.operators.filters import trailing
 from gaugeworks.plans.tables import _stretched, as_stored
 from gaugeworks.session import fresh_path
@@ -53,6 +54,23 @@ def test_default_time_prunes_months_when_the_query_starts(spark, year):
     assert ids(recent) == ids(trailing(read_events(spark, year), "30 days", newest))
 
 
+@pytest.mark.parametrize("n", [1, 50, 300, 10_000])
+def test_replay_buffer_reads_only_the_months_it_needs(spark, year, n):
+    table = read_events(spark, year)
+    want = [r[0] for r in table.orderBy(F.desc("timestamp"), F.desc("msg_id")).select("msg_id").collect()][:n]
+    held = replay_buffer(table.withColumn("f", F.col("_metadata.file_path")), n).collect()
+    assert [r["msg_id"] for r in held] == want
+    if n == 1:
+        assert {r["f"].split("yyyymm=")[1][:6] for r in held} == {"202412"}
+
+
+def test_freshness_of_a_stored_table(spark, year):
+    table = read_events(spark, year)
+    newest = table.agg(F.max("timestamp")).first()[0]
+    assert Q.freshness(table, newest).first()["lag_seconds"] == 0
+    assert Q.freshness(table).first()["band"] == "green"
+
+
 def test_month_range(spark, year):
     months = read_month_range(spark, year, "202403", "202404").select("yyyymm").distinct().collect()
     assert {r[0] for r in months} == {"202403", "202404"}
