@@ -12,6 +12,7 @@ from gaugeworks.plans.registry import doubled, query, recent
 from gaugeworks.plans.sql import (
     HOUR, MINUTE, RANGE5, any_of, avg, doubles, high, label, latest, low, mean, n_status, over_events, pct, r, within,
 )
+from gaugeworks.plans.views import register_views
 from gaugeworks.schema import (
     ALERT_RULES, BATTERY_BANDS, FRESHNESS_BANDS, LAST_EVENT_BANDS, LOCATIONS, METRICS, RANGE_RULES, WARNING_BANDS,
 )
@@ -661,3 +662,25 @@ SELECT (SELECT count(DISTINCT device_id) FROM ev WHERE {within('5 minutes')}) AS
   least((SELECT count(*) FROM ev), 10000) AS stream_length"""))
 def live_stats(spark, sf_dir):
     return D.live_stats(telemetry(spark, sf_dir))
+
+
+# -- SQL over the registered views ----------------------------------------------------------------
+
+@query("alerts_by_type_view", over_events(
+    "SELECT anomaly_type, status, count(*) AS alerts, max(timestamp) AS latest FROM a GROUP BY 1, 2", f"a AS ({ALERTS})"))
+def alerts_by_type_view(spark, sf_dir):
+    register_views(telemetry(spark, sf_dir))
+    return spark.sql(
+        "SELECT anomaly_type, status, count(*) AS alerts, max(timestamp) AS latest FROM telemetry_anomalies GROUP BY ALL"
+    )
+
+
+@query("hourly_events_view", over_events(
+    f"SELECT {HOUR} AS hour, count(*) AS events, {n_status('WARN')} AS warnings FROM ev "
+    "WHERE device_type = 'multi-sensor' GROUP BY 1"))
+def hourly_events_view(spark, sf_dir):
+    register_views(telemetry(spark, sf_dir))
+    return spark.sql(
+        "SELECT bucket AS hour, sum(events) AS events, sum(warnings) AS warnings FROM telemetry_events_hour "
+        "WHERE device_type = 'multi-sensor' GROUP BY bucket"
+    )

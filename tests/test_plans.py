@@ -80,3 +80,17 @@ def test_metadata_lookup_leaves_the_choice_to_size(spark):
     big = spark.range(10).select(F.col("id").cast("string").alias("device_id"))
     joined = D.with_device_metadata(big, big)
     assert "ResolvedHint" not in joined._jdf.queryExecution().analyzed().toString()
+
+
+def test_filters_reach_through_the_views(spark, sf_dir):
+    from gaugeworks.plans.views import register_views
+
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "ts as timestamp", "cast(user_id as string) as device_id", "event_type as device_type", "event_type as location",
+        "event_type as status", "event_id as msg_id", "value as temperature", "value as pressure", "value as humidity",
+        "value as battery_level",
+    )
+    names = register_views(ev, "2024-01-30 00:00:00", "checked_")
+    assert len(names) == 6 and all(spark.catalog.tableExists(n) for n in names)
+    plan = plan_of(spark.sql("SELECT sum(events) FROM checked_events_day WHERE location = 'view'"))
+    assert "EqualTo(event_type,view)" in plan and "value" not in plan.split("ReadSchema")[1]

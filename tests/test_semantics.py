@@ -242,3 +242,16 @@ def test_device_names_keep_long_numbers(spark, tmp_path):
     df.withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["device_id"] for r in S.telemetry(spark, str(tmp_path)).collect()}
     assert got == {"device-0001", "device-10000", "device-123456"}
+
+
+def test_sketches_stay_close(spark, sf_dir):
+    from gaugeworks.operators import rollups as R
+    from gaugeworks.sources.sample_tables import telemetry
+
+    ev = telemetry(spark, sf_dir)
+    exact, close = A.active_devices(ev, None).first()[0], A.active_devices(ev, None, approx=True).first()[0]
+    assert abs(exact - close) <= 0.1 * exact
+    day = R.rollup(ev, "day")
+    assert abs(one(R.daily_coverage(day))["unique_devices"] - one(R.daily_coverage(day, approx=True))["unique_devices"]) <= 2
+    for build in (A.system_health, A.hourly_stats, A.hot_metrics, A.quality_by_location, Q.quality_metrics):
+        assert build(ev, approx=True).count() == build(ev).count()
