@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import quality_rules
+from gaugeworks.llm import packing, quality_rules, token_records
 from gaugeworks.llm.registry import ORACLES, QUERIES, query
+from gaugeworks.llm.tokens import word_bpe
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -15,3 +16,15 @@ def table(spark, sf_dir, name):
 @query("op1_quality_rules", quality_rules.ORACLE)
 def op1_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_records")
+def op3_token_records(spark, sf_dir):
+    folder = token_records.fresh_folder(spark)
+    manifest = token_records.write_records(table(spark, sf_dir, "documents"), folder, word_bpe())
+    return token_records.read_records(spark, folder, manifest, with_ids=False)
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe())
