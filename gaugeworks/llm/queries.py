@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import packing, quality_rules, token_records
+from gaugeworks.llm import jaccard_join, packing, quality_rules, token_records
 from gaugeworks.llm.registry import ORACLES, QUERIES, query
 from gaugeworks.llm.tokens import word_bpe
 
@@ -28,3 +28,8 @@ def op3_token_records(spark, sf_dir):
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe())
+
+
+@query("op8_ngram_jaccard", jaccard_join.ORACLE)
+def op8_ngram_jaccard(spark, sf_dir):
+    return jaccard_join.similar_texts(table(spark, sf_dir, "documents")).drop("t1", "t2")
