@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import jaccard_join, packing, quality_rules, token_records
+from gaugeworks.llm import jaccard_join, license_scan, packing, quality_rules, token_records
 from gaugeworks.llm.registry import ORACLES, QUERIES, query
 from gaugeworks.llm.tokens import word_bpe
 
@@ -33,3 +33,8 @@ def op10_best_fit_packing(spark, sf_dir):
 @query("op8_ngram_jaccard", jaccard_join.ORACLE)
 def op8_ngram_jaccard(spark, sf_dir):
     return jaccard_join.similar_texts(table(spark, sf_dir, "documents")).drop("t1", "t2")
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark, sf_dir):
+    return license_scan.report(table(spark, sf_dir, "documents"))
