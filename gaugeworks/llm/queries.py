@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import jaccard_join, license_scan, packing, quality_rules, token_records
+from gaugeworks.llm import embedding_dedup, jaccard_join, license_scan, packing, quality_rules, token_records
 from gaugeworks.llm.registry import ORACLES, QUERIES, query
 from gaugeworks.llm.tokens import word_bpe
 
@@ -38,3 +38,8 @@ def op8_ngram_jaccard(spark, sf_dir):
 @query("op5_license_scan")
 def op5_license_scan(spark, sf_dir):
     return license_scan.report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_embedding_dedup", embedding_dedup.ORACLE)
+def op2_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
