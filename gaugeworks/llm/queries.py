@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import embedding_dedup, jaccard_join, license_scan, packing, quality_rules, token_records
+from gaugeworks.llm import embedding_dedup, jaccard_join, license_scan, packing, quality_rules, substring_dedup, token_records
 from gaugeworks.llm.registry import ORACLES, QUERIES, query
 from gaugeworks.llm.tokens import word_bpe
 
@@ -43,3 +43,8 @@ def op5_license_scan(spark, sf_dir):
 @query("op2_embedding_dedup", embedding_dedup.ORACLE)
 def op2_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_substring_dedup", substring_dedup.ORACLE)
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("t1", "t2")
