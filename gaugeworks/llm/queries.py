@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import embedding_dedup, jaccard_join, license_scan, packing, quality_rules, substring_dedup, token_records
+from gaugeworks.llm import embedding_dedup, jaccard_join, license_scan, packing, quality_rules, substring_dedup, token_records, warc
 from gaugeworks.llm.registry import ORACLES, QUERIES, query
 from gaugeworks.llm.tokens import word_bpe
 
@@ -48,3 +48,10 @@ def op2_embedding_dedup(spark, sf_dir):
 @query("op4_substring_dedup", substring_dedup.ORACLE)
 def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("t1", "t2")
+
+
+@query("op7_warc_transactions", warc.ORACLE)
+def op7_warc_transactions(spark, sf_dir):
+    folder = warc.fresh_folder(spark)
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.page_rows(warc.assemble(warc.read_archives(spark, folder, manifest, with_payload=False)))
