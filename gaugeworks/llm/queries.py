@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import embedding_dedup, jaccard_join, license_scan, packing, quality_rules, substring_dedup, token_records, warc
+from gaugeworks.llm import cotraining, embedding_dedup, jaccard_join, license_scan, packing, quality_rules, substring_dedup, token_records, warc
 from gaugeworks.llm.registry import ORACLES, QUERIES, query
 from gaugeworks.llm.tokens import word_bpe
 
@@ -55,3 +55,8 @@ def op7_warc_transactions(spark, sf_dir):
     folder = warc.fresh_folder(spark)
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc.page_rows(warc.assemble(warc.read_archives(spark, folder, manifest, with_payload=False)))
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark, sf_dir):
+    return cotraining.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
