@@ -2,30 +2,76 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import quality_rules
+from gaugeworks.llm import cotraining, jaccard_join, packing, quality_rules, substring_dedup
 from gaugeworks.llm.common import forget_saved, remember
+from gaugeworks.llm.tokens import word_bpe
 from gaugeworks.session import fresh_path
 
 
+def _stage(build):
+    """Each stage begins when the result of the one before is stored, so that one's intermediate tables can go."""
+
+    @wraps(build)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget_saved(spark)
+        return build(spark, docs, sf_dir)
+
+    return begin
+
+
+@_stage
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the line rules keep, without their failing lines."""
     return quality_rules.clean(docs)
 
 
-STAGES = [("quality rules", quality_rules_stage)]
+@_stage
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that the co-trained classifier keeps; it learns from the labels of the texts at hand."""
+    return cotraining.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@_stage
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One text of each group of near copies, that with the smallest id."""
+    return jaccard_join.keep_one_of_each(docs)
+
+
+@_stage
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that a text with a smaller id has."""
+    return substring_dedup.clean(docs)
+
+
+@_stage
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all texts' tokens in training sequences."""
+    return packing.pack_documents(docs, word_bpe())
+
+
+STAGES = [
+    ("quality rules", quality_rules_stage),
+    ("quality classifier", quality_classifier_stage),
+    ("n-gram Jaccard join", near_duplicates_stage),
+    ("substring dedup", substring_dedup_stage),
+    ("best-fit packing", packing_stage),
+]
 
-#: SQL cannot tokenize; the tests hold each stage against a brute-force version.
+#: SQL can neither fit the classifier nor tokenize; the tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = fresh_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         forget_saved(spark)
         docs = spark.read.parquet(path)
-        remember(path)
+    remember(path)
     return docs

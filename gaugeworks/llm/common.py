@@ -74,6 +74,15 @@ def text_key(col: str | Column) -> list[Column]:
     return [F.xxhash64(col).alias("t1"), F.xxhash64(F.lit("second"), col).alias("t2")]
 
 
+def exact_id(name: str = "doc_id") -> Column:
+    """An id as a decimal, which pandas holds exactly beside nulls; ``plain_id`` turns it back."""
+    return F.col(name).cast("decimal(20,0)").alias(name)
+
+
+def plain_id(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def let(value: Column, body) -> Column:
     """Compute ``value`` once in a row and use it in ``body`` as often as needed."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import (
-    in_cells, joined_labels, met_here, mix, rolled, saved, ship, shuffle_parts, split_words, text_key, whole_groups,
+    exact_id, in_cells, joined_labels, met_here, mix, plain_id, rolled, saved, ship, shuffle_parts, split_words, text_key, whole_groups,
     word_hashes,
 )
 from gaugeworks.llm.components import connected_components
@@ -76,8 +76,8 @@ def _sketched(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
                         keys[row], looks[row] = of_band[k], small[k].tobytes()
                 yield batch.drop(columns="text").assign(bands=keys, sketch=looks)
 
-    schema = "doc_id long, t1 long, t2 long, bands array<long>, sketch binary"
-    out = docs.mapInPandas(sketch, schema)
+    schema = "doc_id decimal(20,0), t1 long, t2 long, bands array<long>, sketch binary"
+    out = plain_id(docs.withColumn("doc_id", exact_id()).mapInPandas(sketch, schema))
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -240,7 +240,6 @@ def similar_texts(
         ["t1", "t2"],
     ).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = held.groupBy("component").agg(F.min("row").alias("first"))
-    # a component of one document needs no look-up, and most are
     by_text = linked.join(first, "component", "left").select("t1", "t2", "class_id", "copies", "linked", "component_id", "first")
     return all_rows.drop("bands", "sketch").join(by_text, ["t1", "t2"], "left").select(
         "doc_id",
@@ -262,8 +261,6 @@ def keep_one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     same = keyed.doc_id.eqNullSafe(kept["_kept_doc_id"]) & (keyed["_t1"] == kept["_kept_t1"]) & (keyed["_t2"] == kept["_kept_t2"])
     joined = keyed.join(kept, same)
     # repeated rows: as many stay as were kept
-    from pyspark.sql import Window
-
     order = Window.partitionBy("doc_id", "_t1", "_t2").orderBy(F.lit(1))
     return joined.withColumn("_place", F.row_number().over(order)).filter("_place <= _kept_n").select(*columns)
 

@@ -9,16 +9,15 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import saved, ship
+from gaugeworks.llm.common import exact_id, plain_id, saved, ship
 from gaugeworks.llm.tokens import encoder
 
 SIZE = 4096
 END = 1
 #: Pieces that one task packs: enough that a task's one part-filled sequence is no loss, and few in memory.
 PIECES_PER_TASK = 100_000
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = "doc_id decimal(20,0), piece int, start long, length long, ids_crc32 long"
 
 
 def piece_lengths(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -38,12 +37,11 @@ def piece_lengths(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int =
                 ids = np.frombuffer(enc.encode(text) + tail, enc.dtype)
                 for piece, start in enumerate(range(0, len(ids), size)):
                     own = ids[start : start + size].astype("<u4")
-                    row = (None if pd.isna(doc_id) else int(doc_id), piece, start, len(own), zlib.crc32(own.tobytes()))
+                    row = (doc_id, piece, start, len(own), zlib.crc32(own.tobytes()))
                     rows.append((*row, own.astype("i4")) if with_ids else row)
-            out = pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    return plain_id(docs.select(exact_id(), "text").mapInPandas(cut, schema))
 
 
 class _Lengths:
@@ -125,6 +123,7 @@ def pack(pieces: DataFrame, size: int = SIZE, per_task: int = PIECES_PER_TASK) -
     """
     pieces = saved(pieces, "pieces")
     n = max(1, -(-pieces.count() // per_task))
+    pieces = pieces.withColumn("doc_id", exact_id())
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +145,7 @@ def pack(pieces: DataFrame, size: int = SIZE, per_task: int = PIECES_PER_TASK) -
                 at += length
         yield frame.assign(sequence_id=sequence, offset=offset)
 
-    return pieces.repartition(n).mapInPandas(place, schema)
+    return plain_id(pieces.repartition(n).mapInPandas(place, schema))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:

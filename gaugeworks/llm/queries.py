@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import cotraining, embedding_dedup, jaccard_join, license_scan, packing, quality_rules, substring_dedup, token_records, warc
+from gaugeworks.llm import cotraining, embedding_dedup, jaccard_join, lattice_sampling, license_scan, packing, quality_rules, substring_dedup, token_records, warc
 from gaugeworks.llm.registry import ORACLES, QUERIES, query
 from gaugeworks.llm.tokens import word_bpe
 
@@ -60,3 +60,9 @@ def op7_warc_transactions(spark, sf_dir):
 @query("op6_quality_classifier")
 def op6_quality_classifier(spark, sf_dir):
     return cotraining.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_lattice_sampling")
+def op9_lattice_sampling(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lattice_sampling.sample_segmentations(docs, lattice_sampling.piece_bpe(), with_ids=False)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import (
-    SPACE, mix, rolled, saved, ship, shuffle_parts, split_words, text_key, whole_groups, word_hashes,
+    SPACE, exact_id, mix, plain_id, rolled, saved, ship, shuffle_parts, split_words, text_key, whole_groups, word_hashes,
 )
 
 WINDOW = 50
@@ -99,7 +99,8 @@ def _read(docs: DataFrame, window: int, prefix: int) -> DataFrame:
                 yield batch.drop(columns="text").assign(n_words=lengths, digest=[_digest(w) for w in words], **lists)
 
     lists = "key array<long>, start array<int>, windows array<int>, before array<int>"
-    return docs.mapInPandas(read, f"doc_id long, t1 long, t2 long, n_words long, digest string, {lists}")
+    schema = f"doc_id decimal(20,0), t1 long, t2 long, n_words long, digest string, {lists}"
+    return plain_id(docs.withColumn("doc_id", exact_id()).mapInPandas(read, schema))
 
 
 def _segments(held: DataFrame, window: int) -> DataFrame:

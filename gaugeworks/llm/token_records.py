@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import remember, saved, ship, shuffle_parts
+from gaugeworks.llm.common import exact_id, plain_id, remember, saved, ship, shuffle_parts
 from gaugeworks.llm.tokens import encoder
 from gaugeworks.session import fresh_path
 
@@ -95,7 +96,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end: int = END,
         yield pd.DataFrame(rows)
 
     parts = files or shuffle_parts(spark)
-    dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(exact_id(), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return saved(dealt.mapInPandas(write, "shard long, file string, n_records long, n_tokens long"), "manifest")
 
 
@@ -103,7 +104,7 @@ def read_records(spark: SparkSession, folder: str, manifest: DataFrame, with_ids
     """Rows of the files named in the manifest, found by their offset index and checked: doc_id, start, n_tokens,
     ids_crc32, and the ids themselves where asked for. ``start`` counts the ids of all records before."""
     ship(spark)
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    schema = "doc_id decimal(20,0), start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     # one row per file: its count is that of the output files, not of the records
     starts = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -123,13 +124,12 @@ def read_records(spark: SparkSession, folder: str, manifest: DataFrame, with_ids
                             body = unframe(source)
                             none, doc_id, width = struct.unpack_from(BODY, body)
                             ids = np.frombuffer(body, f"<u{width}", offset=struct.calcsize(BODY)).astype("<u4")
-                            row = (None if none else doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+                            row = (None if none else Decimal(doc_id), start, len(ids), zlib.crc32(ids.tobytes()))
                             rows.append((*row, ids.astype("i4")) if with_ids else row)
                             start += len(ids)
-                        out = pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
-                        yield out.astype({"doc_id": "Int64"})
+                        yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
-    return starts.repartition(parts, "shard").mapInPandas(read, schema)
+    return plain_id(starts.repartition(parts, "shard").mapInPandas(read, schema))
 
 
 def fresh_folder(spark: SparkSession) -> str:
