@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from gaugeworks.llm.common import exact_id, plain_id, saved, ship
 from gaugeworks.llm.tokens import encoder
@@ -124,7 +125,7 @@ def pack(pieces: DataFrame, size: int = SIZE, per_task: int = PIECES_PER_TASK) -
     pieces = saved(pieces, "pieces")
     n = max(1, -(-pieces.count() // per_task))
     pieces = pieces.withColumn("doc_id", exact_id())
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType(list(pieces.schema)).add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
