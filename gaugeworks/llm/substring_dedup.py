@@ -36,7 +36,11 @@ from gaugeworks.llm.common import (
 WINDOW = 50
 PREFIX = 8
 #: Suffixes of a prefix that one task may gather.
-GROUP = 8192
+GROUP = 16384
+#: Suffixes that a task remembers to combine equal ones; beyond it the memory starts afresh, which changes no result.
+MET = 200_000
+#: Runs of repeated windows: each goes from low to high behind each of the starts.
+RUNS = "t1 long, t2 long, starts array<int>, low int, high int"
 
 
 def _least_place(values: np.ndarray, span: int) -> np.ndarray:
@@ -104,17 +108,34 @@ def _read(docs: DataFrame, window: int, prefix: int) -> DataFrame:
 
 
 def _segments(held: DataFrame, window: int) -> DataFrame:
-    """Each wanted suffix with the words of all its windows."""
+    """Each wanted suffix with the words of all its windows, combined before the shuffle.
+
+    Suffixes of one text with the same words are one row with several ``starts``. A suffix whose words the
+    task has met in a smaller document is settled: all its windows are repeats, and its row has no words.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: dict[bytes, int] = {}
         for batch in batches:
+            rows = []
             for t1, t2, first, text, wanted in zip(batch["t1"], batch["t2"], batch["first"], batch["text"], batch["wanted"]):
                 words = split_words(text)
-                rows = [(w["key"], w["n"], t1, t2, first, w["start"], w["windows"], w["before"],
-                         b" ".join(words[w["start"] : w["start"] + w["windows"] + window - 1])) for w in wanted]
-                yield pd.DataFrame(rows, columns=["key", "n", "t1", "t2", "first", "start", "windows", "before", "words"])
-
-    schema = "key long, n long, t1 long, t2 long, first long, start int, windows int, before int, words binary"
+                own: dict[tuple, list[int]] = {}
+                for w in wanted:
+                    start = w["start"]
+                    part = b" ".join(words[start : start + w["windows"] + window - 1])
+                    own.setdefault((w["key"], w["windows"], w["before"], part), []).append(start)
+                for (key, windows, before, part), starts in own.items():
+                    name = hashlib.blake2b(part + b"%d" % before, digest_size=16).digest()
+                    smallest = met.get(name)
+                    if smallest is None or first < smallest:
+                        met[name] = first
+                    rows.append((key, t1, t2, first, starts, windows, before, None if smallest is not None and smallest < first else part))
+            if len(met) > MET:
+                met.clear()
+            yield pd.DataFrame(rows, columns=["key", "t1", "t2", "first", "starts", "windows", "before", "words"])
+
+    schema = "key long, t1 long, t2 long, first long, starts array<int>, windows int, before int, words binary"
     return held.select("t1", "t2", "first", "text", "wanted").mapInPandas(cut, schema)
 
 
@@ -135,13 +156,13 @@ def _nodes(order: np.ndarray, common: np.ndarray, group_start: np.ndarray, depth
 
 
 def repeats_in_groups(frame: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Windows of whole prefix groups that also start in a smaller document: t1, t2, low, high (runs of starts)."""
+    """Windows of whole prefix groups that also start in a smaller document, as RUNS."""
     count = len(frame)
     words = [w.split() for w in frame["words"]]
     lengths = np.array([len(w) for w in words])
     codes = pd.factorize(np.array([x for w in words for x in w], dtype=object))[0].astype(np.int64) + 1
     at = np.cumsum(lengths) - lengths
-    start, before = frame["start"].to_numpy().astype(np.int64), frame["before"].to_numpy().astype(np.int64)
+    before = frame["before"].to_numpy().astype(np.int64)
     windows, first, group = frame["windows"].to_numpy(), frame["first"].to_numpy(), frame["group"].to_numpy()
 
     def side(step: np.ndarray, have: np.ndarray) -> np.ndarray:
@@ -167,7 +188,7 @@ def repeats_in_groups(frame: pd.DataFrame, window: int) -> pd.DataFrame:
         np.minimum.at(least, code, first[has])
         late = has[first[has] > least[code]]
         row_of.append(late)
-        start_of.append(start[late] + before[late] - k)
+        start_of.append(before[late] - k)
     rows = np.concatenate(row_of) if row_of else np.empty(0, int)
     starts = np.concatenate(start_of) if row_of else np.empty(0, int)
     order = np.lexsort((starts, rows))
@@ -175,7 +196,7 @@ def repeats_in_groups(frame: pd.DataFrame, window: int) -> pd.DataFrame:
     new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(rows) else rows
     last = np.r_[new[1:], len(rows)] - 1 if len(rows) else rows
     own = frame.iloc[rows[new]]
-    return pd.DataFrame({"t1": own["t1"].to_numpy(), "t2": own["t2"].to_numpy(), "low": starts[new], "high": starts[last]})
+    return pd.DataFrame({**{c: own[c].to_numpy() for c in ("t1", "t2", "starts")}, "low": starts[new], "high": starts[last]})
 
 
 def _in_subtrees(segments: DataFrame, window: int) -> DataFrame:
@@ -184,26 +205,27 @@ def _in_subtrees(segments: DataFrame, window: int) -> DataFrame:
             yield repeats_in_groups(frame, window)
 
     dealt = segments.repartition(shuffle_parts(segments.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInPandas(find, "t1 long, t2 long, low int, high int")
+    return dealt.mapInPandas(find, RUNS)
 
 
 def _by_whole_window(segments: DataFrame, window: int) -> DataFrame:
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            parts = []
             for row in batch.itertuples():
                 hashes = word_hashes(row.words.split())
-                n = len(hashes) - window + 1
-                yield pd.DataFrame({
-                    "h1": rolled(hashes, window).view(np.int64), "h2": rolled(mix(hashes + np.uint64(1)), window).view(np.int64),
-                    "t1": row.t1, "t2": row.t2, "first": row.first, "low": np.arange(row.start, row.start + n),
-                })
-
-    rows = segments.select("t1", "t2", "first", "start", "words").mapInPandas(
-        windows, "h1 long, h2 long, t1 long, t2 long, first long, low int"
+                one, two = rolled(hashes, window), rolled(mix(hashes + np.uint64(1)), window)
+                parts.append((one.view(np.int64), two.view(np.int64), np.arange(len(one), dtype=np.int32)))
+            each = [len(x[0]) for x in parts]
+            columns = {c: np.repeat(batch[c].to_numpy(), each) for c in ("t1", "t2", "first", "starts")}
+            yield pd.DataFrame({**dict(zip(("h1", "h2", "low"), map(np.concatenate, zip(*parts)))), **columns})
+
+    rows = segments.select("t1", "t2", "first", "starts", "words").mapInPandas(
+        windows, "h1 long, h2 long, low int, t1 long, t2 long, first long, starts array<int>"
     )
     least = rows.groupBy("h1", "h2").agg(F.min("first").alias("least"))
     late = rows.join(least, ["h1", "h2"]).filter("first > least")
-    return late.select("t1", "t2", "low", F.col("low").alias("high"))
+    return late.select("t1", "t2", "starts", "low", F.col("low").alias("high"))
 
 
 def _without(held: DataFrame, window: int) -> DataFrame:
@@ -217,8 +239,9 @@ def _without(held: DataFrame, window: int) -> DataFrame:
                 places = [m.span() for m in word.finditer(text)]
                 edge = np.zeros(len(places) + 1, np.int64)
                 for s in spans:
-                    edge[s["low"]] += 1
-                    edge[s["high"] + window] -= 1
+                    starts = np.asarray(s["starts"], np.int64)
+                    np.add.at(edge, starts + s["low"], 1)
+                    np.add.at(edge, starts + s["high"] + window, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = [text[a:b].encode("utf-8", "surrogatepass") for (a, b), g in zip(places, gone) if not g]
                 left, at = [], 0
@@ -253,21 +276,25 @@ def remove_repeats(
     firsts = rows.join(classes, ["t1", "t2"]).filter("doc_id = first")
     zipped = F.explode(F.arrays_zip("key", "start", "windows", "before")).alias("a")
     suffixes = firsts.select("t1", "t2", "first", zipped).select("t1", "t2", "first", "a.*")
-    counted = suffixes.groupBy("key").agg(F.min("t1").alias("low"), F.max("t1").alias("high"), F.count(F.lit(1)).alias("n"))
+    counted = suffixes.groupBy("key").agg(F.min("t1").alias("low"), F.max("t1").alias("high"))
     wanted = (
-        suffixes.join(counted.filter("low < high").select("key", "n"), "key")
-        .groupBy("t1", "t2", "first").agg(F.collect_list(F.struct("key", "n", "start", "windows", "before")).alias("wanted"))
+        suffixes.join(counted.filter("low < high").select("key"), "key")
+        .groupBy("t1", "t2", "first").agg(F.collect_list(F.struct("key", "start", "windows", "before")).alias("wanted"))
     )
     texts = keyed.withColumnRenamed("doc_id", "first")
     held = saved(texts.join(wanted, ["t1", "t2", "first"]), "texts")
-
-    def of_prefixes(fit) -> DataFrame:
-        some = held.withColumn("wanted", F.filter("wanted", fit)).filter(F.size("wanted") > 0)
-        return _segments(some, window)
-
-    in_trees = _in_subtrees(of_prefixes(lambda w: w["n"] <= group), window)
-    crowded = _by_whole_window(of_prefixes(lambda w: w["n"] > group), window)
-    spans = in_trees.unionByName(crowded).groupBy("t1", "t2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    segments = saved(_segments(held, window), "segments")
+    settled = segments.filter("words IS NULL").select("t1", "t2", "starts", F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"))
+    open_ones = segments.filter("words IS NOT NULL")
+    crowded = saved(open_ones.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select("key"), "crowded")
+    if crowded.isEmpty():
+        runs = _in_subtrees(open_ones, window)
+    else:
+        runs = _in_subtrees(open_ones.join(crowded, "key", "left_anti"), window)
+        runs = runs.unionByName(_by_whole_window(open_ones.join(crowded, "key", "left_semi"), window))
+    spans = (
+        runs.unionByName(settled).groupBy("t1", "t2").agg(F.collect_list(F.struct("starts", "low", "high")).alias("spans"))
+    )
     results = _without(held.select("t1", "t2", "text").join(spans, ["t1", "t2"]), window)
     if not with_text:
         results = results.drop("left")
