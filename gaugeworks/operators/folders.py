@@ -20,11 +20,29 @@ def stored_totals(table: DataFrame) -> DataFrame:
     )
 
 
-def drop_partitions_before(spark: SparkSession, path: str, part: str, first_kept: str) -> None:
-    """Remove the partition folders whose value sorts before ``first_kept``; nothing is read."""
+def _partition_folders(spark: SparkSession, path: str, part: str) -> tuple:
+    """File system of a table, and the folder of each value of its partition column; nothing is read."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {}
     for entry in files.listStatus(folder):
         name = entry.getPath().getName()
-        if name.startswith(f"{part}=") and name.split("=", 1)[1] < first_kept:
-            files.delete(entry.getPath(), True)
+        if name.startswith(f"{part}="):
+            found[name.split("=", 1)[1]] = entry.getPath()
+    return files, found
+
+
+def partition_values(spark: SparkSession, path: str, part: str) -> list[str]:
+    return sorted(_partition_folders(spark, path, part)[1])
+
+
+def drop_partitions(spark: SparkSession, path: str, part: str, values: list[str]) -> None:
+    """Remove the folders of these partitions."""
+    files, found = _partition_folders(spark, path, part)
+    for value in values:
+        files.delete(found[value], True)
+
+
+def drop_partitions_before(spark: SparkSession, path: str, part: str, first_kept: str) -> None:
+    """Remove the partition folders whose value sorts before ``first_kept``."""
+    drop_partitions(spark, path, part, [v for v in partition_values(spark, path, part) if v < first_kept])

@@ -9,9 +9,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.functions import instant, month_of, readable_size
+from gaugeworks.functions import day_of, instant, month_of, readable_size
 from gaugeworks.functions.timing import interval
-from gaugeworks.operators.folders import TARGET_BYTES, drop_partitions_before, stored_totals
+from gaugeworks.operators.folders import TARGET_BYTES, drop_partitions, partition_values, stored_totals
+from gaugeworks.schema import RETENTION
 
 
 def partition_inventory(
@@ -89,24 +90,42 @@ def compact_all(spark: SparkSession, tables: Mapping[str, tuple[str, str, tuple[
     return spark.createDataFrame(done, "table string, result string")
 
 
+#: How a partition's text is made from a time, by its number of digits.
+_GRAINS = {6: month_of, 8: day_of}
+
+
 def drop_expired_partitions(
     spark: SparkSession, path: str, keep: str, as_of, part: str = "yyyymm", time_col: str = "timestamp"
 ) -> None:
-    """Apply retention to a month-partitioned table: old months go whole, one month is cut.
+    """Apply retention to a table partitioned by month or day: old partitions go whole, one is cut.
 
-    Only the month in which the limit falls is rewritten. Months before it are removed as folders;
-    nothing in them is read.
+    The grain follows from the partitions themselves. Only the partition in which the limit falls is
+    rewritten; those before it are removed as folders and not read. A table whose partitions are not all
+    months or all days raises ValueError, and nothing is removed.
     """
+    values = partition_values(spark, path, part)
+    if not values:
+        return
+    digits = {len(v) if v.isdecimal() else None for v in values}
+    if len(digits) > 1 or not digits <= set(_GRAINS):
+        raise ValueError(f"partitions of {part} are not all months or all days")
     cutoff = instant(as_of) - interval(keep)
-    edge = spark.range(1).select(month_of(cutoff).alias("m")).first()["m"]
-    month = spark.read.parquet(path).filter(F.col(part).cast("string") == edge)
-    kept = month.filter(F.col(time_col) >= cutoff)
-    if not kept.isEmpty():
-        (
-            kept.sortWithinPartitions("device_id", time_col)
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
-        )
-        first_kept = edge
-    else:
-        first_kept = str(int(edge) + 1)
-    drop_partitions_before(spark, path, part, first_kept)
+    edge = spark.range(1).select(_GRAINS[digits.pop()](cutoff).alias("edge")).first()["edge"]
+    gone = [v for v in values if v < edge]
+    if edge in values:
+        kept = spark.read.parquet(path).filter((F.col(part).cast("string") == edge) & (F.col(time_col) >= cutoff))
+        if kept.isEmpty():
+            gone.append(edge)
+        else:
+            (
+                kept.sortWithinPartitions("device_id", time_col)
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+            )
+    drop_partitions(spark, path, part, gone)
+
+
+def apply_table_retention(spark: SparkSession, tables: Mapping[str, str], as_of) -> None:
+    """The retention of ``schema.RETENTION`` on stored tables, named events, minute, hour or day."""
+    for name, path in tables.items():
+        part, time_col = ("yyyymm", "timestamp") if name == "events" else ("part", "bucket")
+        drop_expired_partitions(spark, path, RETENTION[name], as_of, part, time_col)

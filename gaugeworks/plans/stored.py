@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import instant, rounded
 from gaugeworks.operators import anomalies as W
+from gaugeworks.operators import maintenance as X
 from gaugeworks.operators import quality as Q
 from gaugeworks.operators import rollups as R
 from gaugeworks.operators import samples as M
@@ -36,6 +39,27 @@ def rollup_minute(spark, sf_dir):
     return doubled(R.rollup(telemetry(spark, sf_dir), "minute"))
 
 
+def _retained(grain: str, keep: str, later: int, metrics):
+    """A stored rollup after its retention job, ``later`` days after the newest event."""
+    since = f"bucket >= (SELECT t FROM lim) + INTERVAL '{later} days' - INTERVAL '{keep}'"
+    sql = over_events(f"SELECT * FROM ({rollup_sql(grain, metrics)}) WHERE {since}", compression=1)
+
+    @query(f"retained_{grain}_rollup", sql)
+    def retained(spark, sf_dir):
+        path = fresh_path(spark, f"{grain}-rollup")
+        R.write_rollup(R.rollup(telemetry(spark, sf_dir, compression=1), grain), path, grain)
+        as_of = newest_time(spark, sf_dir, 1) + dt.timedelta(days=later)
+        X.apply_table_retention(spark, {grain: path}, as_of)
+        return doubled(spark.read.parquet(path).drop("part"))
+
+    return retained
+
+
+retained_minute_rollup = _retained("minute", "7 days", 0, R.MINUTE_METRICS)
+retained_hour_rollup = _retained("hour", "365 days", 350, R.HOUR_METRICS)
+retained_day_rollup = _retained("day", "2 years", 715, R.HOUR_METRICS)
+
+
 @query("rollup_hour", over_events(rollup_sql("hour", R.HOUR_METRICS)))
 def rollup_hour(spark, sf_dir):
     return doubled(R.rollup(telemetry(spark, sf_dir), "hour"))

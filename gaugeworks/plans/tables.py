@@ -16,7 +16,7 @@ from gaugeworks.schema import EVENTS, HEADER, METRICS
 from gaugeworks.session import fresh_path
 from gaugeworks.sinks import archive_expired, publish_snapshot, write_events, write_indexed
 from gaugeworks.sources import (
-    flatten_readings, narrow, normalise_alt_messages, parse_messages, read_events, read_month_range,
+    flatten_readings, narrow, normalise_alt_messages, parse_alt_messages, parse_messages, read_events, read_month_range,
     read_snapshot, rejected_messages, snapshot_or, to_messages, zero_filled,
 )
 from gaugeworks.sources import sample_tables as S
@@ -115,6 +115,19 @@ def alternate_messages(spark, sf_dir):
     return normalise_alt_messages(texts)
 
 
+@query("rejected_alternate_messages", over_events(
+    "SELECT CASE WHEN msg_id % 3 = 0 THEN 'noise ' || msg_id ELSE '{\"timestamp\":' || msg_id || '}' END AS rejected FROM ev"))
+def rejected_alternate_messages(spark, sf_dir):
+    """Every event once as text that is no message or lacks a device, and once sound: the former come back."""
+    ev = telemetry(spark, sf_dir)
+    number = F.col("msg_id").cast("string")
+    broken = F.when(F.col("msg_id") % 3 == 0, F.concat(F.lit("noise "), number)).otherwise(
+        F.concat(F.lit('{"timestamp":'), number, F.lit("}")))
+    sound = F.to_json(F.struct(F.col("device_id").alias("deviceId"), F.col("msg_id").alias("timestamp")))
+    texts = ev.select(broken.alias("message")).unionByName(ev.select(sound.alias("message")))
+    return rejected_messages(parse_alt_messages(texts))
+
+
 @query("both_message_forms", over_events(f"""
 SELECT device_id, count(*) AS events, count(msg_id) AS numbered, {avg('temperature')} AS avg_temperature
 FROM (SELECT device_id, msg_id, temperature FROM ev WHERE status <> 'ERROR'
@@ -229,16 +242,21 @@ def partition_rows(spark, sf_dir):
     return partition_inventory(spark, sf_dir).select("partition", "rows", "min_time", "max_time")
 
 
+GIVEN_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
+
+
 @query("table_sizes")
 def table_sizes(spark, sf_dir):
     """Sizes of the given tables as they are stored."""
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-    return X.table_sizes(spark, {n: f"{sf_dir}/{n}.parquet" for n in names})
+    return X.table_sizes(spark, {n: f"{sf_dir}/{n}.parquet" for n in GIVEN_TABLES})
 
 
 @query("table_rows", " UNION ALL ".join(
     f"SELECT '{n}' AS \"table\", (SELECT count(*) FROM {n}) AS rows"
-    for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")))
+    for n in GIVEN_TABLES))
 def table_rows(spark, sf_dir):
     return table_sizes(spark, sf_dir).select("table", "rows")
 

@@ -41,15 +41,25 @@ def rejected_messages(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("rejected").isNotNull()).select("rejected")
 
 
-def normalise_alt_messages(df: DataFrame, col: str = "message", time_type: str = "timestamp_ntz") -> DataFrame:
-    """Messages of the load-test clients in the shape of the events table; padding is dropped."""
-    return df.select(_parsed_once(F.from_json(col, ALT_MESSAGE))).select(
-        from_epoch_ms("timestamp", time_type).alias("timestamp"),
-        F.col("deviceId").alias("device_id"),
-        "temperature",
-        "humidity",
-        "pressure",
+def parse_alt_messages(df: DataFrame, col: str = "message", time_type: str = "timestamp_ntz") -> DataFrame:
+    """Messages of the load-test clients in the shape of the events table; padding is dropped.
+
+    Text that does not parse, and messages without a device or a time, are kept in ``rejected`` instead.
+    """
+    schema = T.StructType(ALT_MESSAGE.fields + [T.StructField(_CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    parsed = df.select(F.col(col).alias("_text"), _parsed_once(F.from_json(col, schema, options))).select(
+        "_text", _CORRUPT, from_epoch_ms("timestamp", time_type).alias("timestamp"), F.col("deviceId").alias("device_id"),
+        "temperature", "humidity", "pressure",
     )
+    bad = F.col(_CORRUPT).isNotNull() | F.col("timestamp").isNull() | F.col("device_id").isNull()
+    columns = ("timestamp", "device_id", "temperature", "humidity", "pressure")
+    return parsed.select(*[F.when(~bad, F.col(c)).alias(c) for c in columns], F.when(bad, F.col("_text")).alias("rejected"))
+
+
+def normalise_alt_messages(df: DataFrame, col: str = "message", time_type: str = "timestamp_ntz") -> DataFrame:
+    """The sound ones of these messages; what is wrong with the others is in ``parse_alt_messages``."""
+    return parse_alt_messages(df, col, time_type).filter("rejected IS NULL").drop("rejected")
 
 
 def flatten_readings(df: DataFrame) -> DataFrame:

@@ -194,3 +194,13 @@ def test_json_scan(spark, sf_dir):
     assert back.agg(F.max("timestamp")).first() == ev.agg(F.max("timestamp")).first()
     with pytest.raises(ValueError):
         read_events(spark, path, "csv")
+
+
+@pytest.mark.parametrize("part", ["hourly", "2024"])
+def test_retention_refuses_other_partitions(spark, part):
+    path = fresh_path(spark, "odd")
+    df = spark.createDataFrame([("d", "2020-01-01 00:00:00", part)], "device_id string, timestamp string, yyyymm string")
+    df.withColumn("timestamp", df["timestamp"].cast("timestamp_ntz")).write.partitionBy("yyyymm").parquet(path)
+    with pytest.raises(ValueError):
+        X.drop_expired_partitions(spark, path, "7 days", "2024-12-20 12:00:00")
+    assert spark.read.parquet(path).count() == 1
