@@ -30,6 +30,9 @@ LEAST_LABELS = 5
 #: Slots that names of sources and languages are hashed to.
 NAME_SLOTS = 64
 
+#: Rows that a task goes through in each step of a fit; fewer would cost more to start than to do.
+ROWS_PER_TASK = 20_000
+
 VIEWS = ("content", "page")
 
 
@@ -82,7 +85,8 @@ def featured(docs: DataFrame) -> DataFrame:
 
 def _fit(rows: DataFrame, features: str) -> LogisticRegressionModel:
     """A model whose two classes weigh the same."""
-    share = rows.agg(F.avg("label")).first()[0]
+    share, n = rows.agg(F.avg("label"), F.count(F.lit(1))).first()
+    rows = rows.coalesce(-(-n // ROWS_PER_TASK))
     weighted = rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
     learner = LogisticRegression(featuresCol=features, weightCol="weight", regParam=0.001, maxIter=25)
     return learner.fit(weighted)
