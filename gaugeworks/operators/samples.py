@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions import percent, rounded, since
+from gaugeworks.functions import instant, percent, rounded, since
 from gaugeworks.functions.timing import span_seconds
 from gaugeworks.operators.chunks import CHUNK, SMALL, in_chunks
 
 NEWEST_LAST = ("ts", "value")
+#: A gauge whose newest sample is older has stopped and shows no value.
+LOOK_BACK = "5 minutes"
 
 
 TAGS = "_tags"
@@ -27,11 +29,16 @@ def series() -> Column:
     return F.to_json(F.map_from_entries(TAGS)).alias("series")
 
 
+def _recent(rows: DataFrame, samples: DataFrame, span: str | None, as_of) -> DataFrame:
+    """The rows of the span that ends at ``as_of``, by default at the newest of all samples."""
+    if span is None:
+        return rows
+    within = F.col("ts") >= since(samples, span, as_of, "ts")
+    return rows.filter(within if as_of is None else within & (F.col("ts") <= instant(as_of)))
+
+
 def _named(samples: DataFrame, name: str, span: str | None, as_of) -> DataFrame:
-    rows = samples.filter(F.col("metric") == name)
-    if span is not None:
-        rows = rows.filter(F.col("ts") >= since(samples, span, as_of, "ts"))
-    return rows
+    return _recent(samples.filter(F.col("metric") == name), samples, span, as_of)
 
 
 def _increase(value: Column, previous: Column) -> Column:
@@ -74,15 +81,15 @@ def busy_percent(samples: DataFrame, idle_counter: str, span: str | None = "5 mi
     return rates.agg(rounded(F.lit(100.0) - F.avg("rate") * 100, 4).alias("busy_pct"))
 
 
-def gauge_latest(samples: DataFrame, name: str) -> DataFrame:
-    """Newest value of every series."""
-    newest = _named(samples, name, None, None).groupBy(tags()).agg(F.max(F.struct(*NEWEST_LAST)).alias("_last"))
+def gauge_latest(samples: DataFrame, name: str, span: str | None = LOOK_BACK, as_of=None) -> DataFrame:
+    """Newest value of every series that has one within the span; ``span=None`` looks at the whole history."""
+    newest = _named(samples, name, span, as_of).groupBy(tags()).agg(F.max(F.struct(*NEWEST_LAST)).alias("_last"))
     return newest.select(series(), F.col("_last.ts").alias("ts"), F.col("_last.value").alias("value"))
 
 
-def gauge_ratio(samples: DataFrame, part: str, whole: str) -> DataFrame:
-    """``(1 - part/whole) * 100`` of the newest values with equal labels, without a join."""
-    both = samples.filter(F.col("metric").isin(part, whole)).groupBy(tags()).agg(
+def gauge_ratio(samples: DataFrame, part: str, whole: str, span: str | None = LOOK_BACK, as_of=None) -> DataFrame:
+    """``(1 - part/whole) * 100`` of the newest values with equal labels within the span, without a join."""
+    both = _recent(samples.filter(F.col("metric").isin(part, whole)), samples, span, as_of).groupBy(tags()).agg(
         F.max(F.when(F.col("metric") == part, F.struct(*NEWEST_LAST))).alias("_part"),
         F.max(F.when(F.col("metric") == whole, F.struct(*NEWEST_LAST))).alias("_whole"),
     )
@@ -91,12 +98,12 @@ def gauge_ratio(samples: DataFrame, part: str, whole: str) -> DataFrame:
     return matched.select(series(), used.alias("used_pct"))
 
 
-def sum_where(samples: DataFrame, name: str, labels: dict[str, str]) -> DataFrame:
-    """Sum of the newest values of the series that carry the given labels."""
-    rows = samples.filter(F.col("metric") == name)
+def sum_where(samples: DataFrame, name: str, labels: dict[str, str], span: str | None = LOOK_BACK, as_of=None) -> DataFrame:
+    """Sum of the newest values, within the span, of the series that carry the given labels."""
+    rows = _named(samples, name, span, as_of)
     for key, value in labels.items():
         rows = rows.filter(F.col("labels")[key] == value)
-    return gauge_latest(rows, name).agg(F.sum("value").alias("total"))
+    return gauge_latest(rows, name, None).agg(F.sum("value").alias("total"))
 
 
 def bucket_histogram(df: DataFrame, value: str, bounds: Sequence[float], labels: Sequence[str] = ()) -> DataFrame:

@@ -600,6 +600,14 @@ def latest_readings(spark, sf_dir):
     return doubled(D.latest_reading(telemetry(spark, sf_dir)))
 
 
+@query("latest_reading_of_device", over_events(
+    f"SELECT device_id, timestamp, status, msg_id, {doubles(*METRICS)} FROM {latest('device_id')} "
+    "WHERE device_id = (SELECT max(device_id) FROM ev)"))
+def latest_reading_of_device(spark, sf_dir):
+    ev = telemetry(spark, sf_dir)
+    return doubled(D.latest_reading(ev, ev.agg(F.max("device_id")).first()[0]))
+
+
 @query("stale_device_count", over_events(f"""
 SELECT (SELECT count(DISTINCT device_id) FROM ev WHERE {within('1 hour')})
   - (SELECT count(DISTINCT device_id) FROM ev WHERE {within('5 minutes')}) AS stale_devices"""))

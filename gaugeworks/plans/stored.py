@@ -335,14 +335,29 @@ _BY_SAMPLE = "SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY timestam
     f"SELECT {_DEVICE_SERIES} AS series, timestamp AS ts, CAST(battery_level * 64 AS DOUBLE) AS value "
     f"FROM ({_BY_SAMPLE.format(keys='device_id', value='battery_level')}) WHERE rn = 1"))
 def gauge_latest(spark, sf_dir):
-    return M.gauge_latest(S.samples(spark, sf_dir), "memory_available_bytes")
+    return M.gauge_latest(S.samples(spark, sf_dir), "memory_available_bytes", None)
+
+
+@query("gauge_latest_5m", over_events(
+    f"SELECT {_DEVICE_SERIES} AS series, timestamp AS ts, CAST(battery_level * 64 AS DOUBLE) AS value "
+    f"FROM ({_BY_SAMPLE.format(keys='device_id', value='battery_level')}) WHERE rn = 1 AND {within('5 minutes')}"))
+def gauge_latest_5m(spark, sf_dir):
+    return M.gauge_latest(S.samples(spark, sf_dir), "memory_available_bytes", as_of=newest_time(spark, sf_dir))
 
 
 @query("gauge_ratio", over_events(
     f"SELECT {_DEVICE_SERIES} AS series, {r('((8192.0 - CAST(battery_level * 64 AS DOUBLE)) * 100 / 8192.0)', 3)} AS used_pct "
     f"FROM ({_BY_SAMPLE.format(keys='device_id', value='battery_level')}) WHERE rn = 1"))
 def gauge_ratio(spark, sf_dir):
-    return M.gauge_ratio(S.samples(spark, sf_dir), "memory_available_bytes", "memory_total_bytes")
+    return M.gauge_ratio(S.samples(spark, sf_dir), "memory_available_bytes", "memory_total_bytes", None)
+
+
+@query("gauge_ratio_5m", over_events(
+    f"SELECT {_DEVICE_SERIES} AS series, {r('((8192.0 - CAST(battery_level * 64 AS DOUBLE)) * 100 / 8192.0)', 3)} AS used_pct "
+    f"FROM ({_BY_SAMPLE.format(keys='device_id', value='battery_level')}) WHERE rn = 1 AND {within('5 minutes')}"))
+def gauge_ratio_5m(spark, sf_dir):
+    at = newest_time(spark, sf_dir)
+    return M.gauge_ratio(S.samples(spark, sf_dir), "memory_available_bytes", "memory_total_bytes", as_of=at)
 
 
 @query("running_pods", over_events(
@@ -350,7 +365,16 @@ def gauge_ratio(spark, sf_dir):
     + _BY_SAMPLE.format(keys="device_id, location", value="(CASE WHEN status IN ('OK', 'WARN') THEN 1 ELSE 0 END)")
     + ") WHERE rn = 1 AND location = 'basement'"))
 def running_pods(spark, sf_dir):
-    return M.sum_where(S.samples(spark, sf_dir), "pod_status_phase", {"phase": "Running", "namespace": "basement"})
+    return M.sum_where(S.samples(spark, sf_dir), "pod_status_phase", {"phase": "Running", "namespace": "basement"}, None)
+
+
+@query("running_pods_1h", over_events(
+    "SELECT CAST(sum(CASE WHEN status IN ('OK', 'WARN') THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS total FROM ("
+    + _BY_SAMPLE.format(keys="device_id, location", value="(CASE WHEN status IN ('OK', 'WARN') THEN 1 ELSE 0 END)")
+    + f") WHERE rn = 1 AND location = 'basement' AND {within('1 hour')}"))
+def running_pods_1h(spark, sf_dir):
+    wanted, at = {"phase": "Running", "namespace": "basement"}, newest_time(spark, sf_dir)
+    return M.sum_where(S.samples(spark, sf_dir), "pod_status_phase", wanted, "1 hour", at)
 
 
 # Bucket bounds of the request latency histogram.

@@ -221,6 +221,20 @@ def test_labels_in_another_order_are_one_series(spark):
     assert one(M.sum_where(df, "g", {"b": "2"}))["total"] == 2.0
 
 
+def test_a_gauge_that_stopped_shows_no_value(spark):
+    rows = [("g", "old", "11:50", 1.0), ("g", "new", "11:58", 2.0), ("all", "old", "11:50", 4.0), ("all", "new", "11:58", 4.0), ("g", "late", "12:01", 9.0)]
+    df = spark.createDataFrame(rows, "metric string, device string, t string, value double").select(
+        "metric", F.create_map(F.lit("device"), "device").alias("labels"),
+        F.concat(F.lit("2024-05-01 "), "t").cast("timestamp_ntz").alias("ts"), "value",
+    )
+    at = "2024-05-01 12:00:00"
+    assert one(M.gauge_latest(df, "g", as_of=at))["value"] == 2.0
+    assert one(M.gauge_ratio(df, "g", "all", as_of=at))["used_pct"] == 50.0
+    assert one(M.sum_where(df, "g", {"device": "old"}, as_of=at))["total"] is None
+    assert M.gauge_latest(df, "g", None).count() == 3
+    assert {r["value"] for r in M.gauge_latest(df, "g").collect()} == {2.0, 9.0}
+
+
 def test_histogram(spark):
     df = spark.createDataFrame([(0.01,), (0.02,), (7.0,), (None,)], "v double")
     got = {r["le"]: r["bucket"] for r in M.bucket_histogram(df, "v", [0.01, 0.05, 5]).collect()}
