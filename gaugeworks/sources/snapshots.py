@@ -22,24 +22,32 @@ SNAPSHOT = T.StructType(
 
 
 def read_snapshot(spark: SparkSession, store: str, key: str, schema: T.StructType, as_of) -> DataFrame:
-    """Rows of the result set under ``key``, typed again; none once it has expired.
+    """Rows of the result set under ``key``, typed again; none once it has expired."""
+    return _documents(_alive(spark, store, key, as_of), schema)
+
+
+def _alive(spark: SparkSession, store: str, key: str, as_of) -> DataFrame:
+    """Records under ``key`` that have not expired, the set's header among them.
 
     ``key`` is the partition column of the store, so only that folder is read.
     """
     rows = spark.read.schema(SNAPSHOT).parquet(store)
-    alive = rows.filter((F.col("key") == key) & (F.col("expires_at") > instant(as_of)))
-    return alive.select(F.from_json("payload", schema).alias("r")).select("r.*")
+    return rows.filter((F.col("key") == key) & (F.col("expires_at") > instant(as_of)))
+
+
+def _documents(alive: DataFrame, schema: T.StructType) -> DataFrame:
+    return alive.filter("payload IS NOT NULL").select(F.from_json("payload", schema).alias("r")).select("r.*")
 
 
 def snapshot_or(
     spark: SparkSession, store: str, key: str, schema: T.StructType, as_of, live: Callable[[], DataFrame]
 ) -> DataFrame:
-    """The cached result set, or the live query when it is missing or expired."""
+    """The cached result set, which may be empty, or the live query when it is missing or expired."""
     try:
-        cached = read_snapshot(spark, store, key, schema, as_of)
-        found = not cached.isEmpty()
+        alive = _alive(spark, store, key, as_of)
+        found = not alive.isEmpty()
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         found = False
-    return cached if found else live()
+    return _documents(alive, schema) if found else live()

@@ -174,6 +174,8 @@ def test_an_empty_result_replaces_an_older_one(spark):
     assert read_snapshot(spark, store, "dash:one", df.schema, "2024-05-01 12:00:10").count() == 2
     publish_snapshot(df.limit(0), store, "dash:one", 120, "2024-05-01 12:00:00")
     assert read_snapshot(spark, store, "dash:one", df.schema, "2024-05-01 12:00:10").count() == 0
+    served = lambda at: snapshot_or(spark, store, "dash:one", df.schema, at, lambda: df).count()
+    assert served("2024-05-01 12:00:10") == 0 and served("2024-05-01 12:02:00") == 2
 
 
 def test_missing_store_falls_back(spark):
