@@ -14,17 +14,29 @@ from gaugeworks.schema import ALERT_RULES, RANGE_RULES, THRESHOLDS
 Rule = tuple[str, str, float, str]
 
 
+def not_before(ev: DataFrame, bound: Column, time_col: str = "timestamp") -> DataFrame:
+    """Rows from ``bound`` on; on a month-partitioned table the bound is put on ``yyyymm`` too."""
+    rows = ev.filter(F.col(time_col) >= bound)
+    if time_col == "timestamp" and "yyyymm" in ev.columns:
+        rows = rows.filter(F.col("yyyymm").cast("string") >= month_of(bound))
+    return rows
+
+
+def before(ev: DataFrame, bound: Column, time_col: str = "timestamp") -> DataFrame:
+    """Rows older than ``bound``, with the same bound on the months."""
+    rows = ev.filter(F.col(time_col) < bound)
+    if time_col == "timestamp" and "yyyymm" in ev.columns:
+        rows = rows.filter(F.col("yyyymm").cast("string") <= month_of(bound))
+    return rows
+
+
 def trailing(ev: DataFrame, span: str, as_of=None) -> DataFrame:
     """Rows of the last ``span`` before ``as_of`` (lower bound only, newer rows stay in).
 
     On a month-partitioned table the bound is also put on ``yyyymm``, so that older months are left
     out when the plan is made or, if the bound is only known then, when the query starts.
     """
-    bound = since(ev, span, as_of)
-    recent = ev.filter(F.col("timestamp") >= bound)
-    if "yyyymm" in ev.columns:
-        recent = recent.filter(F.col("yyyymm").cast("string") >= month_of(bound))
-    return recent
+    return not_before(ev, since(ev, span, as_of))
 
 
 def status_in(ev: DataFrame, statuses: Iterable[str]) -> DataFrame:

@@ -20,6 +20,24 @@ def stored_totals(table: DataFrame) -> DataFrame:
     )
 
 
+def stored_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file of a table: ``path``, ``length`` and the partition columns. Nothing but the listing is read."""
+    return spark.read.format("binaryFile").load(path).drop("content", "modificationTime")
+
+
+def stored_bytes(files: DataFrame) -> int:
+    return files.agg(F.sum("length")).first()[0] or 0
+
+
+def scattered_partitions(spark: SparkSession, path: str, part: str, target_bytes: int = TARGET_BYTES) -> tuple[str, ...]:
+    """Partitions with more than twice the files that their bytes call for, and one for a shared boundary."""
+    each = stored_files(spark, path).groupBy(F.col(part).cast("string").alias("part")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
+    )
+    needy = each.filter(F.col("files") > 2 * F.ceil(F.col("bytes") / target_bytes) + 1)
+    return tuple(sorted(r["part"] for r in needy.select("part").collect()))
+
+
 def _partition_folders(spark: SparkSession, path: str, part: str) -> tuple:
     """File system of a table, and the folder of each value of its partition column; nothing is read."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

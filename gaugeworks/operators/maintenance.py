@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import day_of, instant, month_of, readable_size
 from gaugeworks.functions.timing import interval
-from gaugeworks.operators.folders import TARGET_BYTES, drop_partitions, partition_values, stored_totals
+from gaugeworks.operators.folders import TARGET_BYTES, drop_partitions, partition_values, scattered_partitions, stored_bytes, stored_files, stored_totals
 from gaugeworks.schema import RETENTION
 
 
@@ -62,11 +62,11 @@ def compact(
     each file covers a narrow range. Partitions are replaced when the job commits; until then, and if
     it fails, the old files stay.
     """
-    table = spark.read.parquet(path)
+    table, listed = spark.read.parquet(path), stored_files(spark, path)
     if only is not None:
-        table = table.filter(F.col(part).cast("string").isin(*only))
-    size = stored_totals(table).first()["bytes"] or 0
-    files = max(1, -(-size // target_bytes))
+        chosen = F.col(part).cast("string").isin(*only)
+        table, listed = table.filter(chosen), listed.filter(chosen)
+    files = max(1, -(-stored_bytes(listed) // target_bytes))
     keys = [part, *order]
     (
         table.repartitionByRange(int(files), *keys)
@@ -79,12 +79,17 @@ def compact(
 
 
 def compact_all(spark: SparkSession, tables: Mapping[str, tuple[str, str, tuple[str, ...]]]) -> DataFrame:
-    """Compact several tables; a failure is reported in its row and does not stop the others."""
+    """Compact the scattered partitions of several tables; others are not touched.
+
+    A failure is reported in its row and does not stop the rest.
+    """
     done = []
     for name, (path, part, order) in tables.items():
         try:
-            compact(spark, path, part, order)
-            done.append((name, "optimized"))
+            needy = scattered_partitions(spark, path, part)
+            if needy:
+                compact(spark, path, part, order, only=needy)
+            done.append((name, "optimized" if needy else "unchanged"))
         except PySparkException as failure:
             done.append((name, f"error: {failure.getCondition() or type(failure).__name__}"))
     return spark.createDataFrame(done, "table string, result string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import newest, rounded, seconds_between, since
 from gaugeworks.functions.timing import interval, newest_part
-from gaugeworks.operators.filters import band_of, trailing
+from gaugeworks.operators.filters import band_of, before, not_before, trailing
 from gaugeworks.schema import FRESHNESS_BANDS
 
 RANGES = {"temperature": (-50.0, 100.0), "pressure": (950.0, 1050.0)}
@@ -91,9 +91,9 @@ def volume_trigger(ev: DataFrame, as_of=None, limit: int = 1000, span: str = "1
 
 def apply_retention(ev: DataFrame, keep: str = "90 days", as_of=None, time_col: str = "timestamp") -> DataFrame:
     """Rows that are still kept: not older than ``keep``."""
-    return ev.filter(F.col(time_col) >= since(ev, keep, as_of, time_col))
+    return not_before(ev, since(ev, keep, as_of, time_col), time_col)
 
 
 def expired(ev: DataFrame, keep: str = "90 days", as_of=None, time_col: str = "timestamp") -> DataFrame:
     """The other side of ``apply_retention``: rows due for the archive."""
-    return ev.filter(F.col(time_col) < since(ev, keep, as_of, time_col))
+    return before(ev, since(ev, keep, as_of, time_col), time_col)

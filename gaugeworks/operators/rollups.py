@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import bucket, day_of, month_of, rounded
 from gaugeworks.functions.timing import instant, interval, newest
+from gaugeworks.operators.filters import not_before
 from gaugeworks.schema import METRICS
 
 KEY = ("bucket", "device_id", "device_type", "location")
@@ -116,6 +117,25 @@ def trend_from_rollup(rolled: DataFrame, span: str = "24 hours", as_of=None) ->
     )
 
 
+def timeseries_from_rollup(rolled: DataFrame, span: str = "1 hour", grain: str = "minute", as_of=None) -> DataFrame:
+    """The columns of the time series from whole stored buckets; one that the span cuts into is left out."""
+    out = _recent(rolled, span, as_of).groupBy(bucket("bucket", grain).alias(grain)).agg(
+        mean_from_parts("temperature").alias("avg_temperature"), mean_from_parts("pressure").alias("avg_pressure"),
+        F.sum("events").alias("event_count"),
+    )
+    return out.orderBy(grain)
+
+
+def hourly_stats_from_rollup(rolled: DataFrame, span: str = "24 hours", as_of=None, approx: bool = False) -> DataFrame:
+    """The columns of the hourly statistics from whole stored buckets."""
+    distinct = F.approx_count_distinct("device_id") if approx else F.count_distinct("device_id")
+    out = _recent(rolled, span, as_of).groupBy(bucket("bucket", "hour").alias("hour")).agg(
+        F.sum("events").alias("events"), mean_from_parts("temperature").alias("avg_temperature"),
+        mean_from_parts("pressure").alias("avg_pressure"), distinct.alias("active_devices"),
+    )
+    return out.orderBy("hour")
+
+
 def hourly_coverage(rolled: DataFrame, span: str = "24 hours", as_of=None) -> DataFrame:
     return _recent(rolled, span, as_of).agg(
         F.count(F.lit(1)).alias("row_count"), F.min("bucket").alias("earliest"), F.max("bucket").alias("latest")
@@ -133,14 +153,14 @@ def daily_coverage(rolled: DataFrame, days: int = 30, as_of=None, approx: bool =
     )
 
 
-def _part_column(grain: str) -> Column:
+def part_column(grain: str) -> Column:
     return day_of("bucket") if grain == "minute" else month_of("bucket")
 
 
 def write_rollup(rolled: DataFrame, path: str, grain: str) -> None:
     """Minute rollups by day, coarser ones by month, sorted by device and time inside a file."""
     (
-        rolled.withColumn("part", _part_column(grain))
+        rolled.withColumn("part", part_column(grain))
         .repartitionByRange("part", "device_id", "bucket")
         .sortWithinPartitions("part", "device_id", "bucket")
         .write.mode("overwrite")
@@ -150,6 +170,15 @@ def write_rollup(rolled: DataFrame, path: str, grain: str) -> None:
     )
 
 
+def settle_rollup(spark: SparkSession, landing: str, path: str, parts: Sequence[str], grain: str = "minute") -> None:
+    """Move finished partitions of a landed rollup (``streaming.sink_rollup``) into the stored one.
+
+    Each is rebuilt whole from the landed rows and replaces what the table had of it, so it may be repeated.
+    """
+    landed = spark.read.parquet(landing).filter(F.col("part").cast("string").isin(*parts))
+    write_rollup(landed.drop("part"), path, grain)
+
+
 def refresh_rollup(spark: SparkSession, path: str, ev: DataFrame, changed_since, grain: str = "minute") -> DataFrame:
     """Recompute the partitions that hold events from ``changed_since`` on; others stay untouched.
 
@@ -158,5 +187,5 @@ def refresh_rollup(spark: SparkSession, path: str, ev: DataFrame, changed_since,
     """
     unit = "day" if grain == "minute" else "month"
     start = F.date_trunc(unit, instant(changed_since)).cast("timestamp_ntz")
-    write_rollup(rollup(ev.filter(F.col("timestamp") >= start), grain), path, grain)
+    write_rollup(rollup(not_before(ev, start), grain), path, grain)
     return spark.read.parquet(path)

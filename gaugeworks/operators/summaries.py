@@ -15,7 +15,7 @@ from gaugeworks.functions import (
     bucket, mean, newest, percent, readable_quantity, rounded, since, with_default,
 )
 from gaugeworks.functions.timing import interval, span_seconds
-from gaugeworks.operators.filters import any_rule, trailing
+from gaugeworks.operators.filters import any_rule, not_before, trailing
 from gaugeworks.schema import RANGE_RULES
 
 ALERT = ("WARN", "CRITICAL")
@@ -245,7 +245,7 @@ def throughput_since_start(ev: DataFrame, start, as_of=None) -> DataFrame:
     """Events per second since ``start``; less than a second counts as one."""
     began = newest(ev, start)
     elapsed = F.unix_seconds(newest(ev, as_of).cast("timestamp")) - F.unix_seconds(began.cast("timestamp"))
-    counted = ev.filter(F.col("timestamp") >= began).agg(events().alias("events"))
+    counted = not_before(ev, began).agg(events().alias("events"))
     return counted.select(rounded(F.col("events") / F.greatest(elapsed, F.lit(1)), 2).alias("msg_per_sec"))
 
 

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.devices import idle_filter, newest_row
+from gaugeworks.operators.folders import partition_values
+from gaugeworks.operators.rollups import settle_rollup
 from gaugeworks.plans.dashboards import ALERTS
 from gaugeworks.plans.registry import doubled, query, unzoned
 from gaugeworks.plans.sql import avg, doubles, high, latest, low, n_status, over_events
 from gaugeworks.plans.stored import rollup_sql
+from gaugeworks.plans.tables import as_stored
 from gaugeworks.schema import HEADER, METRICS
 from gaugeworks.session import fresh_path
 from gaugeworks import streaming as St
 from gaugeworks.sinks import latest_state, sink_batched, upsert_latest
-from gaugeworks.sources.sample_tables import newest_time, telemetry_stream
+from gaugeworks.sources import stream_events
+from gaugeworks.sources.sample_tables import newest_time, telemetry, telemetry_stream
 
 _HEAD = ", ".join(HEADER)
 # A stream closes windows that end at or before the newest time minus the watermark.
@@ -48,6 +52,31 @@ def stream_rollup_closed(spark, sf_dir):
     return doubled(St.run_once(spark, St.stream_rollup(telemetry_stream(spark, sf_dir)), "append"))
 
 
+@query("stream_rollup_stored", over_events(
+    f"SELECT * FROM rolled WHERE bucket + INTERVAL '1 minute' <= {_CLOSED}", f"rolled AS ({rollup_sql('minute')})"))
+def stream_rollup_stored(spark, sf_dir):
+    """The stream's closed windows, landed by day and moved into the stored rollup."""
+    base = fresh_path(spark, "rollup")
+    St.sink_rollup(telemetry_stream(spark, sf_dir), f"{base}/landing", f"{base}/checkpoint", every=None).awaitTermination()
+    settle_rollup(spark, f"{base}/landing", f"{base}/table", partition_values(spark, f"{base}/landing", "part"))
+    return doubled(spark.read.parquet(f"{base}/table").drop("part"))
+
+
+@query("stream_late_rows", over_events(
+    """SELECT count(*) AS rows, count(*) FILTER (WHERE timestamp < reached - INTERVAL '10 minutes') AS late, max(timestamp) AS newest
+    FROM ev JOIN (SELECT arrival, max(last) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
+      FROM (SELECT msg_id % 3 AS arrival, max(timestamp) AS last FROM ev GROUP BY 1)) ON msg_id % 3 = arrival"""))
+def stream_late_rows(spark, sf_dir):
+    """Events that arrive in three parts, with a restart before each."""
+    base = fresh_path(spark, "late")
+    stored = as_stored(telemetry(spark, sf_dir))
+    for arrival in range(3):
+        stored.filter(F.col("msg_id") % 3 == arrival).write.mode("append").parquet(f"{base}/feed")
+        feed = stream_events(spark, f"{base}/feed")
+        St.count_late(feed, f"{base}/late", f"{base}/checkpoint", every=None).awaitTermination()
+    return unzoned(St.late_totals(spark, f"{base}/late"))
+
+
 @query("stream_hot_averages", _sliding(5, f"{avg('temperature')} AS avg_temperature, {avg('pressure')} AS avg_pressure"))
 def stream_hot_averages(spark, sf_dir):
     hot = St.stream_hot_averages(telemetry_stream(spark, sf_dir))

@@ -119,6 +119,28 @@ def minute_trend_from_rollup(spark, sf_dir):
     return R.trend_from_rollup(R.rollup(ev, "minute"), "1 hour", as_of)
 
 
+def _from_buckets(unit: str, name: str, columns: str, span: str, compression: int) -> str:
+    """Whole buckets of the span."""
+    return over_events(
+        f"SELECT date_trunc('{unit}', timestamp) AS {name}, {avg('temperature')} AS avg_temperature, {avg('pressure')} AS avg_pressure, "
+        f"{columns} FROM ev WHERE date_trunc('{unit}', timestamp) >= (SELECT t FROM lim) - INTERVAL '{span}' GROUP BY 1",
+        compression=compression,
+    )
+
+
+@query("timeseries_from_rollup", _from_buckets("minute", "minute", "count(*) AS event_count", "1 hour", 60))
+def timeseries_from_rollup(spark, sf_dir):
+    ev, as_of = recent(spark, sf_dir, "1 hour")
+    return R.timeseries_from_rollup(R.rollup(ev, "minute"), "1 hour", as_of=as_of)
+
+
+@query("hourly_stats_from_rollup", _from_buckets(
+    "hour", "hour", "count(*) AS events, count(DISTINCT device_id) AS active_devices", "24 hours", 1))
+def hourly_stats_from_rollup(spark, sf_dir):
+    ev, as_of = recent(spark, sf_dir, "24 hours", compression=1)
+    return R.hourly_stats_from_rollup(R.rollup(ev, "hour"), "24 hours", as_of)
+
+
 @query("hourly_coverage", over_events("""
 SELECT count(*) AS row_count, min(h) AS earliest, max(h) AS latest
 FROM (SELECT DISTINCT date_trunc('hour', timestamp) AS h, device_id, device_type, location FROM ev)

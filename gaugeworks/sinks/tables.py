@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import instant, month_of
-from gaugeworks.operators.folders import TARGET_BYTES, stored_totals
+from gaugeworks.operators.folders import TARGET_BYTES, stored_bytes, stored_files
 from gaugeworks.operators.quality import expired
 from gaugeworks.schema import EVENTS
 
@@ -44,10 +44,11 @@ def settle_months(
     Each month is rebuilt whole from the landing rows and replaces what the table had of it, so the
     job can be repeated. Only those months are read.
     """
-    landed = spark.read.parquet(landing).filter(F.col("yyyymm").cast("string").isin(*months))
+    wanted = F.col("yyyymm").cast("string").isin(*months)
+    landed = spark.read.parquet(landing).filter(wanted)
     ev = landed.select(*[c for c in EVENTS.fieldNames() if c in landed.columns])
     if files is None:
-        files = max(1, -(-(stored_totals(landed).first()["bytes"] or 0) // TARGET_BYTES))
+        files = max(1, -(-stored_bytes(stored_files(spark, landing).filter(wanted)) // TARGET_BYTES))
     write_events(ev, table, int(files), replace_months=True)
 
 

@@ -1,11 +1,12 @@
-from gaugeworks.streaming.flow import dual_write, run_once, stream_alerts
+from gaugeworks.streaming.flow import count_late, dual_write, late_totals, run_once, sink_rollup, stream_alerts
 from gaugeworks.streaming.windows import (
     dedup_messages, late_rows, stream_active_devices, stream_counters, stream_event_rate,
     stream_extremes, stream_hot_averages, stream_latest, stream_rollup,
 )
 
 __all__ = [
-    "dedup_messages", "dual_write", "late_rows", "run_once", "stream_active_devices", "stream_alerts",
+    "count_late", "dedup_messages", "dual_write", "late_rows", "late_totals", "run_once", "sink_rollup",
+    "stream_active_devices", "stream_alerts",
     "stream_counters", "stream_event_rate", "stream_extremes", "stream_hot_averages", "stream_latest",
     "stream_rollup",
 ]

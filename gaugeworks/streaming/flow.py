@@ -10,9 +10,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugeworks.functions import month_of
+from gaugeworks.functions.timing import interval
 from gaugeworks.operators.filters import classify_alerts
+from gaugeworks.operators.folders import drop_partitions, partition_values
+from gaugeworks.operators.rollups import part_column
 from gaugeworks.session import fresh_path
 from gaugeworks.sinks.live import unzoned, write_state_segment
+from gaugeworks.streaming.windows import WATERMARK, stream_rollup
 
 
 def stream_alerts(stream: DataFrame) -> DataFrame:
@@ -45,6 +49,70 @@ def dual_write(stream: DataFrame, history: str, live: str, checkpoint: str, ever
     return writer.start()
 
 
+def sink_rollup(
+    stream: DataFrame, landing: str, checkpoint: str, grain: str = "minute", every: str | None = "1 minute",
+    watermark: str = WATERMARK,
+) -> StreamingQuery:
+    """Land the stream's closed windows as rollup rows, each exactly once, filed like the stored rollup.
+
+    ``operators.rollups.settle_rollup`` moves finished days (or months) on into the stored table.
+    """
+    rolled = stream_rollup(stream, f"1 {grain}", watermark).withColumn("part", part_column(grain))
+    writer = (
+        rolled.writeStream.outputMode("append").format("parquet").partitionBy("part")
+        .option("path", landing).option("checkpointLocation", checkpoint)
+    )
+    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    return writer.start()
+
+
+LATE = "rows long, late long, newest timestamp"
+
+
+def count_late(
+    stream: DataFrame, path: str, checkpoint: str, watermark: str = WATERMARK, every: str | None = "5 seconds"
+) -> StreamingQuery:
+    """Count every row of the stream, and those that come late, as they arrive and before any aggregate.
+
+    A row is late when its time is more than ``watermark`` before the newest time of all earlier batches.
+    Each batch files the totals so far under its number, from those of the batch before; older ones go.
+    So a repeated batch replaces its own record, a restart goes on from the last one, and the folder does
+    not grow. Rows without a time are counted but never late.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        so_far = late_totals(spark, path, batch_id - 1).first()
+        newest = None if so_far is None else so_far["newest"]
+        limit = F.lit(newest).cast("timestamp") - interval(watermark)
+        now = batch.select(F.col("timestamp").cast("timestamp").alias("at")).agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("at") < limit).alias("late"), F.max("at").alias("newest")
+        )
+        before = so_far or {"rows": 0, "late": 0}
+        totals = now.select(
+            (F.col("rows") + before["rows"]).alias("rows"), (F.col("late") + before["late"]).alias("late"),
+            F.greatest("newest", F.lit(newest).cast("timestamp")).alias("newest"),
+        )
+        totals.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        filed = partition_values(spark, path, "batch")
+        drop_partitions(spark, path, "batch", [b for b in filed if int(b) < batch_id - 1])
+
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    return writer.start()
+
+
+def late_totals(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
+    """Rows, late rows and newest time that ``count_late`` has filed, of the last batch or of one; no row before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    filed = sorted(int(b) for b in partition_values(spark, path, "batch")) if found else []
+    wanted = [b for b in filed if batch_id is None or b == batch_id]
+    if not wanted:
+        return spark.createDataFrame([], LATE)
+    return spark.read.schema(LATE).parquet(f"{path}/batch={wanted[-1]}")
+
+
 def run_once(
     spark: SparkSession, df: DataFrame, mode: str = "append", keys: Sequence[str] | None = None, name: str = "stream"
 ) -> DataFrame:

@@ -1,7 +1,7 @@
 """Windowed and keyed aggregates over the event stream.
 
 All of them work in event time. ``watermark`` says how late a row may come; later rows are dropped
-and counted (``late_rows``), and state older than it is released.
+(``flow.count_late`` counts them), and state older than it is released.
 """
 
 from __future__ import annotations
@@ -113,7 +113,10 @@ def dedup_messages(
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows the query dropped because they came after the watermark, over its recent batches."""
+    """Late rows as Spark reports them for the recent batches, after the partial aggregate: a lower bound.
+
+    ``flow.count_late`` counts every late row over the whole life of a stream.
+    """
     return sum(
         op["numRowsDroppedByWatermark"]
         for progress in query.recentProgress

@@ -125,9 +125,22 @@ def test_compaction_of_one_month_leaves_the_others(spark, sf_dir):
     assert files() == before and ids(spark.read.parquet(path)) == expected
 
 
+def test_a_second_compaction_rewrites_nothing(spark, sf_dir):
+    path = fresh_path(spark, "events")
+    for i in range(4):
+        write_events(_stretched(spark, sf_dir).filter(F.col("msg_id") % 4 == i), path, files=40)
+    files = lambda: {r[0] for r in spark.read.parquet(path).select("_metadata.file_path").distinct().collect()}
+    expected, done = ids(spark.read.parquet(path)), []
+    for _ in range(2):
+        done.append((X.compact_all(spark, {"events": (path, "yyyymm", ("device_id", "timestamp"))}).first()["result"], files()))
+    assert [r for r, _ in done] == ["optimized", "unchanged"] and done[0][1] == done[1][1]
+    assert ids(spark.read.parquet(path)) == expected
+
+
 def test_compaction_reports_failures(spark, sf_dir):
     path = fresh_path(spark, "events")
-    write_events(_stretched(spark, sf_dir), path)
+    for i in range(4):
+        write_events(_stretched(spark, sf_dir).filter(F.col("msg_id") % 4 == i), path, files=40)
     got = X.compact_all(spark, {
         "gone": (path + "-gone", "yyyymm", ("device_id",)), "events": (path, "yyyymm", ("device_id", "timestamp")),
     })

@@ -54,6 +54,53 @@ def test_late_rows_are_dropped_and_counted(spark, feed):
     assert got == {START: 2, START + dt.timedelta(minutes=29): 1, START + dt.timedelta(minutes=30): 1}
 
 
+def test_every_late_row_is_counted(spark, feed):
+    """Fifty late rows of one minute are fifty, also over a restart and over a batch that is repeated."""
+    folder, drop, stream = feed
+    base = fresh_path(spark, "late")
+    drop([(0, "a", "OK", 1, 1.0), (3600, "a", "OK", 2, 1.0)])
+    St.count_late(stream(), f"{base}/late", f"{base}/checkpoint", every=None).awaitTermination()
+    drop([(60 + i, "a", "OK", 10 + i, 1.0) for i in range(50)] + [(3590, "a", "OK", 3, 1.0)])
+    drop([(7200, "a", "OK", 90, 1.0), (5, "b", "OK", 91, 1.0)])
+    for _ in range(2):
+        St.count_late(stream(), f"{base}/late", f"{base}/checkpoint", every=None).awaitTermination()
+    got = St.late_totals(spark, f"{base}/late").first()
+    assert (got["rows"], got["late"]) == (55, 51)
+
+
+def test_late_rows_of_more_than_a_hundred_batches(spark, feed):
+    folder, drop, stream = feed
+    base = fresh_path(spark, "late")
+    drop([(7200, "a", "OK", 0, 1.0)])
+    St.count_late(stream(), f"{base}/late", f"{base}/checkpoint", every=None).awaitTermination()
+    as_rows = [(i, "a", "OK", i, 1.0) for i in range(1, 106)]
+    drop(as_rows)
+    one = spark.read.parquet(folder).filter("msg_id > 0")
+    one.repartitionByRange(105, "msg_id").write.mode("overwrite").parquet(f"{base}/feed")
+    many = stream_events(spark, f"{base}/feed", max_files=1)
+    St.count_late(many, f"{base}/many", f"{base}/many-checkpoint", watermark="0 seconds", every=None).awaitTermination()
+    got = St.late_totals(spark, f"{base}/many").first()
+    assert got["rows"] == 105
+    St.count_late(stream(), f"{base}/late", f"{base}/checkpoint", every=None).awaitTermination()
+    assert St.late_totals(spark, f"{base}/late").first()["late"] == 105
+
+
+def test_landed_rollup_settles_by_day(spark, feed):
+    folder, drop, stream = feed
+    base = fresh_path(spark, "rollup")
+    day = 86400
+    drop([(0, "a", "OK", 1, 1.0), (10, "a", "WARN", 2, 3.0), (day, "a", "OK", 3, 5.0)])
+    drop([(2 * day, "a", "OK", 4, 1.0)])
+    for _ in range(2):
+        St.sink_rollup(stream(), f"{base}/landing", f"{base}/checkpoint", every=None).awaitTermination()
+    for _ in range(2):
+        R.settle_rollup(spark, f"{base}/landing", f"{base}/table", ("20240501", "20240502"))
+    got = spark.read.parquet(f"{base}/table").orderBy("bucket").collect()
+    assert [(r["part"], r["events"], r["warnings"], r["sum_temperature"]) for r in got] == [
+        (20240501, 2, 1, 4.0), (20240502, 1, 0, 5.0),
+    ]
+
+
 def test_stream_equals_batch_over_many_batches(spark, sf_dir):
     folder = fresh_path(spark, "feed")
     ev = as_stored(telemetry(spark, sf_dir))
