@@ -1,7 +1,7 @@
 """Pieces of the checking SQL: the telemetry mapping and the portable arithmetic.
 
 These texts run on another engine over the same tables; of the engine's own modules they use
-only the fixed values (names of places, rule tables), which the tests hold against literal ones.
+only the fixed values (names of places, rule tables), so a wrong value there would pass on both sides.
 """
 
 from __future__ import annotations
