@@ -1,10 +1,12 @@
 """Licence notices in texts, found through a positional index of the rarest words of licence templates.
 
 The index is made of the templates and of the document frequencies of their words over all texts. Each
-text looks up its licence words of the highest inverse document frequency; their places minus the places
-in the templates give offsets, and where two words agree on a template and an offset the notice may stand
-there. A template's mandatory phrase must then stand at that offset word by word. Since no template is
-found without its phrase, texts without any phrase skip the look-up. SQL functions only, no shuffle of texts.
+text looks up its licence words of the highest inverse document frequency, and goes on to the rarest words
+of each phrase that it has all words of; their places minus the places in the templates give offsets, and
+where two words agree on a template and an offset the notice may stand there. A template's mandatory phrase
+must then stand at that offset word by word. Two words of a phrase that stands always agree, so every one is
+found. Since no template is found without its phrase, texts without any phrase skip the look-up. SQL
+functions only, no shuffle of texts.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ TEMPLATES = (
     ("mit-terms", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
 )
-#: Rarest licence words that a text looks up.
+#: Rarest licence words that a text looks up first.
 LOOK_UPS = 6
 #: Words that must agree on template and offset.
 AGREE = 2
@@ -108,7 +110,15 @@ def _notices(words: Column, weights: Column) -> Column:
     def rarest() -> Column:
         known = F.array_intersect(words, vocabulary)
         ranked = F.sort_array(F.transform(known, lambda w: F.struct((-weights[w]).alias("k"), w.alias("w"))))
-        return F.transform(F.slice(ranked, 1, LOOK_UPS), lambda x: x["w"])
+        return let(F.transform(ranked, lambda x: x["w"]), chosen)
+
+    def chosen(ranked: Column) -> Column:
+        out = F.slice(ranked, 1, LOOK_UPS)
+        for _, _, phrase in TEMPLATES:
+            key = phrase.split()
+            own = F.array_intersect(ranked, _array(key))  # in order of rarity
+            out = F.array_union(out, F.slice(own, 1, F.when(F.size(own) == len(set(key)), AGREE).otherwise(0)))
+        return out
 
     def notice(place: Column) -> Column:
         found = F.lit(None).cast("struct<label:string,share:double>")

@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 
@@ -63,3 +64,27 @@ def test_against_brute_force_on_documents(spark, small_dir):
 
 def test_empty_table(spark):
     assert scanned(spark, []) == []
+
+
+def plain_search(texts):
+    """Labels of all phrases that stand in each text."""
+    out = []
+    for t in texts:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        phrases = [(p, lab) for p, lab in L.BASE_PHRASES.items()] + [(p, lab) for lab, _, p in L.TEMPLATES]
+        out.append(",".join(sorted({lab for p, lab in phrases if f" {p} " in f" {' '.join(words)} "})))
+    return out
+
+
+def test_against_plain_search(spark, small_dir):
+    own = [r["text"] for r in spark.read.parquet(f"{small_dir}/documents.parquet").select("text").collect()]
+    chance = " source code copy person software granted creative attribution gnu mozilla version 3 terms 2 0 apache binary " * 40
+    notices = [words for _, words, _ in L.TEMPLATES]
+    mixed = [" -- ".join(some) for n in range(1, 8) for some in itertools.combinations(notices, n)]
+    mixed += [f"pad {p} pad" for _, _, p in L.TEMPLATES]
+    long = [chance + x + chance for x in mixed] + [x + " pad" * 5000 + chance for x in notices[::-1]]
+    texts = own + TEXTS + mixed + long
+    got = scanned(spark, texts)
+    assert [r[5] for r in got] == plain_search(texts)
+    whole = [r for r, t in zip(got, texts) if any(n in (t or "") for n in notices)]
+    assert len(whole) > 250 and all(r[6] == 1 for r in whole)
