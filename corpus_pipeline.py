@@ -31,8 +31,9 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 @_stage
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the co-trained classifier keeps; it learns from the labels of the texts at hand."""
-    return cotraining.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Texts that the co-trained classifier keeps; it learns from all labelled documents, also those that the rules drop."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return cotraining.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), teachers=documents)
 
 
 @_stage

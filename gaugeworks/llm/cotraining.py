@@ -8,6 +8,7 @@ combined as independent evidence around the share of good texts. Every document
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -69,18 +70,24 @@ def page_features(text: Column, n_chars: Column) -> Column:
     return F.array(F.log1p(F.greatest(stated, F.lit(0.0))), F.log1p(lines.cast("double")), F.log1p(F.greatest(stated, F.lit(0.0)) / lines))
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """doc_id and the feature vectors ``content`` and ``page`` of each document; nulls count as empty."""
+def _numbers(docs: DataFrame, *own: str | Column) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    names = docs.select(
-        "doc_id", content_features(text).alias("content"), page_features(text, F.col("n_chars")).alias("numbers"),
+    return docs.select(
+        *own, content_features(text).alias("content"), page_features(text, F.col("n_chars")).alias("numbers"),
         F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
     )
-    kept = saved(names, "features")
+
+
+def _vectors(numbers: DataFrame, *own: str) -> DataFrame:
     hasher = FeatureHasher(inputCols=["source", "lang"], outputCol="names", numFeatures=NAME_SLOTS)
-    hashed = hasher.transform(kept)
+    hashed = hasher.transform(numbers)
     page = F.concat("numbers", vector_to_array(F.col("names")))
-    return hashed.select("doc_id", array_to_vector("content").alias("content"), array_to_vector(page).alias("page"))
+    return hashed.select(*own, array_to_vector("content").alias("content"), array_to_vector(page).alias("page"))
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id and the feature vectors ``content`` and ``page`` of each document; nulls count as empty."""
+    return _vectors(saved(_numbers(docs, "doc_id"), "features"), "doc_id")
 
 
 def _fit(rows: DataFrame, features: str) -> LogisticRegressionModel:
@@ -126,28 +133,37 @@ def _enough(rows: DataFrame) -> bool:
     return len(counts) == 4 and min(r["n"] for r in counts) >= LEAST_LABELS
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, sure: float = SURE, keep: float = KEEP) -> DataFrame:
-    """One row per document: doc_id, content_score, page_score (calibrated), score and kept.
-
-    ``docs`` has doc_id, text, lang, source, n_chars; ``labels`` has doc_id and quality (1 good, 0 bad). Of
-    differing labels of one id the mean decides, good on a tie; rows without id or label teach nothing. Null
-    texts are empty, other nulls a value of their own. Repeated rows are scored alike. Where a class has too
-    few labels nothing can be learnt: the scores are null and every document is kept.
-    """
-    rows = featured(docs)
+def _held(known: DataFrame) -> Column:
+    """The labelled rows that calibrate: one fold, of a class with few labels as many as leave enough on both sides."""
+    mark = F.xxhash64(F.lit("fold"), "doc_id")
+    place = F.struct(F.pmod(mark, F.lit(FOLDS)).alias("fold"), mark.alias("mark"))
+    held = place["fold"] == 0
+    counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(held).alias("held")).collect()
+    for r in counts:
+        wanted = min(max(r["held"], LEAST_LABELS), r["n"] - LEAST_LABELS)
+        if wanted == r["held"] or wanted < LEAST_LABELS:
+            continue
+        last = known.filter(F.col("label") == r["label"]).select(place.alias("p")).orderBy("p").limit(wanted).agg(F.max("p")).first()[0]
+        upto = place <= F.struct(F.lit(last["fold"]).alias("fold"), F.lit(last["mark"]).alias("mark"))
+        held = F.when(F.col("label") == r["label"], upto).otherwise(held)
+    return held
+
+
+def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The featured documents, each with its label if it has one."""
     gold = (
         labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
         .agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     )
-    held = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)) == 0
-    both = rows.join(gold, "doc_id", "left").withColumn("held", held)
-    both = saved(both, "examples")
-    known, pool = both.filter("label IS NOT NULL"), both.filter("label IS NULL")
+    return saved(featured(docs).join(gold, "doc_id", "left"), "examples")
+
+
+def _judge(examples: DataFrame, rounds: int, sure: float, keep: float) -> Callable[[DataFrame], DataFrame] | None:
+    """What adds content_score, page_score, score and kept to featured rows; nothing where too few labels are."""
+    known, pool = examples.filter("label IS NOT NULL"), examples.filter("label IS NULL")
+    known = known.withColumn("held", _held(known))
     if not _enough(known):
-        empty = F.lit(None).cast("double")
-        return rows.select(
-            "doc_id", *[empty.alias(c) for c in ("content_score", "page_score", "score")], F.lit(True).alias("kept")
-        )
+        return None
     taught = known.filter("NOT held")
     models = {view: _fit(taught, view) for view in VIEWS}
     for _ in range(rounds):
@@ -161,19 +177,48 @@ def score_quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, sure
         models = found
     check = reduce(lambda df, view: _margin(df, models[view], view), VIEWS, known.filter("held"))
     prior = _log_odds(check.agg(F.avg("label")).first()[0])
-    scored = reduce(lambda df, view: _margin(df, models[view], view), VIEWS, both)
-    evidence = F.lit(prior)
-    for view in VIEWS:
-        slope, start = _scaled(check, view)
-        odds = F.col(f"{view}_margin") * slope + start
-        scored = scored.withColumn(f"{view}_score", _chance(odds))
-        evidence = evidence + odds - prior
-    scored = scored.withColumn("score", _chance(evidence))
-    return scored.select("doc_id", "content_score", "page_score", "score", (F.col("score") >= keep).alias("kept"))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The documents that the classifier keeps; all columns of ``docs``."""
-    bad = score_quality(docs, labels, **parameters).groupBy("doc_id").agg(F.min(F.col("kept").cast("int")).alias("_least"))
+    scales = {view: _scaled(check, view) for view in VIEWS}
+
+    def judge(rows: DataFrame) -> DataFrame:
+        scored = reduce(lambda df, view: _margin(df, models[view], view), VIEWS, rows)
+        evidence = F.lit(prior)
+        for view, (slope, start) in scales.items():
+            odds = F.col(f"{view}_margin") * slope + start
+            scored = scored.withColumn(f"{view}_score", _chance(odds))
+            evidence = evidence + odds - prior
+        return scored.withColumn("score", _chance(evidence)).withColumn("kept", F.col("score") >= keep)
+
+    return judge
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, sure: float = SURE, keep: float = KEEP) -> DataFrame:
+    """One row per document: doc_id, content_score, page_score (calibrated), score and kept.
+
+    ``docs`` has doc_id, text, lang, source, n_chars; ``labels`` has doc_id and quality (1 good, 0 bad). Of
+    differing labels of one id the mean decides, good on a tie; rows without id or label teach nothing. Null
+    texts are empty, other nulls a value of their own. Repeated rows are scored alike. Where a class has too
+    few labels nothing can be learnt: the scores are null and every document is kept.
+    """
+    examples = _examples(docs, labels)
+    judge = _judge(examples, rounds, sure, keep)
+    if judge is None:
+        empty = F.lit(None).cast("double")
+        return examples.select(
+            "doc_id", *[empty.alias(c) for c in ("content_score", "page_score", "score")], F.lit(True).alias("kept")
+        )
+    return judge(examples).select("doc_id", "content_score", "page_score", "score", "kept")
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, teachers: DataFrame | None = None, rounds: int = ROUNDS, sure: float = SURE, keep: float = KEEP
+) -> DataFrame:
+    """The documents that the classifier keeps; all columns of ``docs``.
+
+    It learns from ``teachers``, the documents that ``labels`` are of (``docs`` if none are given).
+    """
+    judge = _judge(_examples(docs if teachers is None else teachers, labels), rounds, sure, keep)
+    if judge is None:
+        return docs
+    bad = judge(featured(docs)).groupBy("doc_id").agg(F.min(F.col("kept").cast("int")).alias("_least"))
     bad = bad.filter("_least = 0").select(F.col("doc_id").alias("_bad"))
     return docs.join(bad, docs.doc_id.eqNullSafe(bad["_bad"]), "left_anti")
