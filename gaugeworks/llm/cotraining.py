@@ -214,11 +214,11 @@ def keep_good(
 ) -> DataFrame:
     """The documents that the classifier keeps; all columns of ``docs``.
 
-    It learns from ``teachers``, the documents that ``labels`` are of (``docs`` if none are given).
+    It learns from ``teachers``, the documents that ``labels`` are of (``docs`` if none are given). Each row is
+    judged by itself, so rows that share an id, or have none, change nothing for each other.
     """
     judge = _judge(_examples(docs if teachers is None else teachers, labels), rounds, sure, keep)
     if judge is None:
         return docs
-    bad = judge(featured(docs)).groupBy("doc_id").agg(F.min(F.col("kept").cast("int")).alias("_least"))
-    bad = bad.filter("_least = 0").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad["_bad"]), "left_anti")
+    rows = _vectors(_numbers(docs, F.struct("*").alias("row")), "row")
+    return judge(rows).filter("kept").select("row.*")

@@ -59,3 +59,13 @@ def test_no_pages(spark):
     folder = warc.fresh_folder(spark)
     manifest = warc.write_archives(pages, folder)
     assert warc.page_rows(warc.assemble(warc.read_archives(spark, folder, manifest))).collect() == []
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    docs = _docs(spark)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(70)], "doc_id long, quality int")
+    good, bad = docs.filter("doc_id = 1").limit(1).collect()[0], docs.filter("doc_id = 2").collect()[0]
+    mixed = spark.createDataFrame([{**r.asDict(), "doc_id": i} for i in (None, 500) for r in (good, bad, good)], DOCS)
+    kept = cotraining.keep_good(mixed, labels, teachers=docs)
+    assert kept.columns == mixed.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [(i, good["text"]) for i in ("500", "500", "None", "None")]
