@@ -160,7 +160,6 @@ def _verified(members: DataFrame, words: int, similarity: float, block: int) ->
         for frame in whole_groups(batches, ["cluster", "cell_a", "cell_b"], rows=512):
             out = []
             for _, group in frame.groupby("group"):
-                group = group.drop_duplicates("node")
                 if len(group) < 2:
                     continue
                 sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
@@ -225,7 +224,7 @@ def similar_texts(
         clusters.join(sizes, "component").join(classes, "node")
         .select(F.col("component").alias("cluster"), "n", "node", "copies", "t1", "t2", "class_id")
     )
-    texts = keyed.withColumnRenamed("doc_id", "class_id")
+    texts = keyed.withColumnRenamed("doc_id", "class_id").groupBy("t1", "t2", "class_id").agg(F.any_value("text").alias("text"))
     same = (texts.t1 == wanted.t1) & (texts.t2 == wanted.t2) & texts.class_id.eqNullSafe(wanted.class_id)
     members = wanted.join(texts, same).select("cluster", "n", "node", "copies", "text")
     links = saved(_verified(members, words, similarity, verify_block), "links")

@@ -270,10 +270,13 @@ def remove_repeats(
     spark = docs.sparkSession
     ship(spark)
     keyed = docs.select("doc_id", *text_key("text"), "text")
-    rows = saved(_read(keyed, window, prefix), "anchors")
-    classes = rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"))
+    rows = saved(_read(keyed, window, prefix).withColumn("row", F.monotonically_increasing_id()), "anchors")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("least")
+    classes = rows.groupBy("t1", "t2").agg(least).select("t1", "t2", F.col("least.doc_id").alias("first"), F.col("least.row").alias("row"))
     classes = saved(classes, "classes")
-    firsts = rows.join(classes, ["t1", "t2"]).filter("doc_id = first")
+    # of repeated first rows, one
+    firsts = rows.drop("t1", "t2").join(classes.filter("row IS NOT NULL"), "row")
+    classes = classes.drop("row")
     zipped = F.explode(F.arrays_zip("key", "start", "windows", "before")).alias("a")
     suffixes = firsts.select("t1", "t2", "first", zipped).select("t1", "t2", "first", "a.*")
     counted = suffixes.groupBy("key").agg(F.min("t1").alias("low"), F.max("t1").alias("high"))
@@ -281,7 +284,7 @@ def remove_repeats(
         suffixes.join(counted.filter("low < high").select("key"), "key")
         .groupBy("t1", "t2", "first").agg(F.collect_list(F.struct("key", "start", "windows", "before")).alias("wanted"))
     )
-    texts = keyed.withColumnRenamed("doc_id", "first")
+    texts = keyed.withColumnRenamed("doc_id", "first").groupBy("t1", "t2", "first").agg(F.any_value("text").alias("text"))
     held = saved(texts.join(wanted, ["t1", "t2", "first"]), "texts")
     segments = saved(_segments(held, window), "segments")
     settled = segments.filter("words IS NULL").select("t1", "t2", "starts", F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"))
@@ -298,8 +301,7 @@ def remove_repeats(
     results = _without(held.select("t1", "t2", "text").join(spans, ["t1", "t2"]), window)
     if not with_text:
         results = results.drop("left")
-    # a repeated first row would bring its result twice
-    results = saved(results.dropDuplicates(["t1", "t2"]), "results")
+    results = saved(results, "results")
     whole = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
     own = F.col("doc_id") == F.col("first")
     out = rows.select("doc_id", "t1", "t2", "n_words", "digest").join(classes, ["t1", "t2"]).join(results, ["t1", "t2"], "left")
