@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import cotraining, embedding_dedup, jaccard_join, lattice_sampling, license_scan, packing, quality_rules, substring_dedup, token_records, warc
+from gaugeworks.llm import cotraining, embedding_dedup, jaccard_join, lattice_sampling, license_scan, packing, quality_rules, spelling_variants, substring_dedup, token_records, warc
 from gaugeworks.llm.registry import ORACLES, QUERIES, query
 from gaugeworks.llm.tokens import word_bpe
 
@@ -66,3 +66,8 @@ def op6_quality_classifier(spark, sf_dir):
 def op9_lattice_sampling(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return lattice_sampling.sample_segmentations(docs, lattice_sampling.piece_bpe(), with_ids=False)
+
+
+@query("op11_spelling_variants", spelling_variants.ORACLE)
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
