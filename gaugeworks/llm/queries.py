@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import cotraining, embedding_dedup, jaccard_join, lattice_sampling, license_scan, packing, quality_rules, spelling_variants, substring_dedup, token_records, warc
+from gaugeworks.llm import cotraining, embedding_dedup, jaccard_join, language_id, lattice_sampling, license_scan, packing, quality_rules, spelling_variants, substring_dedup, token_records, warc
 from gaugeworks.llm.registry import ORACLES, QUERIES, query
 from gaugeworks.llm.tokens import word_bpe
 
@@ -71,3 +71,8 @@ def op9_lattice_sampling(spark, sf_dir):
 @query("op11_spelling_variants", spelling_variants.ORACLE)
 def op11_spelling_variants(spark, sf_dir):
     return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_language_id")
+def op12_language_id(spark, sf_dir):
+    return language_id.languages(table(spark, sf_dir, "documents"))
