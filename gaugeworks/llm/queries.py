@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import cotraining, embedding_dedup, jaccard_join, language_id, lattice_sampling, license_scan, packing, quality_rules, spelling_variants, substring_dedup, token_records, warc
+from gaugeworks.llm import conversation_repair, cotraining, embedding_dedup, jaccard_join, language_id, lattice_sampling, license_scan, packing, quality_rules, spelling_variants, substring_dedup, token_records, warc
 from gaugeworks.llm.registry import ORACLES, QUERIES, query
 from gaugeworks.llm.tokens import word_bpe
 
@@ -76,3 +76,8 @@ def op11_spelling_variants(spark, sf_dir):
 @query("op12_language_id")
 def op12_language_id(spark, sf_dir):
     return language_id.languages(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair", conversation_repair.ORACLE)
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
