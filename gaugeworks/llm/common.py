@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -17,10 +18,8 @@ from gaugeworks.session import fresh_path
 
 #: Separators between words, as a character class of regular expressions: space and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
-#: Rows of a text column that go to Python at once; bounds a worker's memory with very long texts.
-TEXT_BATCH = 256
 
-_saved: list[str] = []
+_made: list[list[str]] = [[]]
 _shipped: set[str] = set()
 
 
@@ -45,14 +44,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read again, so a lost executor repeats nothing before it."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    _saved.append(path)
+    remember(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget_saved(spark: SparkSession) -> None:
-    """Remove the intermediate tables made so far; only for callers that have stored all results."""
-    while _saved:
-        remove_folder(spark, _saved.pop())
+@contextmanager
+def own_tables() -> Iterator[list[str]]:
+    """Gather the paths of the intermediate tables made inside; nobody else's are among them."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        _made.pop()
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Remove these tables; only for callers that have stored all that is made of them."""
+    while paths:
+        remove_folder(spark, paths.pop())
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
@@ -61,8 +70,8 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def remember(path: str) -> None:
-    """Count a folder among the intermediate ones that ``forget_saved`` removes."""
-    _saved.append(path)
+    """Count a folder among the intermediate tables."""
+    _made[-1].append(path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import (
@@ -251,17 +251,22 @@ def similar_texts(
 
 
 def keep_one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents without those that are near copies of a kept one; all columns of ``docs``."""
-    columns = docs.columns
-    kept = similar_texts(docs, **parameters).filter("kept").groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
-    names = {c: f"_kept_{c}" for c in kept.columns}
-    kept = kept.withColumnsRenamed(names)
-    keyed = docs.withColumns(dict(zip(("_t1", "_t2"), text_key("text"))))
-    same = keyed.doc_id.eqNullSafe(kept["_kept_doc_id"]) & (keyed["_t1"] == kept["_kept_t1"]) & (keyed["_t2"] == kept["_kept_t2"])
-    joined = keyed.join(kept, same)
-    # repeated rows: as many stay as were kept
-    order = Window.partitionBy("doc_id", "_t1", "_t2").orderBy(F.lit(1))
-    return joined.withColumn("_place", F.row_number().over(order)).filter("_place <= _kept_n").select(*columns)
+    """The documents without those that are near copies of a kept one; all columns of ``docs``, whatever their names.
+
+    Of repeated rows (equal id and text) of which one stays, it is the first by the JSON text of the whole row.
+    """
+    counted = similar_texts(docs, **parameters).groupBy("doc_id", "t1", "t2").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("stay")
+    )
+    kept = saved(counted.filter("stay > 0"), "kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), *[k.alias(f"k{i}") for i, k in enumerate(text_key("text"))])
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k0") == F.col("t1")) & (F.col("k1") == F.col("t2"))
+    out = rows.join(kept.filter("stay = rows"), same).select("row")
+    some = kept.filter("stay < rows")
+    if not some.isEmpty():
+        first = rows.join(some, same).groupBy("doc_id", "t1", "t2").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = out.unionByName(first.select("row"))
+    return out.select("row.*")
 
 
 #: The same for texts with a doc_id of their own, in the checking engine's SQL.

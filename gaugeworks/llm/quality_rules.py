@@ -85,14 +85,13 @@ def _line(line: Column) -> Column:
     return F.struct(line.alias("line"), chars.alias("chars"), why.alias("why"))
 
 
-def judge_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``rules``: what the rules say about each text, and the text without its failing lines.
+def rules_of(text: str = "text") -> Column:
+    """What the rules say about a text, and the text without its failing lines.
 
-    ``rules`` holds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_failed_lines,
+    A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_failed_lines,
     lost_chars (all long), base_failed, kept and cleaned. Empty lines are neither judged nor removed. A null
     text has no words: base_failed is true, kept false and cleaned null. Rows are judged one by one, so
-    repeated rows, null ids and other columns (but one named ``rules``, which is replaced) change nothing.
-    Built from SQL functions alone, with no shuffle.
+    repeated rows, null ids and other columns change nothing. Built from SQL functions alone, with no shuffle.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(raw, "\n")
@@ -126,20 +125,23 @@ def judge_lines(docs: DataFrame, text: str = "text") -> DataFrame:
             F.when(F.col(text).isNotNull(), cleaned).alias("cleaned"),
         )
 
-    return docs.withColumn("rules", let(base, verdict))
+    return let(base, verdict)
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of figures and verdict for each text."""
-    judged = judge_lines(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    judged = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("rules", rules_of())
     fields = [f for f in judged.schema["rules"].dataType.names if f != "cleaned"]
     return judged.select("doc_id", *[F.col("rules")[f].alias(f) for f in fields])
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The texts that pass, without their failing lines; all columns of ``docs``."""
-    judged = judge_lines(docs, text).filter("rules.kept")
-    return judged.withColumn(text, F.col("rules.cleaned")).select(*docs.columns)
+    """The texts that pass, without their failing lines; all columns of ``docs``, whatever their names.
+
+    The rules are the one element of a generator, so the filter on their verdict does not evaluate them again.
+    """
+    judged = docs.select(F.struct("*").alias("row"), F.explode(F.array(rules_of(text))).alias("rules")).filter("rules.kept")
+    return judged.select(*[F.col("rules.cleaned").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 #: The same in the checking engine's SQL.

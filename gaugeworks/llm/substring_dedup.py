@@ -317,14 +317,13 @@ def remove_repeats(
 
 
 def clean(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents without repeated words; all columns of ``docs``, other texts as they were."""
-    columns = docs.columns
+    """The documents without repeated words; all columns of ``docs``, whatever their names, other texts as they were."""
     done = remove_repeats(docs, with_text=True, **parameters).filter("left IS NOT NULL").select("doc_id", "t1", "t2", "left")
-    done = done.dropDuplicates(["doc_id", "t1", "t2"]).withColumnsRenamed({c: f"_done_{c}" for c in done.columns})
-    keyed = docs.withColumns(dict(zip(("_t1", "_t2"), text_key("text"))))
-    same = (keyed.doc_id == done["_done_doc_id"]) & (keyed["_t1"] == done["_done_t1"]) & (keyed["_t2"] == done["_done_t2"])
-    joined = keyed.join(done, same, "left")
-    return joined.withColumn("text", F.coalesce("_done_left", "text")).select(*columns)
+    done = done.dropDuplicates(["doc_id", "t1", "t2"])
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), *[k.alias(f"k{i}") for i, k in enumerate(text_key("text"))])
+    joined = rows.join(done, (F.col("d") == F.col("doc_id")) & (F.col("k0") == F.col("t1")) & (F.col("k1") == F.col("t2")), "left")
+    text = F.coalesce("left", F.col("row")["text"]).alias("text")
+    return joined.select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 #: The same for documents with ids of their own, in the checking engine's SQL.

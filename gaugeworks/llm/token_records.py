@@ -96,7 +96,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end: int = END,
         yield pd.DataFrame(rows)
 
     parts = files or shuffle_parts(spark)
-    dealt = docs.select(exact_id(), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, or without one, are spread by their text, and equal ones by the place they are read from
+    keys = ["doc_id", "hash", "place"]
+    rows = docs.select(exact_id(), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     return saved(dealt.mapInPandas(write, "shard long, file string, n_records long, n_tokens long"), "manifest")
 
 

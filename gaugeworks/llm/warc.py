@@ -33,9 +33,10 @@ RECORD = """record_id string, record_type string, concurrent_to string, target_u
 block_bytes long, payload_bytes long, payload_digest string, fields map<string,string>, payload binary"""
 
 
-def record_name(kind: int, page_id: int | None, url: str | None, digest: str) -> str:
-    """Name of a record: its kind, a hash of the capture, and the page's id in the last 64 bits."""
-    seed = hashlib.blake2b(f"{page_id is None}|{url}|{digest}".encode("utf-8", "surrogatepass"), digest_size=7).digest()
+def record_name(kind: int, page_id: int | None, url: str | None, digest: str, serial: int = 0) -> str:
+    """Name of a record: its kind, a hash of the capture and its serial number, and the page's id in the last 64 bits."""
+    seed = f"{page_id is None}|{url is None}|{serial}|{digest}|{url}".encode("utf-8", "surrogatepass")
+    seed = hashlib.blake2b(seed, digest_size=7).digest()
     number = (kind << 120) | (int.from_bytes(seed, "big") << 64) | ((page_id or 0) & (1 << 64) - 1)
     return f"<urn:uuid:{uuid.UUID(int=number)}>"
 
@@ -61,10 +62,10 @@ def sha1_name(payload: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def capture_records(page_id, url, payload: bytes, original: int | None, original_name: str | None) -> list[bytes]:
+def capture_records(page_id, url, payload: bytes, original_name: str | None, serial: int = 0) -> list[bytes]:
     """The three records of a page; ``original_name`` is the response that a revisit refers to."""
     digest = sha1_name(payload)
-    name = record_name(1, page_id, url, digest)
+    name = record_name(1, page_id, url, digest, serial)
     parts = urlsplit(_plain(url)) if url and "[" not in url and "]" not in url else urlsplit("")
     common = [("WARC-Date", DATE), ("WARC-Target-URI", _plain(url))]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -78,7 +79,7 @@ def capture_records(page_id, url, payload: bytes, original: int | None, original
     about = f"{known}has-uri: {int(url is not None)}\r\npayload-bytes: {len(payload)}\r\n".encode()
 
     def second(kind: int, label: str, content: str) -> list[tuple[str, str]]:
-        own = record_name(kind, page_id, url, digest)
+        own = record_name(kind, page_id, url, digest, serial)
         return [("WARC-Type", label), ("WARC-Record-ID", own), ("WARC-Concurrent-To", name), *common, ("Content-Type", content)]
 
     return [
@@ -101,20 +102,24 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_SHARED) ->
     ship(spark)
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("payload"))
-    keyed = keyed.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
+    keyed = keyed.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload"), "serial": F.monotonically_increasing_id()})
     shared = (
         keyed.filter(F.col("size") >= least).groupBy(F.col("digest").alias("of"))
         .agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     )
-    # the response that a revisit names: one page of that id, whose url is part of its name
+    # the response that a revisit names: one page of that id, whose url and serial number are part of its name
     named = (
-        keyed.filter(F.col("size") >= least).select("digest", "page_id", "url")
+        keyed.filter(F.col("size") >= least).select("digest", "page_id", "url", "serial")
         .join(shared, (F.col("digest") == F.col("of")) & (F.col("page_id") == F.col("original")))
-        .groupBy(F.col("of"), "original").agg(F.min("url").alias("original_url"))
+        .groupBy("of", "original").agg(F.min(F.struct("serial", "url")).alias("at"))
+        .select("of", "original", F.col("at.url").alias("original_url"), F.col("at.serial").alias("original_serial"))
     )
     marked = keyed.join(named, (F.col("digest") == F.col("of")) & (F.col("size") >= least), "left")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    marked = marked.select("page_id", "url", "payload", F.when(revisit, F.col("original")).alias("original"), "original_url")
+    marked = marked.select(
+        "page_id", "url", "payload", F.col("serial").cast("string").alias("serial"), F.when(revisit, F.col("original")).alias("original"),
+        "original_url", F.col("original_serial").cast("string").alias("original_serial"),
+    )
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
@@ -123,11 +128,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_SHARED) ->
         files.create_dir(path)
         out, count, size = None, 0, 0
         for batch in batches:
-            for page_id, url, payload, original, original_url in batch.itertuples(index=False):
+            for page_id, url, payload, serial, original, original_url, original_serial in batch.itertuples(index=False):
                 out = out or files.open_output_stream(f"{path}/{name}", compression=None)
                 page_id, original = (None if pd.isna(x) else int(x) for x in (page_id, original))
-                target = None if original is None else record_name(1, original, original_url, sha1_name(payload))
-                for record in capture_records(page_id, url, payload, original, target):
+                target = None if original is None else record_name(1, original, original_url, sha1_name(payload), int(original_serial))
+                for record in capture_records(page_id, url, payload, target, int(serial)):
                     out.write(record)
                     count, size = count + 1, size + len(record)
         if out is not None:
@@ -248,13 +253,13 @@ def fresh_folder(spark: SparkSession) -> str:
     return folder
 
 
-#: The same for pages with ids of their own, in the checking engine's SQL.
+#: The same in the checking engine's SQL.
 ORACLE = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+  CASE WHEN payload_bytes >= 1000 AND last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last THEN last END AS refers_to
 FROM m
 """

@@ -1,4 +1,41 @@
+import hashlib
+
+import duckdb
+
 import corpus_pipeline
+from gaugeworks.llm import jaccard_join, quality_rules, substring_dedup
+from gaugeworks.llm.tokens import encoder, word_bpe
+
+
+def _sql(path, sql):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    return con.sql(sql).df()
+
+
+def test_stages_against_plain_versions(spark, small_dir, tmp_path):
+    """The rules, the join, the passages and the pieces, each on its own input, by SQL or a plain loop."""
+    stages = dict(corpus_pipeline.STAGES)
+    paths = {"input": f"{tmp_path}/input"}
+    spark.read.parquet(f"{small_dir}/documents.parquet").write.parquet(paths["input"])
+    before = "input"
+    for name, stage in stages.items():
+        paths[name] = f"{tmp_path}/{name.replace(' ', '-')}"
+        stage(spark, spark.read.parquet(paths[before]), small_dir).write.parquet(paths[name])
+        before = name
+    ids = lambda name: set(spark.read.parquet(paths[name]).toPandas()["doc_id"])
+    judged = _sql(paths["input"], quality_rules.ORACLE)
+    assert ids("quality rules") == set(judged[judged["kept"]]["doc_id"])
+    joined = _sql(paths["quality classifier"], jaccard_join.ORACLE)
+    assert ids("n-gram Jaccard join") == set(joined[joined["kept"]]["doc_id"])
+    cut = _sql(paths["n-gram Jaccard join"], substring_dedup.ORACLE)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(paths["substring dedup"]).collect()}
+    assert {i: hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for i, t in texts.items()} == dict(zip(cut["doc_id"], cut["kept_sha256"]))
+    enc = encoder(word_bpe())
+    packed = spark.read.parquet(paths["best-fit packing"]).toPandas()
+    assert dict(packed.groupby("doc_id")["length"].sum()) == {i: len(enc.encode(t)) // enc.dtype.itemsize + 1 for i, t in texts.items()}
+    filled = packed.sort_values(["sequence_id", "offset"])
+    assert (filled.groupby("sequence_id")["length"].cumsum() - filled["length"] == filled["offset"]).all()
 
 
 def test_stages_keep_their_promises(spark, small_dir):
