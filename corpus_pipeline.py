@@ -7,18 +7,24 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.llm import cotraining, jaccard_join, packing, quality_rules, substring_dedup
-from gaugeworks.llm.common import forget_saved, remember
+from gaugeworks.llm.common import forget, own_tables
 from gaugeworks.llm.tokens import word_bpe
 from gaugeworks.session import fresh_path
 
 
+_before: list[str] = []
+
+
 def _stage(build):
-    """Each stage begins when the result of the one before is stored, so that one's intermediate tables can go."""
+    """Each stage begins when the result of the one before is stored, so the tables that one made can go; no others do."""
 
     @wraps(build)
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        forget_saved(spark)
-        return build(spark, docs, sf_dir)
+        forget(spark, _before)
+        with own_tables() as made:
+            out = build(spark, docs, sf_dir)
+        _before.extend(made)
+        return out
 
     return begin
 
@@ -62,7 +68,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: SQL can neither fit the classifier nor tokenize; the tests hold the stages against brute-force versions.
+#: SQL can neither fit the classifier nor tokenize; tests hold the other stages against SQL or a plain loop, the classifier against labels.
 ORACLE_SQL = None
 
 
@@ -72,7 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = fresh_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
-        forget_saved(spark)
         docs = spark.read.parquet(path)
-    remember(path)
+    forget(spark, _before)
     return docs
