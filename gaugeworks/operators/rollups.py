@@ -91,10 +91,10 @@ def _recent(rolled: DataFrame, span: str, as_of) -> DataFrame:
     return rolled.filter(F.col("bucket") >= rolled.agg(F.max("bucket") - interval(span)).scalar())
 
 
-def device_stats_from_rollup(rolled: DataFrame, span: str = "5 minutes", as_of=None) -> DataFrame:
+def device_stats_of(partials: DataFrame) -> DataFrame:
+    """The columns of the device statistics from partials of any grain."""
     return (
-        _recent(rolled, span, as_of)
-        .groupBy("device_id")
+        partials.groupBy("device_id")
         .agg(
             F.sum("events").alias("message_count"),
             mean_from_parts("temperature").alias("avg_temperature"),
@@ -107,6 +107,11 @@ def device_stats_from_rollup(rolled: DataFrame, span: str = "5 minutes", as_of=N
     )
 
 
+def device_stats_from_rollup(rolled: DataFrame, span: str = "5 minutes", as_of=None) -> DataFrame:
+    """Device statistics from whole stored buckets; one that the span cuts into is left out (``operators.tiers`` has it)."""
+    return device_stats_of(_recent(rolled, span, as_of))
+
+
 def trend_from_rollup(rolled: DataFrame, span: str = "24 hours", as_of=None) -> DataFrame:
     """Events and mean temperature per stored bucket (hour over a day, or minute over an hour)."""
     return (
@@ -117,25 +122,35 @@ def trend_from_rollup(rolled: DataFrame, span: str = "24 hours", as_of=None) ->
     )
 
 
-def timeseries_from_rollup(rolled: DataFrame, span: str = "1 hour", grain: str = "minute", as_of=None) -> DataFrame:
-    """The columns of the time series from whole stored buckets; one that the span cuts into is left out."""
-    out = _recent(rolled, span, as_of).groupBy(bucket("bucket", grain).alias(grain)).agg(
+def timeseries_of(partials: DataFrame, grain: str = "minute") -> DataFrame:
+    """The columns of the time series from partials no coarser than ``grain``."""
+    out = partials.groupBy(bucket("bucket", grain).alias(grain)).agg(
         mean_from_parts("temperature").alias("avg_temperature"), mean_from_parts("pressure").alias("avg_pressure"),
         F.sum("events").alias("event_count"),
     )
     return out.orderBy(grain)
 
 
-def hourly_stats_from_rollup(rolled: DataFrame, span: str = "24 hours", as_of=None, approx: bool = False) -> DataFrame:
-    """The columns of the hourly statistics from whole stored buckets."""
+def timeseries_from_rollup(rolled: DataFrame, span: str = "1 hour", grain: str = "minute", as_of=None) -> DataFrame:
+    """The time series from whole stored buckets; one that the span cuts into is left out."""
+    return timeseries_of(_recent(rolled, span, as_of), grain)
+
+
+def hourly_stats_of(partials: DataFrame, approx: bool = False) -> DataFrame:
+    """The columns of the hourly statistics from partials no coarser than an hour."""
     distinct = F.approx_count_distinct("device_id") if approx else F.count_distinct("device_id")
-    out = _recent(rolled, span, as_of).groupBy(bucket("bucket", "hour").alias("hour")).agg(
+    out = partials.groupBy(bucket("bucket", "hour").alias("hour")).agg(
         F.sum("events").alias("events"), mean_from_parts("temperature").alias("avg_temperature"),
         mean_from_parts("pressure").alias("avg_pressure"), distinct.alias("active_devices"),
     )
     return out.orderBy("hour")
 
 
+def hourly_stats_from_rollup(rolled: DataFrame, span: str = "24 hours", as_of=None, approx: bool = False) -> DataFrame:
+    """The hourly statistics from whole stored buckets; one that the span cuts into is left out."""
+    return hourly_stats_of(_recent(rolled, span, as_of), approx)
+
+
 def hourly_coverage(rolled: DataFrame, span: str = "24 hours", as_of=None) -> DataFrame:
     return _recent(rolled, span, as_of).agg(
         F.count(F.lit(1)).alias("row_count"), F.min("bucket").alias("earliest"), F.max("bucket").alias("latest")

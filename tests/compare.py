@@ -74,3 +74,27 @@ def session(cpus: int = 8) -> SparkSession:
     spark = tuned(builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def _nodes(plan):
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        yield from _nodes(plan.executedPlan())
+    elif name.endswith("QueryStageExec"):
+        yield from _nodes(plan.plan())
+    else:
+        yield plan
+        children = plan.children()
+        for i in range(children.size()):
+            yield from _nodes(children.apply(i))
+
+
+def rows_read(df: DataFrame) -> dict[str, int]:
+    """Runs the frame; the rows that its file scans gave out, by the last folder or file of their path."""
+    df.collect()
+    out: dict[str, int] = {}
+    for node in _nodes(df._jdf.queryExecution().executedPlan()):
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            name = node.relation().location().rootPaths().head().getName()
+            out[name] = out.get(name, 0) + node.metrics().apply("numOutputRows").value()
+    return out
