@@ -116,6 +116,15 @@ def stream_latest(spark, sf_dir):
     return doubled(idle_filter(current, "15 minutes", newest_time(spark, sf_dir), "timestamp"))
 
 
+@query("stream_living", over_events(
+    f"SELECT device_id, timestamp, msg_id, status, {doubles(*METRICS)} FROM {latest('device_id')} "
+    "WHERE timestamp > (SELECT t FROM lim) - INTERVAL '15 minutes'"))
+def stream_living(spark, sf_dir):
+    """The devices whose state has not expired in the stream itself."""
+    changes = St.run_once(spark, St.stream_living(telemetry_stream(spark, sf_dir), "15 minutes"), "update", [])
+    return unzoned(St.living(changes))
+
+
 @query("stream_event_rate", over_events(
     "SELECT date_trunc('minute', timestamp) AS window_start, date_trunc('minute', timestamp) + INTERVAL '1 minute' AS window_end, "
     "count(*) AS events FROM ev GROUP BY 1, 2"))

@@ -1,3 +1,4 @@
+from gaugeworks.streaming.expiring import living, stream_living
 from gaugeworks.streaming.flow import count_late, dual_write, late_totals, run_once, sink_rollup, stream_alerts
 from gaugeworks.streaming.windows import (
     dedup_messages, late_rows, stream_active_devices, stream_counters, stream_event_rate,
@@ -5,8 +6,8 @@ from gaugeworks.streaming.windows import (
 )
 
 __all__ = [
-    "count_late", "dedup_messages", "dual_write", "late_rows", "late_totals", "run_once", "sink_rollup",
+    "count_late", "dedup_messages", "dual_write", "late_rows", "late_totals", "living", "run_once", "sink_rollup",
     "stream_active_devices", "stream_alerts",
     "stream_counters", "stream_event_rate", "stream_extremes", "stream_hot_averages", "stream_latest",
-    "stream_rollup",
+    "stream_living", "stream_rollup",
 ]

@@ -118,7 +118,8 @@ def run_once(
 ) -> DataFrame:
     """Drain the stream into a table of the shared folder and read the result.
 
-    In update mode a key appears once per batch that changed it; ``keys`` keeps its newest state.
+    In update mode a key appears once per batch that changed it; ``keys`` keeps its newest state, and an empty
+    list all of them with the number of their ``batch``.
     """
     base = fresh_path(spark, name)
     schema = T.StructType(df.schema.fields + [T.StructField("batch", T.LongType())])
@@ -132,6 +133,8 @@ def run_once(
     )
     query.awaitTermination()
     out = spark.read.schema(schema).option("basePath", f"{base}/table").parquet(f"{base}/table")
+    if keys == []:
+        return out
     if keys is None:
         return out.drop("batch")
     rest = [c for c in out.columns if c not in (*keys, "batch")]

@@ -209,3 +209,30 @@ def test_sketch_of_active_devices(spark, feed):
     active = St.stream_active_devices(stream(), "2 minutes", "2 minutes", approx=True)
     got = St.run_once(spark, active, "update", ["window_start", "window_end"])
     assert got.count() == 1 and abs(got.first()["devices"] - 40) <= 4
+
+
+def test_an_idle_device_leaves_the_state_store(spark, feed):
+    folder, drop, stream = feed
+    base = fresh_path(spark, "living")
+    run = lambda: drained(spark, St.stream_living(stream(), "15 minutes", "5 minutes"), "update", base)
+    held = lambda: {r["key"]["device_id"]: r["value"]["msg_id"] for r in spark.read.format("statestore")
+                    .option("stateVarName", "latest").load(f"{base}/checkpoint").collect()}
+    changes = lambda: spark.read.parquet(f"{base}/table")
+    alive = lambda: {r["device_id"]: r["msg_id"] for r in St.living(changes()).collect()}
+    drop([(0, "a", "OK", 1, 1.0), (10, "b", "WARN", 2, 2.0), (5, "a", "OK", 3, 3.0), (5, "a", "OK", 4, None)])
+    run()
+    assert held() == alive() == {"a": 4, "b": 2}
+    drop([(600, "b", "OK", 5, 1.0), (500, "b", "OK", 6, 1.0), (20, "a", "OK", 7, 1.0)])
+    run()
+    assert held() == alive() == {"a": 7, "b": 5}  # the row at 20 s is not yet late, and moves the timer of "a"
+    drop([(919, "c", "OK", 8, 1.0)])
+    run()
+    assert held() == alive() == {"a": 7, "b": 5, "c": 8}
+    drop([(930, "c", "OK", 9, 1.0)])
+    run()
+    assert held() == alive() == {"b": 5, "c": 9}
+    drop([(1200, "a", "OK", 10, 1.0)])
+    run()
+    assert held() == alive() == {"a": 10, "b": 5, "c": 9}
+    gone = changes().filter("expired").select("device_id", "msg_id").collect()
+    assert [r["device_id"] for r in gone] == ["a"]
