@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import bucket, rounded
-from gaugeworks.operators.chunks import CARRIED, CHUNK, SMALL, in_chunks, with_history
+from gaugeworks.operators.chunks import CHUNK, SMALL, in_chunks, over_previous
 from gaugeworks.schema import DEVICE_METRICS
 
 ORDER = ("timestamp", "msg_id")
@@ -17,11 +17,9 @@ def detect_spikes(
 ) -> DataFrame:
     """Values at least ``factor`` times the mean of the ``n`` readings before, or of opposite sign."""
     rows = ev.filter(F.col(metric).isNotNull()).select("device_id", *ORDER, F.col(metric).alias("value"))
-    led = with_history(in_chunks(rows, ["device_id"], "timestamp", chunk, small), ["device_id"], ORDER, n)
-    before = Window.partitionBy("device_id", CHUNK).orderBy(*ORDER).rowsBetween(-n, -1)
-    total = F.sum("value").over(before).cast("double")
-    count = F.count("value").over(before)
-    seen = led.withColumn("_total", total).withColumn("_count", count).filter(~F.col(CARRIED))
+    chunked = in_chunks(rows, ["device_id"], ORDER, chunk, small)
+    before = {"_total": F.sum("value"), "_count": F.count("value")}
+    seen = over_previous(chunked, ["device_id"], ORDER, n, before).withColumn("_total", F.col("_total").cast("double"))
     value = F.col("value").cast("double")
     jump = F.abs(value) * F.col("_count") >= F.lit(float(factor)) * F.abs(F.col("_total"))
     flip = value * F.col("_total") < 0
@@ -57,7 +55,7 @@ def detect_stuck(
     one; those, two per device and chunk at most, are joined up in a second, small pass.
     """
     rows = ev.filter(F.col(metric).isNotNull()).select("device_id", *ORDER, F.col(metric).alias("value"))
-    rows = in_chunks(rows, ["device_id"], "timestamp", chunk, small).withColumn("_new", _new_run())
+    rows = in_chunks(rows, ["device_id"], ORDER, chunk, small).withColumn("_new", _new_run())
     inside = Window.partitionBy("device_id", CHUNK).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     runs = (
         rows.withColumn("_run", F.sum("_new").over(inside))

@@ -1,82 +1,74 @@
 """Ordered work on long series without one task per series.
 
 A device may hold a third of all rows, so no window here is partitioned by the device alone: it is
-partitioned by device and chunk of time, and what a chunk needs from before it is handed over
-exactly.
+partitioned by device and chunk. The rows are shuffled once, into their chunks. What a chunk needs from
+before it is then settled among the few rows at the edges of chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.timing import span_seconds
 
 CHUNK = "_chunk"
-CARRIED = "_carried"
+EDGE = "_edge"
 
-
-# A group larger than this share of all rows is cut further, so fewer than 1 / SHARE groups are.
-SHARE = 1e-5
+#: A stretch with more rows is cut further.
 SMALL = 1_000_000
+#: So many stretches are cut at most, the largest; any other then holds less than this fraction of all rows.
+CUT = 100_000
+_WIDE = 1 << 20
 
 
 def in_chunks(
-    rows: DataFrame, keys: Sequence[str], time_col: str, length: str = "1 hour", small: int = SMALL
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], length: str = "1 hour", small: int = SMALL
 ) -> DataFrame:
-    """Rows with the number of their chunk; chunks of a series are ordered like its time.
+    """Rows with the number of their chunk; chunks of a series follow each other like its rows in ``order``.
 
-    A chunk is a stretch of ``length``. Where a series has very many rows in one stretch (more than
-    ``small`` and more than ``SHARE`` of the table), the stretch is cut into as many equal parts as
-    its size asks for. At most 1 / SHARE such stretches can exist, whatever the data, which is what
-    makes broadcasting their list safe.
+    ``order`` begins with the time. A chunk is a stretch of ``length``. Stretches with more than ``small``
+    rows are found first, by a count that reads the keys and the time alone and combines before the shuffle.
+    Their rows are dealt out by range over the whole order, and each task's share becomes a chunk: a burst of
+    rows at one moment is cut as well. The list of such stretches is collected and broadcast: ``CUT`` at most.
     """
-    us = F.unix_micros(F.col(time_col).cast("timestamp"))
-    width = span_seconds(length) * 1_000_000
+    us = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    slot = F.floor(us / F.lit(span_seconds(length) * 1_000_000)).cast("long")
     group = [*keys, "_slot"]
-    rows = rows.withColumn("_slot", F.floor(us / F.lit(width)).cast("long"))
-
+    rows = rows.withColumn("_slot", slot)
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    limit = F.greatest(F.lit(float(small)), sizes.agg(F.sum("_size") * F.lit(SHARE)).scalar())
-    crowded = sizes.filter(F.col("_size") > limit).select(*group, F.ceil(F.col("_size") / limit).alias("_parts"))
-
-    inside = F.floor((us - F.col("_slot") * width) / F.lit(width) * F.coalesce("_parts", F.lit(1))).cast("long")
-    return (
-        rows.join(F.broadcast(crowded), group, "left")
-        .withColumn(CHUNK, F.col("_slot") * F.lit(int(2 / SHARE)) + inside)
-        .drop("_slot", "_parts")
-    )
-
-
-def with_history(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """Chunked rows (``in_chunks``), each chunk led by the ``n`` rows that precede it in its series.
-
-    Carried rows are marked in ``_carried``; a window of up to ``n`` preceding rows over (keys,
-    chunk) then sees what it would see over the whole series. A row is carried into at most the
-    next ``n`` chunks, and only where fewer than ``n`` rows lie in between, so carried rows number
-    at most n per chunk. The tails come from a rank limit that Spark applies before the shuffle.
+    crowded = sizes.filter(F.col("_size") > small).orderBy(F.desc("_size")).limit(CUT).collect()
+    whole = F.col("_slot") * _WIDE
+    if not crowded:
+        return rows.withColumn(CHUNK, whole).drop("_slot")
+
+    spark = rows.sparkSession
+    listed = F.broadcast(spark.createDataFrame(crowded, sizes.schema).drop("_size"))
+    most = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(sum(-(-r["_size"] // small) for r in crowded), max(most, 2))
+    full = rows.join(listed, group, "left_semi").repartitionByRange(parts, *keys, *order)
+    cut = full.withColumn(CHUNK, whole + F.spark_partition_id())
+    rest = rows.join(listed, group, "left_anti").withColumn(CHUNK, whole)
+    return cut.unionByName(rest).drop("_slot")
+
+
+def over_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, measures: dict[str, Column]) -> DataFrame:
+    """Aggregates over the ``n`` rows that precede each row of its series, for chunked rows (``in_chunks``).
+
+    Inside a chunk they are a plain window for all but its first ``n`` rows. Those need the last ``n`` rows of
+    the chunks before, so the first and last ``n`` rows of every chunk go through a second window over the
+    series: between two of them that belong together no other row lies. Edges are at most 2n rows a chunk,
+    and chunks as many as there are stretches of time or full tasks, however many events there are.
     """
-    group = [*keys, CHUNK]
-
-    back = F.row_number().over(Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order]))
-    tails = rows.withColumn("_back", back).filter(F.col("_back") <= n)
-
-    # One row per series and chunk: bounded by the length of history, not by the number of events.
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    series = Window.partitionBy(*keys).orderBy(CHUNK)
-    ends = sizes.withColumn("_end", F.sum("_size").over(series.rowsBetween(Window.unboundedPreceding, 0)))
-    later = F.collect_list(
-        F.struct(F.col(CHUNK).alias("chunk"), (F.col("_end") - F.col("_size")).alias("before"))
-    ).over(series.rowsBetween(1, n))
-    targets = ends.withColumn("_later", later).select(
-        *group, F.explode(F.filter("_later", lambda t: t["before"] - F.col("_end") < n)).alias("_to"), "_end"
-    )
-    carried = (
-        tails.join(targets, group)
-        .filter(F.col("_back") + F.col("_to.before") - F.col("_end") <= n)
-        .withColumn(CHUNK, F.col("_to.chunk"))
-        .select(*rows.columns)
-    )
-    return rows.withColumn(CARRIED, F.lit(False)).unionByName(carried.withColumn(CARRIED, F.lit(True)))
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    placed = rows.withColumns({
+        "_place": F.row_number().over(inside), EDGE: F.lead(F.lit(1), n).over(inside).isNull(),
+        **{name: m.over(inside.rowsBetween(-n, -1)) for name, m in measures.items()},
+    })
+    settled = placed.filter(F.col("_place") > n)
+    series = Window.partitionBy(*keys).orderBy(CHUNK, *order).rowsBetween(-n, -1)
+    edges = placed.filter((F.col("_place") <= n) | F.col(EDGE)).drop(*measures)
+    edges = edges.withColumns({name: m.over(series) for name, m in measures.items()}).filter(F.col("_place") <= n)
+    return settled.unionByName(edges).drop("_place", EDGE)

@@ -57,7 +57,7 @@ def counter_rate(
     """
     length = seconds if seconds is not None else span_seconds(span)
     rows = _named(samples, name, span, as_of).select(tags(), "ts", "value")
-    rows = in_chunks(rows, [TAGS], "ts", chunk, small)
+    rows = in_chunks(rows, [TAGS], NEWEST_LAST, chunk, small)
     inside = Window.partitionBy(TAGS, CHUNK).orderBy(*NEWEST_LAST)
     steps = rows.withColumn("_up", _increase(F.col("value"), F.lag("value").over(inside)))
     per_chunk = steps.groupBy(TAGS, CHUNK).agg(

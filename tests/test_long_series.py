@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import anomalies as W
 from gaugeworks.operators import samples as M
+from gaugeworks.operators.chunks import in_chunks
 
 START = dt.datetime(2024, 5, 1)
 
@@ -86,3 +87,19 @@ def test_a_long_run_over_many_chunks(spark):
     )
     got = W.detect_stuck(df, "temperature", 5, "1 minute", 10).collect()
     assert [r["readings"] for r in got] == [5000]
+
+
+@pytest.mark.parametrize("small", [7, 100, 1_000_000])
+def test_a_burst_at_one_moment(spark, small):
+    """All rows of a device bear one time; their order is the message number, and chunks are cut inside the moment."""
+    rng = random.Random(11)
+    values = [rng.choice((1.0, 1.0, 1.0, 9.0)) for _ in range(600)]
+    rows = [("a", START, i, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "device_id string, timestamp timestamp_ntz, msg_id long, temperature double").repartition(5)
+    chunks = in_chunks(df, ["device_id"], W.ORDER, "1 hour", small).groupBy("_chunk").count()
+    assert (chunks.count() > 1) == (small < 600) and chunks.agg(F.sum("count")).first()[0] == 600
+    want = {i for i in range(1, 600) if values[i] * len(b := values[max(0, i - 20):i]) >= 2 * sum(b)}
+    assert {r["msg_id"] for r in W.detect_spikes(df, "temperature", 2.0, 20, "1 hour", small).collect()} == want
+    runs = [len(list(g)) for _, g in groupby(values)]
+    got = W.detect_stuck(df, "temperature", 2, "1 hour", small).collect()
+    assert sorted(r["readings"] for r in got) == sorted(n for n in runs if n >= 2)
