@@ -15,8 +15,10 @@ from gaugeworks.plans.tables import as_stored
 from gaugeworks.schema import HEADER, METRICS
 from gaugeworks.session import fresh_path
 from gaugeworks import streaming as St
-from gaugeworks.sinks import latest_state, sink_batched, upsert_latest
+from gaugeworks.functions.timing import instant, interval
+from gaugeworks.sinks import latest_state, read_segments, sink_batched, upsert_latest
 from gaugeworks.sources import stream_events
+from gaugeworks.streaming import panes as P
 from gaugeworks.sources.sample_tables import newest_time, telemetry, telemetry_stream
 
 _HEAD = ", ".join(HEADER)
@@ -77,20 +79,40 @@ def stream_late_rows(spark, sf_dir):
     return unzoned(St.late_totals(spark, f"{base}/late"))
 
 
+def _panes(spark, sf_dir):
+    """The minute panes of the whole stream, stored and read again."""
+    base = fresh_path(spark, "panes")
+    St.sink_panes(telemetry_stream(spark, sf_dir), f"{base}/table", f"{base}/checkpoint", every=None).awaitTermination()
+    return St.read_panes(spark, f"{base}/table")
+
+
 @query("stream_hot_averages", _sliding(5, f"{avg('temperature')} AS avg_temperature, {avg('pressure')} AS avg_pressure"))
 def stream_hot_averages(spark, sf_dir):
-    hot = St.stream_hot_averages(telemetry_stream(spark, sf_dir))
-    return St.run_once(spark, hot, "update", ["window_start", "window_end"])
+    return P.hot_averages(_panes(spark, sf_dir))
 
 
 @query("stream_extremes", _sliding(15, f"{high('temperature')} AS max_temperature, {low('temperature')} AS min_temperature"))
 def stream_extremes(spark, sf_dir):
-    extremes = St.stream_extremes(telemetry_stream(spark, sf_dir))
-    return St.run_once(spark, extremes, "update", ["window_start", "window_end"])
+    return P.extremes(_panes(spark, sf_dir))
+
+
+_DEVICES = "count(DISTINCT device_id) AS devices"
 
 
-@query("stream_active_devices", _sliding(15, "count(DISTINCT device_id) AS devices", f"w + INTERVAL '15 minutes' <= {_CLOSED}"))
+@query("pane_active_devices", _sliding(15, _DEVICES))
+def pane_active_devices(spark, sf_dir):
+    return P.active_devices(_panes(spark, sf_dir))
+
+
+@query("stream_active_devices", _sliding(15, _DEVICES, f"w + INTERVAL '15 minutes' <= {_CLOSED}"))
 def stream_active_devices(spark, sf_dir):
+    """Of the same, the windows that can no longer change."""
+    closed = instant(newest_time(spark, sf_dir)) - interval(St.windows.WATERMARK)
+    return P.active_devices(_panes(spark, sf_dir)).filter(F.col("window_end") <= closed)
+
+
+@query("stream_active_devices_by_watermark", _sliding(15, _DEVICES, f"w + INTERVAL '15 minutes' <= {_CLOSED}"))
+def stream_active_devices_by_watermark(spark, sf_dir):
     return St.run_once(spark, St.stream_active_devices(telemetry_stream(spark, sf_dir)), "append")
 
 
@@ -175,7 +197,7 @@ def dual_write_history(spark, sf_dir):
     St.dual_write(
         telemetry_stream(spark, sf_dir), f"{base}/history", f"{base}/live", f"{base}/checkpoint", every=None
     ).awaitTermination()
-    history = spark.read.parquet(f"{base}/history")
+    history = read_segments(spark, f"{base}/history")
     return history.groupBy("device_id").agg(
         F.count(F.lit(1)).alias("events"), F.max("timestamp").alias("last_seen"),
         F.count_if(F.col("status") == "WARN").alias("warnings"),

@@ -1,7 +1,8 @@
 from gaugeworks.sinks.live import drop_old_state, latest_state, sink_batched, upsert_latest
+from gaugeworks.sinks.segments import read_segments, write_segment
 from gaugeworks.sinks.tables import archive_expired, publish_snapshot, settle_months, write_events, write_indexed
 
 __all__ = [
-    "archive_expired", "drop_old_state", "latest_state", "publish_snapshot", "settle_months", "sink_batched",
-    "upsert_latest", "write_events", "write_indexed",
+    "archive_expired", "drop_old_state", "latest_state", "publish_snapshot", "read_segments", "settle_months", "sink_batched",
+    "upsert_latest", "write_events", "write_indexed", "write_segment",
 ]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeworks.functions import instant, interval, month_of
+from gaugeworks.functions import month_of
+from gaugeworks.functions.timing import span_seconds
 from gaugeworks.operators.devices import idle_filter, latest_per
-from gaugeworks.operators.folders import drop_partitions_before
+from gaugeworks.sinks.segments import merge_all, read_segments, write_segment
 
 STATE_COLUMNS = ("timestamp", "msg_id", "temperature", "pressure", "status")
 
@@ -20,10 +22,6 @@ def unzoned(ev: DataFrame) -> DataFrame:
     return ev.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
-def _hour_of(col: Column | str) -> Column:
-    return F.date_format(col, "yyyyMMddHH")
-
-
 def _triggered(writer, every: str | None):
     """Run on a clock, or once over what is there when ``every`` is None."""
     return writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
@@ -47,27 +45,25 @@ def sink_batched(
     return _triggered(writer, every).start()
 
 
-def write_state_segment(batch: DataFrame, path: str, batch_id: int, columns: Sequence[str] = STATE_COLUMNS) -> None:
-    """The newest row per device of one micro-batch, filed under hour and batch.
+def newest_of(columns: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """How segments of the latest state merge: the newest row of each device."""
+    return lambda rows: latest_per(rows, ["device_id"], columns)
 
-    The batch is reduced before it is written, and a repeated batch replaces its own files.
-    """
-    newest = latest_per(unzoned(batch), ["device_id"], columns)
-    (
-        newest.withColumn("hour", _hour_of("timestamp")).withColumn("batch", F.lit(batch_id))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("hour", "batch").parquet(path)
-    )
+
+def write_state_segment(batch: DataFrame, path: str, batch_id: int, columns: Sequence[str] = STATE_COLUMNS) -> None:
+    """The newest row per device of one micro-batch, as a segment of the state (``sinks.segments``)."""
+    newest = newest_of(columns)
+    write_segment(newest(unzoned(batch)), path, batch_id, newest)
 
 
 def upsert_latest(
     stream: DataFrame, path: str, checkpoint: str, every: str | None = "5 seconds",
     columns: Sequence[str] = STATE_COLUMNS,
 ) -> StreamingQuery:
-    """Keep the latest reading per device as small segments, one per micro-batch.
+    """Keep the latest reading per device as segments, which merge as they grow in number.
 
-    Nothing old is rewritten. Readers merge the segments of the hours that can still be alive
-    (``latest_state``); older hours hold only expired devices, and ``drop_old_state`` removes them.
+    Readers combine the few segments of one manifest (``latest_state``); ``drop_old_state`` removes devices
+    that have expired.
     """
     writer = (
         stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
@@ -76,19 +72,20 @@ def upsert_latest(
     return _triggered(writer, every).start()
 
 
+def _moment(value) -> dt.datetime:
+    return value if isinstance(value, dt.datetime) else dt.datetime.fromisoformat(str(value))
+
+
 def latest_state(
     spark: SparkSession, path: str, ttl: str | None = "5 minutes", as_of=None, columns: Sequence[str] = STATE_COLUMNS
 ) -> DataFrame:
-    """Latest reading per device; devices idle for ``ttl`` or longer are gone."""
-    segments = spark.read.parquet(path)
-    if ttl is not None and as_of is not None:
-        oldest = _hour_of(instant(as_of) - interval(ttl))
-        segments = segments.filter(F.col("hour").cast("string") >= oldest)
-    merged = latest_per(segments, ["device_id"], columns)
+    """Latest reading per device; devices idle for ``ttl`` or longer are gone. Segments with none but those are not read."""
+    bounded = ttl is not None and as_of is not None
+    segments = read_segments(spark, path, _moment(as_of) - dt.timedelta(seconds=span_seconds(ttl)) if bounded else None)
+    merged = newest_of(columns)(segments)
     return merged if ttl is None else idle_filter(merged, ttl, as_of, "timestamp")
 
 
-def drop_old_state(spark: SparkSession, path: str, ttl: str, as_of) -> None:
-    """Remove the hours in which every device has expired."""
-    oldest = spark.range(1).select(_hour_of(instant(as_of) - interval(ttl)).alias("h")).first()["h"]
-    drop_partitions_before(spark, path, "hour", oldest)
+def drop_old_state(spark: SparkSession, path: str, ttl: str, as_of, columns: Sequence[str] = STATE_COLUMNS) -> None:
+    """Merge the state into one segment without the devices that have expired; only while its stream is stopped."""
+    merge_all(spark, path, lambda rows: idle_filter(newest_of(columns)(rows), ttl, as_of, "timestamp"))

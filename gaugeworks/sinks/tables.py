@@ -12,6 +12,7 @@ from gaugeworks.functions import instant, month_of
 from gaugeworks.operators.folders import TARGET_BYTES, stored_bytes, stored_files
 from gaugeworks.operators.quality import expired
 from gaugeworks.schema import EVENTS
+from gaugeworks.sinks.segments import read_segments, segment_paths
 
 LAYOUT = ("device_id", "timestamp")
 
@@ -39,16 +40,18 @@ def write_events(ev: DataFrame, path: str, files: int | None = None, replace_mon
 def settle_months(
     spark: SparkSession, landing: str, table: str, months: tuple[str, ...], files: int | None = None
 ) -> None:
-    """Move finished months of a landing table into the events table, sorted and in large files.
+    """Move finished months of a landing table, plain or of segments, into the events table, sorted and in large files.
 
     Each month is rebuilt whole from the landing rows and replaces what the table had of it, so the
     job can be repeated. Only those months are read.
     """
     wanted = F.col("yyyymm").cast("string").isin(*months)
-    landed = spark.read.parquet(landing).filter(wanted)
+    segments = segment_paths(spark, landing)
+    landed = (read_segments(spark, landing) if segments else spark.read.parquet(landing)).filter(wanted)
     ev = landed.select(*[c for c in EVENTS.fieldNames() if c in landed.columns])
     if files is None:
-        files = max(1, -(-stored_bytes(stored_files(spark, landing).filter(wanted)) // TARGET_BYTES))
+        held = sum(stored_bytes(stored_files(spark, p).filter(wanted)) for p in segments or [landing])
+        files = max(1, -(-held // TARGET_BYTES))
     write_events(ev, table, int(files), replace_months=True)
 
 

@@ -16,6 +16,7 @@ from gaugeworks.operators.folders import drop_partitions, partition_values
 from gaugeworks.operators.rollups import part_column
 from gaugeworks.session import fresh_path
 from gaugeworks.sinks.live import unzoned, write_state_segment
+from gaugeworks.sinks.segments import write_segment
 from gaugeworks.streaming.windows import WATERMARK, stream_rollup
 
 
@@ -27,19 +28,15 @@ def stream_alerts(stream: DataFrame) -> DataFrame:
 def dual_write(stream: DataFrame, history: str, live: str, checkpoint: str, every: str | None = "5 seconds") -> StreamingQuery:
     """One stream into the history landing table and the latest state.
 
-    The micro-batch is kept for the two writes and let go. Both are filed under the batch number and
-    replaced when Spark repeats a batch after a failure, so neither gains rows twice. A finished
-    month moves on with ``settle_months``.
+    The micro-batch is kept for the two writes and let go. Both are log-structured segments: a batch that Spark
+    repeats after a failure replaces its own, and the folders stay few. ``sinks.read_segments`` reads the history; a
+    finished month moves on with ``settle_months``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            (
-                unzoned(batch).withColumn("yyyymm", month_of("timestamp")).withColumn("batch", F.lit(batch_id))
-                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                .partitionBy("yyyymm", "batch").parquet(history)
-            )
+            write_segment(unzoned(batch).withColumn("yyyymm", month_of("timestamp")), history, batch_id, lambda rows: rows, "yyyymm")
             write_state_segment(batch, live, batch_id)
         finally:
             batch.unpersist()

@@ -9,7 +9,7 @@ from gaugeworks import streaming as St
 from gaugeworks.operators import rollups as R
 from gaugeworks.plans.tables import as_stored
 from gaugeworks.session import fresh_path
-from gaugeworks.sinks import drop_old_state, latest_state, settle_months, sink_batched, upsert_latest
+from gaugeworks.sinks import drop_old_state, latest_state, read_segments, settle_months, sink_batched, upsert_latest
 from gaugeworks.sources import read_events, stream_events
 from gaugeworks.sources.sample_tables import telemetry
 
@@ -190,7 +190,7 @@ def test_dual_write_repeats_safely(spark, feed):
     drop([(i, "a", "OK", i, 1.0) for i in range(10)])
     for attempt in ("one", "two"):
         St.dual_write(stream(), f"{base}/history", f"{base}/live", f"{base}/{attempt}", every=None).awaitTermination()
-    assert spark.read.parquet(f"{base}/history").count() == 10
+    assert read_segments(spark, f"{base}/history").count() == 10
     assert latest_state(spark, f"{base}/live", None).first()["msg_id"] == 9
 
 
