@@ -111,3 +111,14 @@ def from_iso(col: Column | str, time_type: str = "timestamp_ntz") -> Column:
     """ISO-8601 text to a time cut to whole milliseconds; text that is no time gives NULL."""
     parsed = F.try_to_timestamp(col if isinstance(col, Column) else F.col(col))
     return F.date_trunc("millisecond", parsed).cast(time_type)
+
+
+def order_key(time_col: str = "timestamp", tie: str = "msg_id") -> Column:
+    """Time and number of a row as one decimal that sorts like the pair, nulls first.
+
+    A decimal has a fixed width, so a maximum of it runs as a hash aggregate, which a struct's does not.
+    """
+    us = F.unix_micros(F.col(time_col).cast("timestamp")).cast("decimal(17,0)")
+    number = F.coalesce(F.col(tie).cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
+    earliest = F.lit("-99999999999999999").cast("decimal(17,0)")
+    return (F.coalesce(us, earliest) * F.lit("18446744073709551616").cast("decimal(20,0)") + number).cast("decimal(38,0)")

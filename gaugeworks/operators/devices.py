@@ -6,29 +6,80 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.functions import bucket, from_epoch_ms, newest, seconds_between, since
-from gaugeworks.functions.timing import interval, span_seconds
+from gaugeworks.functions.timing import interval, order_key, span_seconds
 from gaugeworks.operators.filters import band_of, trailing
 from gaugeworks.operators.summaries import active_devices
 from gaugeworks.schema import METRICS, PRESENCE
+from gaugeworks.session import fresh_path
 
 
 def newest_row(columns: Sequence[str], time_col: str = "timestamp", tie: str = "msg_id") -> Column:
-    """The newest row of a group as one struct.
-
-    One maximum instead of one per column: a group keeps a single candidate, map-side and after the
-    shuffle, and the order is total, so the result does not depend on how the rows were spread.
-    """
+    """The newest row of a group as one struct, for streams and small frames; Spark runs it as a sort aggregate."""
     rest = [c for c in columns if c not in (time_col, tie)]
     return F.max(F.struct(time_col, tie, *rest))
 
 
-def latest_per(ev: DataFrame, keys: Sequence[str], columns: Sequence[str], extra: dict[str, Column] | None = None) -> DataFrame:
-    """Newest row per key, with further aggregates beside it."""
-    aggregates = [c.alias(n) for n, c in (extra or {}).items()]
-    out = ev.groupBy(*keys).agg(newest_row(columns).alias("_row"), *aggregates)
-    return out.select(*keys, *[F.col("_row")[c].alias(c) for c in columns], *(extra or {}))
+KEY = "_newest"
+
+
+def _is_text(df: DataFrame, c: str) -> bool:
+    return not isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def latest_per(
+    ev: DataFrame, keys: Sequence[str], columns: Sequence[str], counts: dict[str, Column] | None = None,
+    time_col: str = "timestamp", tie: str = "msg_id",
+) -> DataFrame:
+    """Newest row per key, with counts beside it; equal times are settled by the message number.
+
+    All rows go through one hash aggregate with map-side combine and are never sorted: its buffers hold fixed-width
+    values only, so columns that are texts (a status) are grouped by instead. What is left, a row for each key and text that
+    occurs with it, is cut to the newest by a window.
+    """
+    counts = counts or {}
+    texts = [c for c in columns if _is_text(ev, c)]
+    fixed = [c for c in columns if c not in texts]
+    grouped = ev.withColumn(KEY, order_key(time_col, tie)).groupBy(*keys, *texts).agg(
+        F.max(KEY).alias(KEY), *[F.max_by(c, KEY).alias(c) for c in fixed], *[c.alias(n) for n, c in counts.items()]
+    )
+    if not texts:
+        return grouped.select(*keys, *columns, *counts)
+    whole = Window.partitionBy(*keys)
+    nth = F.row_number().over(whole.orderBy(F.desc(KEY), *[F.desc_nulls_last(c) for c in texts]))
+    placed = grouped.withColumns({"_nth": nth, **{n: F.sum(n).over(whole) for n in counts}})
+    return placed.filter(F.col("_nth") == 1).select(*keys, *columns, *counts)
+
+
+def latest_newest_first(
+    ev: DataFrame, wanted: DataFrame, columns: Sequence[str], part: str = "yyyymm", parts: Sequence[str] | None = None
+) -> DataFrame:
+    """The newest row of each device in ``wanted`` (device_id), looked for from the newest folder back.
+
+    Each folder is searched for the devices not found yet, and the search ends when none is left, so history is read
+    only as far as the longest silent device asks for. Folders must follow each other in time. ``parts`` are their
+    values if they are known. What has been found is kept in the shared folder between the steps.
+    """
+    spark = ev.sparkSession
+    values = sorted((r[0] for r in ev.select(F.col(part).cast("string")).distinct().collect()) if parts is None else parts, reverse=True)
+    left = wanted.select("device_id").distinct()
+    found = None
+    for value in values:
+        if value is None:
+            continue
+        rows = ev.filter(F.col(part).cast("string") == value).join(left, "device_id", "left_semi")
+        path = fresh_path(spark, "newest")
+        latest_per(rows, ["device_id"], columns).write.parquet(path)
+        here = spark.read.parquet(path)
+        found = here if found is None else found.unionByName(here)
+        ahead = fresh_path(spark, "wanted")
+        left.join(here.select("device_id"), "device_id", "left_anti").write.parquet(ahead)
+        left = spark.read.parquet(ahead)
+        if left.isEmpty():
+            break
+    return latest_per(ev.limit(0), ["device_id"], columns) if found is None else found
 
 
 def latest_events(ev: DataFrame, span: str = "5 minutes", as_of=None) -> DataFrame:
@@ -99,9 +150,11 @@ def device_presence(notices: DataFrame, col: str = "message", tie: str = "seq")
     """
     read = notices.select("device_id", F.col(tie).alias("seq"), F.inline(F.array(F.from_json(col, PRESENCE))))
     parsed = read.select("device_id", "seq", "online", from_epoch_ms("timestamp").alias("at"))
-    newest_notice = F.max(F.struct("seq", "online", "at"))
-    out = parsed.groupBy("device_id").agg(newest_notice.alias("n"), F.max("at").alias("last_notice"))
-    return out.select("device_id", F.col("n.online").alias("online"), "last_notice")
+    # the number of a notice and its state as one whole number: its maximum runs as a hash aggregate
+    ranked = F.col("seq").cast("decimal(20,0)") * 3 + F.when(F.col("online"), 2).when(~F.col("online"), 1).otherwise(0)
+    out = parsed.groupBy("device_id").agg(F.max(ranked).alias("n"), F.max("at").alias("last_notice"))
+    state = F.pmod("n", F.lit(3))
+    return out.select("device_id", F.when(state > 0, state == 2).alias("online"), "last_notice")
 
 
 def _newest_holding(ev: DataFrame, key: Column, n: int) -> Column:

@@ -98,3 +98,11 @@ def test_filters_reach_through_the_views(spark, sf_dir):
     assert len(names) == 6 and all(spark.catalog.tableExists(n) for n in names)
     plan = plan_of(spark.sql("SELECT sum(events) FROM checked_events_day WHERE location = 'view'"))
     assert "EqualTo(event_type,view)" in plan and "value" not in plan.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("name", [
+    "latest_readings", "latest_events", "device_status", "device_leaderboard", "device_presence", "latest_reading_of_device",
+])
+def test_newest_values_do_not_sort_the_rows(spark, sf_dir, name):
+    plan = plan_of(QUERIES[name](spark, sf_dir))
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") >= 2

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import maintenance as X
 from gaugeworks.operators import quality as Q
-from gaugeworks.operators.devices import replay_buffer
+from gaugeworks.operators.devices import latest_newest_first, latest_per, replay_buffer
 from gaugeworks.operators.filters import trailing
 from gaugeworks.plans.tables import _stretched, as_stored
 from gaugeworks.session import fresh_path
@@ -219,3 +219,34 @@ def test_retention_refuses_other_partitions(spark, part):
     with pytest.raises(ValueError):
         X.drop_expired_partitions(spark, path, "7 days", "2024-12-20 12:00:00")
     assert spark.read.parquet(path).count() == 1
+
+
+def test_newest_first_reads_only_what_it_needs(spark, year):
+    """Devices that all spoke in the newest month are found there; one that fell silent is looked for further back."""
+    table = read_events(spark, year)
+    columns = ["timestamp", "msg_id", "temperature", "status"]
+    whole = {tuple(r) for r in latest_per(table, ["device_id"], columns).collect()}
+    newest = {r[0] for r in table.filter("yyyymm = '202412'").select("device_id").distinct().collect()}
+    some = spark.createDataFrame([(d,) for d in sorted(newest)[:5]], "device_id string")
+    one = latest_newest_first(table, some, columns, parts=sorted({str(r[0]) for r in table.select("yyyymm").distinct().collect()} | {"209901"}))
+    assert {tuple(r) for r in one.collect()} == {r for r in whole if r[0] in {d[0] for d in some.collect()}}
+    everyone = table.select("device_id").distinct().unionByName(spark.createDataFrame([("none",)], "device_id string"))
+    assert {tuple(r) for r in latest_newest_first(table, everyone, columns).collect()} == whole
+    assert latest_newest_first(table.limit(0), some, columns).collect() == []
+
+
+def test_newest_first_stops(spark, year, monkeypatch):
+    """Folders older than the last one needed may be unreadable."""
+    table = read_events(spark, year)
+    newest = table.filter("yyyymm = '202412'").select("device_id").distinct()
+    bad = F.when(F.col("yyyymm") < "202412", F.raise_error(F.lit("read"))).otherwise(F.col("temperature"))
+    broken = table.withColumn("temperature", bad)
+    assert latest_newest_first(broken, newest, ["timestamp", "msg_id", "temperature"], parts=["202410", "202411", "202412"]).count() == newest.count()
+
+
+def test_newest_row_of_odd_rows(spark):
+    rows = [("a", None, 5, "OK", 1.0), ("a", None, None, "WARN", 2.0), ("b", "2024-05-01 00:00:00", None, "x" * 60, None),
+            ("b", "1969-12-31 23:59:59", 9, None, 1.0), ("c", "2024-05-01 00:00:00", -(2**63), "OK", 1.0), ("c", "2024-05-01 00:00:00", 2**63 - 1, None, 2.0)]
+    df = spark.createDataFrame(rows, "device_id string, t string, msg_id long, status string, temperature double").withColumn("timestamp", F.col("t").cast("timestamp_ntz"))
+    got = {r["device_id"]: (r["status"], r["temperature"], r["msg_id"]) for r in latest_per(df, ["device_id"], ["timestamp", "msg_id", "status", "temperature"]).collect()}
+    assert got == {"a": ("OK", 1.0, 5), "b": ("x" * 60, None, None), "c": (None, 2.0, 2**63 - 1)}
