@@ -12,22 +12,15 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import day_of, instant, month_of, readable_size
 from gaugeworks.functions.timing import interval
 from gaugeworks.operators.folders import TARGET_BYTES, drop_partitions, partition_values, scattered_partitions, stored_bytes, stored_files, stored_totals
+from gaugeworks.operators.manifest import keep_manifest, refresh_manifest
 from gaugeworks.schema import RETENTION
 
 
 def partition_inventory(
     spark: SparkSession, path: str, part: str = "yyyymm", time_col: str = "timestamp"
 ) -> DataFrame:
-    """Files, rows, bytes and time range of each partition; only the time column is read."""
-    per_file = (
-        spark.read.parquet(path)
-        .select(F.col(part).cast("string").alias("partition"), time_col, "_metadata.file_path", "_metadata.file_size")
-        .groupBy("partition", "file_path")
-        .agg(
-            F.count(F.lit(1)).alias("rows"), F.max("file_size").alias("bytes"),
-            F.min(time_col).alias("min_time"), F.max(time_col).alias("max_time"),
-        )
-    )
+    """Files, rows, bytes and time range of each partition, from the table's record of its files; no row is read."""
+    per_file = refresh_manifest(spark, path, part, time_col)
     return (
         per_file.groupBy("partition")
         .agg(
@@ -39,6 +32,22 @@ def partition_inventory(
     )
 
 
+def on_disk(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Data files and their bytes below a folder, as the file system tells them, hidden folders left out."""
+    files, found, size = 0, [path], 0
+    while found:
+        place = spark._jvm.org.apache.hadoop.fs.Path(found.pop())
+        for entry in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place):
+            name = entry.getPath().getName()
+            if name.startswith(("_", ".")):
+                continue
+            if entry.isDirectory():
+                found.append(entry.getPath().toString())
+            else:
+                files, size = files + 1, size + entry.getLen()
+    return files, size
+
+
 def table_sizes(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Size, rows and files of each table, largest first. No column is read, only row counts."""
     parts = [
@@ -49,7 +58,7 @@ def table_sizes(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
 
 
 def total_size(sizes: DataFrame) -> DataFrame:
-    return sizes.agg(F.sum("bytes").alias("bytes")).withColumn("size", readable_size("bytes"))
+    return sizes.agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.sum("files").alias("files")).withColumn("size", readable_size("bytes"))
 
 
 def compact(
@@ -76,6 +85,7 @@ def compact(
         .partitionBy(part)
         .parquet(path)
     )
+    keep_manifest(spark, path, part)
 
 
 def compact_all(spark: SparkSession, tables: Mapping[str, tuple[str, str, tuple[str, ...]]]) -> DataFrame:
@@ -95,6 +105,8 @@ def compact_all(spark: SparkSession, tables: Mapping[str, tuple[str, str, tuple[
     return spark.createDataFrame(done, "table string, result string")
 
 
+#: Fixed value: the folder of rows whose partition column is null.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 #: How a partition's text is made from a time, by its number of digits.
 _GRAINS = {6: month_of, 8: day_of}
 
@@ -105,10 +117,11 @@ def drop_expired_partitions(
     """Apply retention to a table partitioned by month or day: old partitions go whole, one is cut.
 
     The grain follows from the partitions themselves. Only the partition in which the limit falls is
-    rewritten; those before it are removed as folders and not read. A table whose partitions are not all
-    months or all days raises ValueError, and nothing is removed.
+    rewritten; those before it are removed as folders and not read. Rows without a time have a partition of
+    their own, which never expires. A table whose other partitions are not all months or all days raises
+    ValueError, and nothing is removed.
     """
-    values = partition_values(spark, path, part)
+    values = [v for v in partition_values(spark, path, part) if v != NO_VALUE]
     if not values:
         return
     digits = {len(v) if v.isdecimal() else None for v in values}
@@ -127,6 +140,7 @@ def drop_expired_partitions(
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
             )
     drop_partitions(spark, path, part, gone)
+    keep_manifest(spark, path, part, time_col)
 
 
 def apply_table_retention(spark: SparkSession, tables: Mapping[str, str], as_of) -> None:

@@ -14,7 +14,10 @@ from gaugeworks.plans.registry import doubled, query, recent
 from gaugeworks.plans.sql import avg, doubles, n_status, over_events, r, within
 from gaugeworks.schema import EVENTS, HEADER, METRICS
 from gaugeworks.session import fresh_path
-from gaugeworks.sinks import archive_expired, publish_snapshot, write_events, write_indexed
+from gaugeworks.operators.folders import partition_values
+from gaugeworks.operators.manifest import newest_stored
+from gaugeworks.sinks import archive_expired, move_expired, publish_snapshot, write_events, write_indexed
+from gaugeworks.sinks.moves import archived_rows, live_rows
 from gaugeworks.sources import (
     flatten_readings, narrow, normalise_alt_messages, parse_alt_messages, parse_messages, read_events, read_month_range,
     read_snapshot, rejected_messages, snapshot_or, to_messages, zero_filled,
@@ -228,18 +231,51 @@ def retained_months(spark, sf_dir):
     )
 
 
-@query("partition_inventory")
-def partition_inventory(spark, sf_dir):
+def _stored_year(spark, sf_dir):
     path = fresh_path(spark, "events")
     write_events(_stretched(spark, sf_dir), path)
-    return X.partition_inventory(spark, path)
+    return path
+
+
+_BY_MONTH = (
+    f"SELECT strftime(s, '%Y%m') AS partition, count(*) AS rows, min(s) AS min_time, max(s) AS max_time {{more}} "
+    f"FROM (SELECT {_STRETCHED} AS s FROM ev) GROUP BY 1"
+)
+
+
+@query("partition_inventory", over_events(_BY_MONTH.format(more=", true AS files_agree, true AS bytes_agree"), compression=1))
+def partition_inventory(spark, sf_dir):
+    """The inventory, and whether its files and bytes are those that the file system tells."""
+    path = _stored_year(spark, sf_dir)
+    found = X.partition_inventory(spark, path)
+    held = {v: X.on_disk(spark, f"{path}/yyyymm={v}") for v in partition_values(spark, path, "yyyymm")}
+    told = spark.createDataFrame([(v, *n) for v, n in held.items()], "partition string, told_files long, told_bytes long")
+    agree = [(F.col(c) == F.col(f"told_{c}")).alias(f"{c}_agree") for c in ("files", "bytes")]
+    return found.join(told, "partition", "left").select("partition", "rows", "min_time", "max_time", *agree)
 
 
-@query("partition_rows", over_events(f"""
-SELECT strftime(s, '%Y%m') AS partition, count(*) AS rows, min(s) AS min_time, max(s) AS max_time
-FROM (SELECT {_STRETCHED} AS s FROM ev) GROUP BY 1""", compression=1))
+@query("partition_rows", over_events(_BY_MONTH.format(more=""), compression=1))
 def partition_rows(spark, sf_dir):
-    return partition_inventory(spark, sf_dir).select("partition", "rows", "min_time", "max_time")
+    return X.partition_inventory(spark, _stored_year(spark, sf_dir)).select("partition", "rows", "min_time", "max_time")
+
+
+@query("newest_from_manifest", over_events(f"SELECT max({_STRETCHED}) AS newest FROM ev", compression=1))
+def newest_from_manifest(spark, sf_dir):
+    newest = newest_stored(spark, _stored_year(spark, sf_dir))
+    return spark.createDataFrame([(newest,)], "newest timestamp_ntz")
+
+
+@query("moved_events", over_events(f"""
+SELECT s < TIMESTAMP '2024-09-01' AS archived, strftime(s, '%Y%m') AS yyyymm, count(*) AS events, sum(msg_id)::BIGINT AS ids
+FROM (SELECT *, {_STRETCHED} AS s FROM ev) GROUP BY 1, 2""", compression=1))
+def moved_events(spark, sf_dir):
+    """Live table and archive after the months before the 90-day limit have moved."""
+    path, archive = _stored_year(spark, sf_dir), fresh_path(spark, "archive")
+    move_expired(spark, path, archive, "90 days", "2024-12-20 12:00:00")
+    sides = live_rows(spark, path, archive).withColumn("archived", F.lit(False)).unionByName(
+        archived_rows(spark, archive).drop("run").withColumn("archived", F.lit(True)))
+    return sides.groupBy("archived", F.col("yyyymm").cast("string").alias("yyyymm")).agg(
+        A.events().alias("events"), F.sum("msg_id").alias("ids"))
 
 
 GIVEN_TABLES = (
@@ -248,17 +284,34 @@ GIVEN_TABLES = (
 )
 
 
-@query("table_sizes")
-def table_sizes(spark, sf_dir):
-    """Sizes of the given tables as they are stored."""
+def _sizes(spark, sf_dir):
     return X.table_sizes(spark, {n: f"{sf_dir}/{n}.parquet" for n in GIVEN_TABLES})
 
 
-@query("table_rows", " UNION ALL ".join(
-    f"SELECT '{n}' AS \"table\", (SELECT count(*) FROM {n}) AS rows"
-    for n in GIVEN_TABLES))
+_COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS \"table\", (SELECT count(*) FROM {n}) AS rows" for n in GIVEN_TABLES)
+
+
+@query("table_sizes", f"SELECT *, true AS files_agree, true AS bytes_agree FROM ({_COUNTS})")
+def table_sizes(spark, sf_dir):
+    """Sizes of the given tables as they are stored, held against the file system."""
+    held = [(n, *X.on_disk(spark, f"{sf_dir}/{n}.parquet")) for n in GIVEN_TABLES]
+    told = spark.createDataFrame(held, "table string, told_files long, told_bytes long")
+    agree = [(F.col(c) == F.col(f"told_{c}")).alias(f"{c}_agree") for c in ("files", "bytes")]
+    return _sizes(spark, sf_dir).join(told, "table", "left").select("table", "rows", *agree)
+
+
+@query("total_size", f"SELECT sum(rows)::BIGINT AS rows, true AS files_agree, true AS bytes_agree FROM ({_COUNTS})")
+def total_size(spark, sf_dir):
+    """Rows, files and bytes of all given tables together."""
+    held = [X.on_disk(spark, f"{sf_dir}/{n}.parquet") for n in GIVEN_TABLES]
+    files, size = (sum(h[i] for h in held) for i in range(2))
+    return X.total_size(_sizes(spark, sf_dir)).select(
+        "rows", (F.col("files") == files).alias("files_agree"), (F.col("bytes") == size).alias("bytes_agree"))
+
+
+@query("table_rows", _COUNTS)
 def table_rows(spark, sf_dir):
-    return table_sizes(spark, sf_dir).select("table", "rows")
+    return _sizes(spark, sf_dir).select("table", "rows")
 
 
 @query("compacted_events", over_events(f"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import instant, month_of
 from gaugeworks.operators.folders import TARGET_BYTES, stored_bytes, stored_files
+from gaugeworks.operators.manifest import keep_manifest
 from gaugeworks.operators.quality import expired
 from gaugeworks.schema import EVENTS
 from gaugeworks.sinks.segments import read_segments, segment_paths
@@ -17,17 +18,35 @@ from gaugeworks.sinks.segments import read_segments, segment_paths
 LAYOUT = ("device_id", "timestamp")
 
 
+#: Tasks that a layout job is cut into at most.
+MOST_TASKS = 100_000
+
+
+def tasks_for(df: DataFrame, target_bytes: int = TARGET_BYTES) -> int:
+    """Output tasks for a frame, from the bytes that its files have in the optimizer's estimate.
+
+    At least the session's partition count while that many tasks still get a share; the session's count too where the
+    estimate is unknown (a frame that is not read from files).
+    """
+    spark = df.sparkSession
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= MOST_TASKS * target_bytes * 1000:
+        return usual
+    return min(max(usual, -(-size // target_bytes)), MOST_TASKS)
+
+
 def write_events(ev: DataFrame, path: str, files: int | None = None, replace_months: bool = False) -> None:
     """Month partitions, rows ordered by device and time.
 
     Range partitioning on (month, device, time) gives every file a narrow device range, so min/max
     statistics skip most files for a device query; a device with a third of all rows is split by
-    time. ``files`` sets the number of output tasks; without it the session's partition count holds.
+    time. ``files`` sets the number of output tasks; without it that follows from the input's bytes (``tasks_for``).
     With ``replace_months`` the months that occur in ``ev`` are replaced instead of added to.
     """
     laid = ev.withColumn("yyyymm", month_of("timestamp"))
     keys = ["yyyymm", *LAYOUT]
-    spread = laid.repartitionByRange(*keys) if files is None else laid.repartitionByRange(files, *keys)
+    spread = laid.repartitionByRange(files or tasks_for(laid), *keys)
     (
         spread.sortWithinPartitions(*keys)
         .write.mode("overwrite" if replace_months else "append")
@@ -35,6 +54,7 @@ def write_events(ev: DataFrame, path: str, files: int | None = None, replace_mon
         .partitionBy("yyyymm")
         .parquet(path)
     )
+    keep_manifest(ev.sparkSession, path)
 
 
 def settle_months(
@@ -67,7 +87,7 @@ def write_indexed(
     """
     laid = ev.withColumn("yyyymm", month_of("timestamp"))
     writer = (
-        laid.repartitionByRange("yyyymm", *LAYOUT)
+        laid.repartitionByRange(tasks_for(laid), "yyyymm", *LAYOUT)
         .sortWithinPartitions("yyyymm", *LAYOUT)
         .write.mode("overwrite")
         .partitionBy("yyyymm")
@@ -84,14 +104,14 @@ def archive_expired(ev: DataFrame, path: str, keep: str, as_of) -> None:
     """Copy rows past retention to cold storage, by month and archive run.
 
     The run is named after ``as_of``: repeating a run replaces its own files instead of adding rows
-    twice. Remove the rows from the live table afterwards with the retention job.
+    twice. ``sinks.move_expired`` moves whole months out of a stored table instead.
     """
     run = str(as_of).replace(" ", "T").replace(":", "")
+    rows = expired(ev, keep, as_of)
     (
-        expired(ev, keep, as_of)
-        .withColumn("yyyymm", month_of("timestamp"))
+        rows.withColumn("yyyymm", month_of("timestamp"))
         .withColumn("run", F.lit(run))
-        .repartitionByRange("yyyymm", *LAYOUT)
+        .repartitionByRange(tasks_for(rows), "yyyymm", *LAYOUT)
         .sortWithinPartitions("yyyymm", *LAYOUT)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
