@@ -645,29 +645,32 @@ def device_presence(spark, sf_dir):
     return D.device_presence(presence_notices(spark, sf_dir))
 
 
-def _buffer(n: int) -> str:
+def buffer_sql(n: int) -> str:
     return over_events(
         f"SELECT timestamp, device_id, msg_id, status, {doubles('temperature', 'pressure')} FROM ev "
         f"ORDER BY timestamp DESC, msg_id DESC LIMIT {n}"
     )
 
 
-_BUFFERED = ("timestamp", "device_id", "msg_id", "status", "temperature", "pressure")
+BUFFERED = ("timestamp", "device_id", "msg_id", "status", "temperature", "pressure")
 
 
-@query("replay_buffer_10000", _buffer(10_000))
+@query("replay_buffer_10000", buffer_sql(10_000))
 def replay_buffer_10000(spark, sf_dir):
-    return doubled(D.replay_buffer(telemetry(spark, sf_dir), 10_000).select(*_BUFFERED))
+    return doubled(D.replay_buffer(telemetry(spark, sf_dir), 10_000).select(*BUFFERED))
 
 
-@query("replay_buffer_1000", _buffer(1_000))
+@query("replay_buffer_1000", buffer_sql(1_000))
 def replay_buffer_1000(spark, sf_dir):
-    return doubled(D.replay_buffer(telemetry(spark, sf_dir), 1_000).select(*_BUFFERED))
+    return doubled(D.replay_buffer(telemetry(spark, sf_dir), 1_000).select(*BUFFERED))
 
 
-@query("live_stats", over_events(f"""
+LIVE_STATS = over_events(f"""
 SELECT (SELECT count(DISTINCT device_id) FROM ev WHERE {within('5 minutes')}) AS active_devices,
-  least((SELECT count(*) FROM ev), 10000) AS stream_length"""))
+  least((SELECT count(*) FROM ev), 10000) AS stream_length""")
+
+
+@query("live_stats", LIVE_STATS)
 def live_stats(spark, sf_dir):
     return D.live_stats(telemetry(spark, sf_dir))
 

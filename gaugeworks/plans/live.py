@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugeworks.operators.devices import idle_filter, newest_row
 from gaugeworks.operators.folders import partition_values
 from gaugeworks.operators.rollups import settle_rollup
-from gaugeworks.plans.dashboards import ALERTS
+from gaugeworks.plans.dashboards import ALERTS, BUFFERED, LIVE_STATS, buffer_sql
 from gaugeworks.plans.registry import doubled, query, unzoned
 from gaugeworks.plans.sql import avg, doubles, high, latest, low, n_status, over_events
 from gaugeworks.plans.stored import rollup_sql
@@ -16,10 +16,11 @@ from gaugeworks.schema import HEADER, METRICS
 from gaugeworks.session import fresh_path
 from gaugeworks import streaming as St
 from gaugeworks.functions.timing import instant, interval
-from gaugeworks.sinks import latest_state, read_segments, sink_batched, upsert_latest
+from gaugeworks.operators import sketches as K
+from gaugeworks.sinks import latest_state, live_stats_of, read_replay, read_segments, sink_batched, sink_replay, upsert_latest
 from gaugeworks.sources import stream_events
 from gaugeworks.streaming import panes as P
-from gaugeworks.sources.sample_tables import newest_time, telemetry, telemetry_stream
+from gaugeworks.sources.sample_tables import device_metadata, newest_time, telemetry, telemetry_stream
 
 _HEAD = ", ".join(HEADER)
 # A stream closes windows that end at or before the newest time minus the watermark.
@@ -212,3 +213,68 @@ def dual_write_state(spark, sf_dir):
         telemetry_stream(spark, sf_dir), f"{base}/history", f"{base}/live", f"{base}/checkpoint", every=None
     ).awaitTermination()
     return doubled(latest_state(spark, f"{base}/live", "5 minutes", newest_time(spark, sf_dir)))
+
+
+def _ring(spark, sf_dir, capacity: int = 10_000) -> str:
+    """The replay buffer of the whole stream."""
+    base = fresh_path(spark, "replay")
+    sink_replay(telemetry_stream(spark, sf_dir), f"{base}/table", f"{base}/checkpoint", capacity, every=None).awaitTermination()
+    return f"{base}/table"
+
+
+@query("replay_ring_1000", buffer_sql(1_000))
+def replay_ring_1000(spark, sf_dir):
+    return doubled(read_replay(spark, _ring(spark, sf_dir, 1_000), 1_000).select(*BUFFERED))
+
+
+@query("live_stats_from_stores", LIVE_STATS)
+def live_stats_from_stores(spark, sf_dir):
+    """Active devices from the latest state, the buffer's length from its manifest."""
+    base, ring = fresh_path(spark, "state"), _ring(spark, sf_dir)
+    upsert_latest(telemetry_stream(spark, sf_dir), f"{base}/table", f"{base}/checkpoint", every=None).awaitTermination()
+    return live_stats_of(spark, ring, latest_state(spark, f"{base}/table", None), as_of=newest_time(spark, sf_dir))
+
+
+@query("stream_enriched", over_events("""
+SELECT device_id, c_name AS device_name, count(*) AS events
+FROM ev LEFT JOIN (SELECT 'device-' || lpad(CAST(c_custkey AS VARCHAR), greatest(length(CAST(c_custkey AS VARCHAR)), 4)::INTEGER, '0') AS device_id,
+  c_name FROM customer) c USING (device_id) GROUP BY 1, 2"""))
+def stream_enriched(spark, sf_dir):
+    """The stream's rows with the names of a published dictionary, by device."""
+    base = fresh_path(spark, "enriched")
+    St.publish_dictionary(device_metadata(spark, sf_dir), f"{base}/names")
+    St.sink_enriched(telemetry_stream(spark, sf_dir), f"{base}/names", f"{base}/table", f"{base}/checkpoint", every=None).awaitTermination()
+    return spark.read.parquet(f"{base}/table").groupBy("device_id", "device_name").agg(F.count(F.lit(1)).alias("events"))
+
+
+# -- mergeable distinct counts --------------------------------------------------------------------
+
+def _sketched(spark, sf_dir, compression: int = 60):
+    """Minute rows with sketches, by place, stored and read again."""
+    path = fresh_path(spark, "sketches")
+    K.sketch_rollup(telemetry(spark, sf_dir, compression=compression), "minute", ["location"]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("hourly_devices_from_sketches", over_events(
+    "SELECT date_trunc('hour', timestamp) AS bucket, count(*) AS events, count(DISTINCT device_id) AS devices FROM ev GROUP BY 1"))
+def hourly_devices_from_sketches(spark, sf_dir):
+    """Hours from the sketches of minutes and places; counts of this size are exact in a sketch."""
+    return K.counted(K.coarsen_sketches(_sketched(spark, sf_dir), "hour"))
+
+
+@query("daily_coverage_from_sketches", over_events(
+    "SELECT CAST(timestamp AS DATE) AS day, count(*) AS events, count(DISTINCT device_id) AS unique_devices FROM ev GROUP BY 1", compression=1))
+def daily_coverage_from_sketches(spark, sf_dir):
+    return K.daily_coverage_from_sketches(_sketched(spark, sf_dir, 1))
+
+
+@query("active_devices_from_sketches", over_events(
+    "SELECT count(DISTINCT device_id) AS devices FROM ev WHERE date_trunc('minute', timestamp) >= (SELECT t FROM lim) - INTERVAL '5 minutes'"))
+def active_devices_from_sketches(spark, sf_dir):
+    return K.active_devices_from_sketches(_sketched(spark, sf_dir), "5 minutes", newest_time(spark, sf_dir))
+
+
+@query("pane_active_devices_from_sketches", _sliding(15, _DEVICES))
+def pane_active_devices_from_sketches(spark, sf_dir):
+    return K.sliding_devices(_sketched(spark, sf_dir), 15)

@@ -152,12 +152,14 @@ def _clean(spark: SparkSession, base: str, version: int, keep: int) -> None:
 def write_segment(
     batch: DataFrame, base: str, batch_id: int, merge: Callable[[DataFrame], DataFrame], part: str | None = None,
     time_col: str = "timestamp", fan: int = FAN, keep: int = KEEP, gone: dt.datetime | None = None,
+    most_rows: int | None = None,
 ) -> Manifest:
     """Add a batch to the store and merge segments that have come to ``fan`` on a level.
 
     ``merge`` turns the rows of several segments into those of one (the newest of each key, added-up partials, or
     the rows themselves). Segments whose newest time is before ``gone`` are left out of the state without being read.
-    ``part`` names a column that segments are partitioned by.
+    ``part`` names a column that segments are partitioned by. With ``most_rows`` the oldest segments leave as soon as the
+    others hold that many rows.
     """
     spark = batch.sparkSession
     before = manifest_of(spark, base, batch_id)
@@ -165,6 +167,8 @@ def write_segment(
     if gone is not None:
         held = [s for s in held if s.newest is None or s.newest >= gone.isoformat()]
     held.append(_write(batch, base, 0, batch_id, batch_id, part, time_col))
+    while most_rows is not None and len(held) > 1 and sum(s.rows for s in held[1:]) >= most_rows:
+        del held[0]
     while len(held) >= fan and len({s.level for s in held[-fan:]}) == 1:
         group = held[-fan:]
         files = max(1, -(-_bytes(spark, base, group) // TARGET_BYTES))
