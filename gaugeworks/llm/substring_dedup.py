@@ -12,8 +12,10 @@ repeat is missed, while there is one suffix to some twenty words.
    anchors form a second tree, read backwards. A window with k words before its anchor belongs to a node
    of depth WINDOW - k in the first tree and one of depth k in the second; windows with the same two are
    equal, and the smallest doc_id among them is the first.
-3. Prefixes with more suffixes than a group may have are lengthened to the whole window. All suffixes of
-   such a prefix are alike as far as it matters, so the first doc_id is a minimum, combined before the shuffle.
+3. Prefixes with more suffixes than a group may have are doubled, to 16 and 32 words, until their groups fit. A
+   window that ends before its longer prefix does takes words from before the anchor instead. Where even all
+   words of a window do not split a group, its windows are equal, and the first doc_id is a minimum, combined
+   before the shuffle.
 
 Equal texts are one text throughout: copies behind the first are repeats as a whole.
 """
@@ -39,6 +41,7 @@ PREFIX = 8
 GROUP = 16384
 #: Suffixes that a task remembers to combine equal ones; beyond it the memory starts afresh, which changes no result.
 MET = 200_000
+SEGMENT = ["key", "t1", "t2", "first", "starts", "windows", "before", "words"]
 #: Runs of repeated windows: each goes from low to high behind each of the starts.
 RUNS = "t1 long, t2 long, starts array<int>, low int, high int"
 
@@ -133,7 +136,7 @@ def _segments(held: DataFrame, window: int) -> DataFrame:
                     rows.append((key, t1, t2, first, starts, windows, before, None if smallest is not None and smallest < first else part))
             if len(met) > MET:
                 met.clear()
-            yield pd.DataFrame(rows, columns=["key", "t1", "t2", "first", "starts", "windows", "before", "words"])
+            yield pd.DataFrame(rows, columns=SEGMENT)
 
     schema = "key long, t1 long, t2 long, first long, starts array<int>, windows int, before int, words binary"
     return held.select("t1", "t2", "first", "text", "wanted").mapInPandas(cut, schema)
@@ -208,7 +211,69 @@ def _in_subtrees(segments: DataFrame, window: int) -> DataFrame:
     return dealt.mapInPandas(find, RUNS)
 
 
+def lengthened(words: list[bytes], before: int, windows: int, length: int, window: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first window, how many, context) of the parts of a segment whose windows share a longer context of ``length`` words.
+
+    The context begins at the anchor and runs to the right. A window that ends before has as many words to the left of
+    the anchor instead; equal windows have their anchor at the same place, hence the same context.
+    """
+    reach = window - length
+    whole = max(before - reach, 0)  # windows from this one on hold the context to the right of the anchor
+    if whole < windows:
+        yield whole, windows - whole, b" ".join(words[before : before + length])
+    for w in range(min(whole, windows)):
+        context = words[w + window - length : w + window]
+        yield w, 1, b"%d " % (before - w) + b" ".join(context)
+
+
+def _longer(segments: DataFrame, length: int, window: int) -> DataFrame:
+    """The segments cut into parts by contexts of ``length`` words, which are their new keys."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, t1, t2, first, starts, windows, before, text in zip(*[batch[c] for c in SEGMENT]):
+                words = text.split()
+                for w, count, context in lengthened(words, before, windows, length, window):
+                    name = hashlib.blake2b(b"%d %d " % (key, length) + context, digest_size=8).digest()
+                    part = b" ".join(words[w : w + count + window - 1])
+                    rows.append((int.from_bytes(name, "big", signed=True), t1, t2, first, np.asarray(starts) + w, count, before - w, part))
+            yield pd.DataFrame(rows, columns=SEGMENT)
+
+    schema = "key long, t1 long, t2 long, first long, starts array<int>, windows int, before int, words binary"
+    return segments.select(*SEGMENT).mapInPandas(cut, schema)
+
+
+def _crowded(segments: DataFrame, group: int) -> DataFrame:
+    return saved(segments.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select("key"), "crowded")
+
+
+def _in_trees(segments: DataFrame, window: int, prefix: int, group: int) -> DataFrame:
+    """Repeated windows of all segments, in subtrees of at most ``group`` suffixes.
+
+    A prefix that more suffixes have is doubled, again and again, and its suffixes go to the longer ones. A context of
+    a whole window is the last: its suffixes are equal, and the smallest document among them settles them.
+    """
+    runs, length = None, prefix
+    while True:
+        crowded = _crowded(segments, group)
+        if crowded.isEmpty():
+            fitting, rest = segments, None
+        else:
+            fitting, rest = segments.join(crowded, "key", "left_anti"), segments.join(crowded, "key", "left_semi")
+        found = _in_subtrees(fitting, window)
+        runs = found if runs is None else runs.unionByName(found)
+        if rest is None:
+            return runs
+        length = min(2 * length, window)
+        if length == window:
+            return runs.unionByName(_by_whole_window(rest, window))
+        segments = saved(_longer(rest, length, window), "longer")
+
+
 def _by_whole_window(segments: DataFrame, window: int) -> DataFrame:
+    """Windows that also start in a smaller document, of segments whose every context but the whole window is crowded."""
+
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
@@ -289,12 +354,7 @@ def remove_repeats(
     segments = saved(_segments(held, window), "segments")
     settled = segments.filter("words IS NULL").select("t1", "t2", "starts", F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"))
     open_ones = segments.filter("words IS NOT NULL")
-    crowded = saved(open_ones.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select("key"), "crowded")
-    if crowded.isEmpty():
-        runs = _in_subtrees(open_ones, window)
-    else:
-        runs = _in_subtrees(open_ones.join(crowded, "key", "left_anti"), window)
-        runs = runs.unionByName(_by_whole_window(open_ones.join(crowded, "key", "left_semi"), window))
+    runs = _in_trees(open_ones, window, prefix, group)
     spans = (
         runs.unionByName(settled).groupBy("t1", "t2").agg(F.collect_list(F.struct("starts", "low", "high")).alias("spans"))
     )

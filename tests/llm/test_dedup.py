@@ -60,7 +60,7 @@ def removed(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("group", [16384, 1])
+@pytest.mark.parametrize("group", [16384, 1, 2, 6])
 def test_substrings_against_brute_force(spark, group):
     rows = list(enumerate(texts_with_cases()))
     got = substring_dedup.remove_repeats(frame(spark, rows), group=group, with_text=True).collect()
@@ -138,3 +138,16 @@ def test_line_rules(spark):
     assert got[3]["n_failed_lines"] == 1 and got[5]["n_repeat_words"] == 48
     kept = {r["doc_id"]: r["text"] for r in quality_rules.clean(frame(spark, rows)).collect()}
     assert kept[3] == clean == kept[2]
+
+
+def test_contexts_of_equal_windows_are_equal_and_longer():
+    from gaugeworks.llm.substring_dedup import lengthened
+
+    words = [b"%d" % i for i in range(90)]
+    for length in (16, 32):
+        for before, windows in ((0, 1), (10, 11), (42, 41), (30, 5), (41, 40)):
+            parts = list(lengthened(words[: windows + 49], before, windows, length, 50))
+            assert sorted(w for first, count, _ in parts for w in range(first, first + count)) == list(range(windows))
+            moved = list(lengthened([b"x", *words[: windows + 49]], before + 1, windows + 1, length, 50))
+            contexts = lambda found, shift: {w - shift: c for first, count, c in found for w in range(first, first + count)}
+            assert contexts(parts, 0).items() <= contexts(moved, 1).items()
