@@ -39,6 +39,8 @@ WINDOW = 50
 PREFIX = 8
 #: Suffixes of a prefix that one task may gather.
 GROUP = 16384
+#: Parts of segments that a task hands on at once, and suffixes that it puts into trees at once if groups are smaller.
+PARTS = 4_000
 #: Suffixes that a task remembers to combine equal ones; beyond it the memory starts afresh, which changes no result.
 MET = 200_000
 SEGMENT = ["key", "t1", "t2", "first", "starts", "windows", "before", "words"]
@@ -204,7 +206,7 @@ def repeats_in_groups(frame: pd.DataFrame, window: int) -> pd.DataFrame:
 
 def _in_subtrees(segments: DataFrame, window: int) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(batches, ["key"]):
+        for frame in whole_groups(batches, ["key"], PARTS):
             yield repeats_in_groups(frame, window)
 
     dealt = segments.repartition(shuffle_parts(segments.sparkSession), "key").sortWithinPartitions("key")
@@ -227,23 +229,44 @@ def lengthened(words: list[bytes], before: int, windows: int, length: int, windo
 
 
 def _longer(segments: DataFrame, length: int, window: int) -> DataFrame:
-    """The segments cut into parts by contexts of ``length`` words, which are their new keys."""
+    """The segments cut into parts by contexts of ``length`` words, which are their new keys.
+
+    As in ``_segments``, a part whose words the task has met in a smaller document is settled, and has no words.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: dict[bytes, int] = {}
+        rows: list[tuple] = []
         for batch in batches:
-            rows = []
             for key, t1, t2, first, starts, windows, before, text in zip(*[batch[c] for c in SEGMENT]):
                 words = text.split()
                 for w, count, context in lengthened(words, before, windows, length, window):
-                    name = hashlib.blake2b(b"%d %d " % (key, length) + context, digest_size=8).digest()
                     part = b" ".join(words[w : w + count + window - 1])
-                    rows.append((int.from_bytes(name, "big", signed=True), t1, t2, first, np.asarray(starts) + w, count, before - w, part))
+                    name = hashlib.blake2b(b"%d %d " % (key, before - w) + part, digest_size=16).digest()
+                    smallest = met.get(name)
+                    if smallest is None or first < smallest:
+                        met[name] = first
+                    settled = smallest is not None and smallest < first
+                    longer = hashlib.blake2b(b"%d %d " % (key, length) + context, digest_size=8).digest()
+                    code = int.from_bytes(longer, "big", signed=True)
+                    rows.append((code, t1, t2, first, np.asarray(starts) + w, count, before - w, None if settled else part))
+                if len(rows) >= PARTS:
+                    yield pd.DataFrame(rows, columns=SEGMENT)
+                    rows = []
+                if len(met) > MET:
+                    met.clear()
+        if rows:
             yield pd.DataFrame(rows, columns=SEGMENT)
 
     schema = "key long, t1 long, t2 long, first long, starts array<int>, windows int, before int, words binary"
     return segments.select(*SEGMENT).mapInPandas(cut, schema)
 
 
+def _settled(parts: DataFrame) -> DataFrame:
+    """Repeated windows of the parts that met a smaller document on the way."""
+    return parts.filter("words IS NULL").select("t1", "t2", "starts", F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"))
+
+
 def _crowded(segments: DataFrame, group: int) -> DataFrame:
     return saved(segments.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select("key"), "crowded")
 
@@ -268,7 +291,9 @@ def _in_trees(segments: DataFrame, window: int, prefix: int, group: int) -> Data
         length = min(2 * length, window)
         if length == window:
             return runs.unionByName(_by_whole_window(rest, window))
-        segments = saved(_longer(rest, length, window), "longer")
+        parts = saved(_longer(rest, length, window), "longer")
+        runs = runs.unionByName(_settled(parts))
+        segments = parts.filter("words IS NOT NULL")
 
 
 def _by_whole_window(segments: DataFrame, window: int) -> DataFrame:
@@ -352,7 +377,7 @@ def remove_repeats(
     texts = keyed.withColumnRenamed("doc_id", "first").groupBy("t1", "t2", "first").agg(F.any_value("text").alias("text"))
     held = saved(texts.join(wanted, ["t1", "t2", "first"]), "texts")
     segments = saved(_segments(held, window), "segments")
-    settled = segments.filter("words IS NULL").select("t1", "t2", "starts", F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"))
+    settled = _settled(segments)
     open_ones = segments.filter("words IS NOT NULL")
     runs = _in_trees(open_ones, window, prefix, group)
     spans = (
