@@ -9,8 +9,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np  # noqa: E402
 
-#: Words kept per worker; beyond it the memory starts afresh, so it bounds space and not results.
-KEPT_WORDS = 250_000
+#: Words that a worker meets before those not met since the last such turn are forgotten; bounds space, not results.
+KEPT_WORDS = 300_000
 #: Characters for which the rules below are those of the tokenizer: ASCII text and the letters of Latin-1.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 #: Fixed value: the split pattern stated in the tokenizer's file, for those characters in lower case.
@@ -48,9 +48,13 @@ class TextEncoder:
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
+        if found is None and (found := self.older_pieces.get(piece)) is not None:
+            self.pieces[piece] = found
         if found is None:
             spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             found = np.array([t.id for t in self.model.tokenize(spelled)], self.dtype).tobytes()
@@ -58,7 +62,9 @@ class TextEncoder:
         return found
 
     def _word(self, word: str) -> bytes:
-        found = b"".join([self._piece(p) for p in _PIECES.findall(word)])
+        found = self.older_words.get(word)
+        if found is None:
+            found = b"".join([self._piece(p) for p in _PIECES.findall(word)])
         self.words[word] = found
         return found
 
@@ -69,9 +75,9 @@ class TextEncoder:
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if len(self.words) > KEPT_WORDS:
-            self.words.clear()
+            self.older_words, self.words = self.words, {}
         if len(self.pieces) > KEPT_WORDS:
-            self.pieces.clear()
+            self.older_pieces, self.pieces = self.pieces, {}
         words, new = self.words, self._word
         return b"".join([words[w] if w in words else new(w) for w in text.lower().split()])
 
