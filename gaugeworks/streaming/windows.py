@@ -1,7 +1,7 @@
 """Windowed and keyed aggregates over the event stream.
 
-All of them work in event time. ``watermark`` says how late a row may come; later rows are dropped
-(``flow.count_late`` counts them), and state older than it is released.
+All of them work in event time. ``watermark`` says how late a row may come. ``flow.count_late`` counts the rows that
+are later; an aggregate drops such a row only where its whole window has closed. State older than it is released.
 """
 
 from __future__ import annotations
