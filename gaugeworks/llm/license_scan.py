@@ -1,17 +1,19 @@
 """Licence notices in texts, found through a positional index of the rarest words of licence templates.
 
-The index is made of the templates and of the document frequencies of their words over all texts. Each
-text looks up its licence words of the highest inverse document frequency, and goes on to the rarest words
-of each phrase that it has all words of; their places minus the places in the templates give offsets, and
-where two words agree on a template and an offset the notice may stand there. A template's mandatory phrase
-must then stand at that offset word by word. Two words of a phrase that stands always agree, so every one is
-found. Since no template is found without its phrase, texts without any phrase skip the look-up. SQL
-functions only, no shuffle of texts.
+The templates are paragraphs of public licences and the notices by which files name them. The document
+frequencies of their words over all texts give weights, and the rarest words of each template, with their
+places in it, make the index. A text looks up its own licence words: places of rare words minus their places
+in a template are offsets, and where enough words agree on a template and an offset the notice may stand
+there. It does if the template's key phrases stand word by word and the words in place hold SHARE of the
+template's weight. A template's index words outweigh what may be missing even without the heaviest of them,
+so every place that meets the share is found. SQL functions only, no shuffle of texts.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import re
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -23,118 +25,158 @@ from gaugeworks.llm.common import let
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Opening words of common notices: label, words, mandatory phrase.
+# Paragraphs of public licences and the notices that name them, as their publishers word them.
+#: Label, text, key phrases that must stand word by word.
 TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    ("cc", "this work is licensed under a creative commons attribution license", "creative commons"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit-terms", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("GNU Affero General Public License",)),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", ("Apache License",)),
+    ("apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ("apache org licenses",)),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("source and binary forms",)),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ("this list of conditions",)),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ("endorse or promote products",)),
+    ("cc", "This work is licensed under a Creative Commons Attribution License", ("Creative Commons",)),
+    ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("Creative Commons",)),
+    ("cc", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", ("Creative Commons",)),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ("Eclipse Public License",)),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("GNU General Public License", "version 2 of the License")),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", ("GNU General Public License", "version 3")),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("GNU General Public License", "version 3 of the License")),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ("with or without fee is hereby granted",)),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ("GNU Lesser General Public License",)),
+    ("mit", "Released under the MIT License", ("under the MIT License",)),
+    ("mit", "Licensed under the MIT License", ("under the MIT License",)),
+    ("mit-terms", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", ("Permission is hereby granted",)),
+    ("mit-terms", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so", ("sell copies of the Software",)),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", ("Mozilla Public License",)),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", ("Mozilla Public License",)),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered software",)),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", ("In no event will the authors be held liable",)),
+    ("zlib", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", ("must not be misrepresented",)),
 )
-#: Rarest licence words that a text looks up first.
-LOOK_UPS = 6
-#: Words that must agree on template and offset.
+#: Share of a template's weight that must stand in place.
+SHARE = 0.8
+#: Index words that must agree on template and offset.
 AGREE = 2
 #: Score of a text that has only a contract phrase.
 PHRASE_SCORE = 0.5
 
+INDEX = "struct<vocabulary:array<string>,templates:array<struct<label:string,words:array<struct<w:string,v:double>>,keys:array<int>,total:double>>,postings:map<string,array<struct<t:int,p:int>>>>"
 
-def _lowered(text: Column) -> Column:
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
-
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(_lowered(text), F.lit(f"({WORD})"), F.lit(1))
+def words_of(text: str) -> list[str]:
+    return re.findall(WORD, text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
 
 
-def _array(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def vocabulary() -> list[str]:
+    """All words of the templates and of the contract's phrases."""
+    return sorted({w for _, text, _ in TEMPLATES for w in words_of(text)} | {w for p in BASE_PHRASES for w in p.split()})
 
 
-def _vocabulary() -> list[str]:
-    return sorted({w for _, words, _ in TEMPLATES for w in words.split()})
+def _words(text: Column) -> Column:
+    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.regexp_extract_all(lowered, F.lit(f"({WORD})"), F.lit(1))
 
 
 def word_weights(docs: DataFrame, text: str = "text") -> dict[str, float]:
-    """Inverse document frequency, over all texts, of each licence word that occurs (one number a word)."""
+    """Inverse document frequency of each licence word over all texts (one number a word); a word of no text weighs most."""
+    known = F.lit(" ".join(vocabulary()))
     own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = own.select(F.explode(F.array_append(F.array_intersect(_words(F.col("text")), _array(_vocabulary())), F.lit(""))).alias("word"))
+    found = own.select(F.explode(F.array_append(F.array_intersect(_words(F.col("text")), F.split(known, " ")), F.lit(""))).alias("word"))
     counts = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = counts.pop("", 0)  # the empty word stands once in every text
-    return {word: math.log((1 + total) / n) for word, n in counts.items()}
-
+    return {word: math.log((2 + total) / (1 + counts.get(word, 0))) for word in vocabulary()}
+
+
+def index_of(weights: dict[str, float]) -> dict:
+    """Templates with their words' weights and the places of their key phrases, and postings of their rarest words."""
+    templates, postings = [], {}
+    for number, (label, text, phrases) in enumerate(TEMPLATES):
+        words = words_of(text)
+        keys = set()
+        for phrase in map(words_of, phrases):
+            at = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
+            keys.update(range(at, at + len(phrase)))
+        worth = [weights[w] for w in words]
+        total = math.fsum(worth)
+        spare = (1 - SHARE) * total * (1 + 1e-9)
+        taken = []
+        for place in sorted(range(len(words)), key=lambda k: (-worth[k], words[k], k)):
+            if math.fsum(worth[k] for k in taken[1:]) > spare:  # the heaviest of them may be the only one in place
+                break
+            taken.append(place)
+        for place in sorted(taken):
+            postings.setdefault(words[place], []).append({"t": number, "p": place})
+        listed = [{"w": w, "v": v} for w, v in zip(words, worth)]
+        templates.append({"label": label, "words": listed, "keys": sorted(keys), "total": total})
+    return {"vocabulary": vocabulary(), "templates": templates, "postings": postings}
+
+
+def _base_places(words: Column, known: Column) -> Column:
+    """Places of the contract's phrases; looked for only where all words of one are among the text's words."""
+
+    def stands(i: Column, phrase: list[str]) -> Column:
+        hit = F.lit(True)
+        for k, w in enumerate(phrase):
+            hit = hit & F.coalesce(F.get(words, i + k) == w, F.lit(False))
+        return hit
 
-def _same_words(words: Column, at: Column, phrase) -> Column:
-    hit = F.lit(True)
-    for k, w in enumerate(phrase):
-        hit = hit & F.coalesce(F.get(words, at + k) == w, F.lit(False))
-    return hit
-
-
-def _base_places(words: Column) -> Column:
     def label(x: Column, i: Column) -> Column:
         found = F.lit(None).cast("string")
         for phrase, name in BASE_PHRASES.items():
-            first, *rest = phrase.split()
-            found = F.when((x == first) & _same_words(words, i + 1, rest), name).otherwise(found)
+            found = F.when((x == phrase.split()[0]) & stands(i, phrase.split()), name).otherwise(found)
         return F.struct(i.cast("long").alias("i"), found.alias("label"))
 
-    return F.filter(F.transform(words, label), lambda p: p["label"].isNotNull())
+    possible = F.lit(False)
+    for phrase in BASE_PHRASES:
+        possible = possible | (F.size(F.array_intersect(known, F.split(F.lit(phrase), " "))) == len(phrase.split()))
+    places = F.filter(F.transform(words, label), lambda p: p["label"].isNotNull())
+    return F.when(possible, places).otherwise(F.array().cast("array<struct<i:bigint,label:string>>"))
 
 
-def _notices(words: Column, weights: Column) -> Column:
+def _notices(words: Column, known: Column, index: Column) -> Column:
     """Verified notices in a text: label, and the share of the template's weight that stands in place."""
-    postings: dict[str, list[Column]] = {}
-    for number, (_, template, _) in enumerate(TEMPLATES):
-        for place, word in enumerate(template.split()):
-            postings.setdefault(word, []).append(F.struct(F.lit(number).alias("t"), F.lit(place).alias("p")))
-    index = F.create_map(*[x for word, places in postings.items() for x in (F.lit(word), F.array(*places))])
-    vocabulary = _array(_vocabulary())
-
-    def places_of(rare: Column) -> Column:
-        hits = F.filter(F.transform(words, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda h: F.array_contains(rare, h["w"]))
-        votes = F.flatten(
-            F.transform(hits, lambda h: F.transform(index[h["w"]], lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["p"]).alias("o"))))
-        )
+    templates, postings = index["templates"], index["postings"]
+
+    def weight(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
 
-        def agreed(order: Column) -> Column:
-            def equal(i: Column, x: Column) -> Column:
-                return F.coalesce(F.get(order, i) == x, F.lit(False))
+    def reachable(t: Column) -> Column:
+        """Whether the text's words, in any order, could hold the share."""
+        return weight(F.transform(t["words"], lambda x: F.when(F.array_contains(known, x["w"]), x["v"]))) >= SHARE * t["total"] * (1 - 1e-9)
 
-            return F.filter(order, lambda x, i: equal(i - (AGREE - 1), x) & ~equal(i - AGREE, x))
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(len(TEMPLATES) - 1)), lambda n: reachable(F.get(templates, n)))
 
-        return let(F.sort_array(votes), agreed)
+    def candidates(open_: Column) -> Column:
+        def posted(w: Column) -> Column:
+            return F.filter(postings[w], lambda q: F.array_contains(open_, q["t"]))
 
-    def rarest() -> Column:
-        known = F.array_intersect(words, vocabulary)
-        ranked = F.sort_array(F.transform(known, lambda w: F.struct((-weights[w]).alias("k"), w.alias("w"))))
-        return let(F.transform(ranked, lambda x: x["w"]), chosen)
+        rare = F.filter(F.map_keys(postings), lambda w: F.array_contains(known, w) & (F.size(posted(w)) > 0))
 
-    def chosen(ranked: Column) -> Column:
-        out = F.slice(ranked, 1, LOOK_UPS)
-        for _, _, phrase in TEMPLATES:
-            key = phrase.split()
-            own = F.array_intersect(ranked, _array(key))  # in order of rarity
-            out = F.array_union(out, F.slice(own, 1, F.when(F.size(own) == len(set(key)), AGREE).otherwise(0)))
-        return out
+        def agreed(rare_words: Column) -> Column:
+            places = F.filter(F.transform(words, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda h: F.array_contains(rare_words, h["w"]))
+            votes = F.flatten(F.transform(places, lambda h: F.transform(posted(h["w"]), lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["p"]).alias("o")))))
 
-    def notice(place: Column) -> Column:
-        found = F.lit(None).cast("struct<label:string,share:double>")
-        for number, (label, template, phrase) in enumerate(TEMPLATES):
-            own, key = template.split(), phrase.split()
-            at = next(k for k in range(len(own)) if own[k : k + len(key)] == key)
-            weight = [F.coalesce(weights[w], F.lit(0.0)) for w in own]
-            there = [F.coalesce(F.get(words, place["o"] + k) == w, F.lit(False)) for k, w in enumerate(own)]
-            total = sum(weight[1:], weight[0])
-            held = sum((F.when(t, w).otherwise(0.0) for t, w in zip(there[1:], weight[1:])), F.when(there[0], weight[0]).otherwise(0.0))
-            share = F.when(total > 0, F.least(held / total, F.lit(1.0))).otherwise(1.0)
-            here = (place["t"] == number) & _same_words(words, place["o"] + at, key)
-            found = F.when(here, F.struct(F.lit(label).alias("label"), share.alias("share"))).otherwise(found)
-        return found
+            def together(order: Column) -> Column:
+                def equal(i: Column, x: Column) -> Column:
+                    return F.coalesce(F.get(order, i) == x, F.lit(False))
 
-    return F.filter(F.transform(let(rarest(), places_of), notice), lambda n: n.isNotNull())
+                return F.filter(order, lambda x, i: equal(i - (AGREE - 1), x) & ~equal(i - AGREE, x))
+
+            return let(F.sort_array(votes), together)
+
+        return let(rare, agreed)
+
+    def verified(place: Column) -> Column:
+        def judged(t: Column) -> Column:
+            held = weight(F.transform(t["words"], lambda x, k: F.when(F.get(words, place["o"] + k) == x["w"], x["v"])))
+            stand = F.forall(t["keys"], lambda k: F.coalesce(F.get(words, place["o"] + k) == F.get(t["words"], k)["w"], F.lit(False)))
+            share = F.when(t["total"] > 0, F.least(held / t["total"], F.lit(1.0))).otherwise(1.0)
+            return F.when(stand, F.struct(t["label"].alias("label"), share.alias("share")))
+
+        return let(F.get(templates, place["t"]), judged)
+
+    places = let(numbers, lambda n: F.when(F.size(n) > 0, candidates(n)).otherwise(F.array().cast("array<struct<t:int,o:int>>")))
+    return F.filter(F.transform(places, verified), lambda n: n.isNotNull() & (n["share"] >= SHARE))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -142,32 +184,27 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Base places are those of the contract's phrases; ``labels`` has theirs and those of verified notices,
     distinct, sorted, comma-joined (empty text if none). ``score`` is the best notice's share of weight in
-    place, at least 0.5 with a base phrase, else 0. Null and empty texts have no words and score 0. Rows
-    are judged one by one, so repeated rows, null ids and other columns change nothing.
+    place, at least 0.5 with a base phrase, else 0. A licence that is only mentioned gives no label: SHARE of
+    a notice must stand, at one offset. Null and empty texts have no words and score 0. Rows are judged one by
+    one, so repeated rows, null ids and other columns change nothing.
     """
-    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    phrases = sorted({*BASE_PHRASES, *(phrase for _, _, phrase in TEMPLATES)})
-    any_phrase = "(?i)" + "|".join(gap.join(p.split()) for p in phrases)
-    weights = word_weights(docs, text)
-    table = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair]).cast("map<string,double>")
-    raw = F.coalesce(F.col(text), F.lit(""))
-    nothing = F.struct(
-        F.array().cast("array<struct<i:bigint,label:string>>").alias("base"),
-        F.array().cast("array<struct<label:string,share:double>>").alias("notices"),
-    )
-    found = F.when(
-        raw.rlike(any_phrase),
-        let(_words(raw), lambda w: F.struct(_base_places(w).alias("base"), _notices(w, table).alias("notices"))),
-    ).otherwise(nothing)
-
-    def result(f: Column) -> Column:
+    index = F.from_json(F.lit(json.dumps(index_of(word_weights(docs, text)))), INDEX)
+
+    def found(words: Column) -> Column:
+        known = F.array_intersect(words, index["vocabulary"])
+        return let(known, lambda k: result(words, _base_places(words, k), _notices(words, k, index)))
+
+    def result(words: Column, base_places: Column, notices: Column) -> Column:
+        return let(F.struct(F.size(words).alias("n"), base_places.alias("base"), notices.alias("notices")), fields)
+
+    def fields(f: Column) -> Column:
         base, notices = f["base"], f["notices"]
         base_labels = F.transform(base, lambda p: p["label"])
         labels = F.array_union(base_labels, F.transform(notices, lambda n: n["label"]))
         at_least = F.when(F.size(base) > 0, PHRASE_SCORE).otherwise(0.0)
         best = F.coalesce(F.array_max(F.transform(notices, lambda n: n["share"])), F.lit(0.0))
         return F.struct(
-            F.regexp_count(raw, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"),
+            f["n"].cast("long").alias("n_words"),
             F.size(base).cast("long").alias("n_base"),
             F.get(base, F.lit(0))["i"].alias("first_word"),
             F.get(base, F.size(base) - 1)["i"].alias("last_word"),
@@ -177,7 +214,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             notices.alias("notices"),
         )
 
-    return docs.withColumn("licence", let(found, result))
+    return docs.withColumn("licence", let(_words(F.coalesce(F.col(text), F.lit(""))), found))
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
