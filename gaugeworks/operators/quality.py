@@ -10,7 +10,10 @@ from gaugeworks.functions.timing import interval, newest_part
 from gaugeworks.operators.filters import band_of, before, not_before, trailing
 from gaugeworks.schema import FRESHNESS_BANDS
 
+# Fixed value: the ranges outside which a quantity counts as faulty.
 RANGES = {"temperature": (-50.0, 100.0), "pressure": (950.0, 1050.0)}
+# How the keys of triggered runs begin.
+STALE_RUN, VOLUME_RUN = "freshness_alert_", "high_volume_"
 
 
 def _outside(metric: str, ranges) -> Column:
@@ -76,7 +79,7 @@ def freshness_trigger(ev: DataFrame, as_of=None, limit: str = "5 minutes") -> Da
     return latest.select(
         fire.alias("fire"),
         F.floor(age_us / 1_000_000).cast("long").alias("age_seconds"),
-        F.when(fire, _run_key("freshness_alert_", F.col("now"))).alias("run_key"),
+        F.when(fire, _run_key(STALE_RUN, F.col("now"))).alias("run_key"),
         F.when(F.col("latest").isNull(), "no data").when(fire, "stale").otherwise("fresh").alias("reason"),
     )
 
@@ -86,7 +89,7 @@ def volume_trigger(ev: DataFrame, as_of=None, limit: int = 1000, span: str = "1
     now = newest(ev, as_of)
     counted = trailing(ev, span, as_of).agg(F.count(F.lit(1)).alias("events"))
     fire = F.col("events") > limit
-    return counted.select("events", fire.alias("fire"), F.when(fire, _run_key("high_volume_", now)).alias("run_key"))
+    return counted.select("events", fire.alias("fire"), F.when(fire, _run_key(VOLUME_RUN, now)).alias("run_key"))
 
 
 def apply_retention(ev: DataFrame, keep: str = "90 days", as_of=None, time_col: str = "timestamp") -> DataFrame:

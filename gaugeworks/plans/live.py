@@ -11,13 +11,13 @@ from gaugeworks.plans.dashboards import ALERTS, BUFFERED, LIVE_STATS, buffer_sql
 from gaugeworks.plans.registry import doubled, query, unzoned
 from gaugeworks.plans.sql import avg, doubles, high, latest, low, n_status, over_events
 from gaugeworks.plans.stored import rollup_sql
-from gaugeworks.plans.tables import as_stored
+from gaugeworks.plans.tables import _FLOATS, as_stored
 from gaugeworks.schema import HEADER, METRICS
 from gaugeworks.session import fresh_path
 from gaugeworks import streaming as St
 from gaugeworks.functions.timing import instant, interval
 from gaugeworks.operators import sketches as K
-from gaugeworks.sinks import latest_state, live_stats_of, read_replay, read_segments, sink_batched, sink_replay, upsert_latest
+from gaugeworks.sinks import latest_state, live_stats_of, read_replay, read_segments, sink_batched, sink_replay, upsert_latest, write_events
 from gaugeworks.sources import stream_events
 from gaugeworks.streaming import panes as P
 from gaugeworks.sources.sample_tables import device_metadata, newest_time, telemetry, telemetry_stream
@@ -42,6 +42,15 @@ def stream_source(spark, sf_dir):
     return doubled(unzoned(St.run_once(spark, telemetry_stream(spark, sf_dir))))
 
 
+@query("stream_source_stored", over_events(f"SELECT {_HEAD}, {_FLOATS} FROM ev"))
+def stream_source_stored(spark, sf_dir):
+    """The stored table as a stream, two of its files in a batch."""
+    path = fresh_path(spark, "events")
+    write_events(as_stored(telemetry(spark, sf_dir)), path, files=4)
+    feed = stream_events(spark, path, max_files=2, glob="*.parquet")
+    return unzoned(St.run_once(spark, feed.select(*HEADER, *METRICS)))
+
+
 @query("stream_rollup", over_events(rollup_sql("minute")))
 def stream_rollup(spark, sf_dir):
     keys = ["bucket", "device_id", "device_type", "location"]

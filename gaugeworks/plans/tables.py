@@ -20,7 +20,7 @@ from gaugeworks.sinks import archive_expired, move_expired, publish_snapshot, wr
 from gaugeworks.sinks.moves import archived_rows, live_rows
 from gaugeworks.sources import (
     flatten_readings, narrow, normalise_alt_messages, parse_alt_messages, parse_messages, read_events, read_month_range,
-    read_snapshot, rejected_messages, snapshot_or, to_messages, zero_filled,
+    read_ranking, read_snapshot, rejected_messages, snapshot_or, to_messages, zero_filled,
 )
 from gaugeworks.sources import sample_tables as S
 from gaugeworks.sources.sample_tables import newest_time, telemetry
@@ -172,6 +172,19 @@ def snapshot_expired_falls_back(spark, sf_dir):
     return snapshot_or(spark, store, "device_stats", live.schema, as_of, lambda: live)
 
 
+@query("snapshot_ranking", over_events(f"""
+SELECT row_number() OVER (ORDER BY events DESC, device_id) AS rank, device_id, events
+FROM (SELECT device_id, count(*) AS events FROM ev WHERE {within('1 hour')} GROUP BY 1)
+QUALIFY rank <= 20"""))
+def snapshot_ranking(spark, sf_dir):
+    """A cached ranking is served in the order in which it was published."""
+    store = fresh_path(spark, "snapshots")
+    ev, as_of = recent(spark, sf_dir, "1 hour")
+    ranked = A.busiest_devices(ev, "1 hour", 20, as_of)
+    publish_snapshot(ranked, store, "busiest_devices", 120, as_of)
+    return read_ranking(spark, store, "busiest_devices", ranked.schema, as_of, 20)
+
+
 @query("snapshot_store", over_events(
     " UNION ALL ".join(
         f"SELECT '{key}' AS key, (SELECT count(*) FROM ({body})) AS documents, t AS written_at, "

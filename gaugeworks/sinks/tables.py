@@ -127,9 +127,13 @@ def publish_snapshot(df: DataFrame, store: str, key: str, ttl_seconds: int, as_o
     Each result row is one JSON document. The set is written by the tasks that computed it and never
     gathered into a single array, so it may grow with the fleet. An empty set replaces too, which is
     why the key's own folder is overwritten; a header without payload tells it from a missing one.
+    ``place`` grows along the rows as ``df`` has them, so a ranking keeps its order without a number of its own.
     """
     at = instant(as_of)
     times = [at.alias("written_at"), F.timestamp_add("SECOND", F.lit(ttl_seconds), at).alias("expires_at")]
-    documents = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("payload"), *times)
-    header = df.sparkSession.range(1).select(F.lit(None).cast("string").alias("payload"), *times)
+    document = F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("payload")
+    documents = df.select(document, F.monotonically_increasing_id().alias("place"), *times)
+    header = df.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("payload"), F.lit(None).cast("long").alias("place"), *times
+    )
     documents.unionByName(header).write.mode("overwrite").parquet(f"{store}/key={quote(key, safe='')}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
@@ -14,6 +14,7 @@ from gaugeworks.functions import instant
 SNAPSHOT = T.StructType(
     [
         T.StructField("payload", T.StringType()),
+        T.StructField("place", T.LongType()),
         T.StructField("written_at", T.TimestampNTZType()),
         T.StructField("expires_at", T.TimestampNTZType()),
         T.StructField("key", T.StringType()),
@@ -21,9 +22,25 @@ SNAPSHOT = T.StructType(
 )
 
 
-def read_snapshot(spark: SparkSession, store: str, key: str, schema: T.StructType, as_of) -> DataFrame:
-    """Rows of the result set under ``key``, typed again; none once it has expired."""
-    return _documents(_alive(spark, store, key, as_of), schema)
+def read_snapshot(
+    spark: SparkSession, store: str, key: str, schema: T.StructType, as_of, ordered: bool = False
+) -> DataFrame:
+    """Rows of the result set under ``key``, typed again; none once it has expired.
+
+    ``ordered`` returns them in the order in which they were published; without it nothing is sorted.
+    """
+    rows = _alive(spark, store, key, as_of)
+    return _documents(rows.orderBy("place") if ordered else rows, schema)
+
+
+def read_ranking(
+    spark: SparkSession, store: str, key: str, schema: T.StructType, as_of, limit: int, rank: str = "rank"
+) -> DataFrame:
+    """The first ``limit`` rows of a published ranking, numbered from 1 as they were published."""
+    alive = _alive(spark, store, key, as_of).filter("payload IS NOT NULL")
+    top = alive.orderBy("place").limit(limit)
+    numbered = top.withColumn("nth", F.row_number().over(Window.orderBy("place")).cast("long"))
+    return numbered.select(F.col("nth").alias(rank), F.from_json("payload", schema).alias("r")).select(rank, "r.*")
 
 
 def _alive(spark: SparkSession, store: str, key: str, as_of) -> DataFrame:

@@ -10,7 +10,7 @@ from gaugeworks.operators.filters import trailing
 from gaugeworks.plans.tables import _stretched, as_stored
 from gaugeworks.session import fresh_path
 from gaugeworks.sinks import archive_expired, publish_snapshot, write_events, write_indexed
-from gaugeworks.sources import narrow, read_events, read_month_range, read_snapshot, snapshot_or
+from gaugeworks.sources import narrow, read_events, read_month_range, read_ranking, read_snapshot, snapshot_or
 from gaugeworks.sources.sample_tables import telemetry
 
 
@@ -180,6 +180,23 @@ def test_snapshots_expire_and_are_replaced_by_key(spark):
     assert read("one", "2024-05-01 12:02:30") == [(1, None)] and read("two", "2024-05-01 12:01:00") == [(2, "x")]
 
 
+def test_a_set_keeps_its_order(spark):
+    store, now = fresh_path(spark, "snapshots"), "2024-05-01 12:00:00"
+    many = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        publish_snapshot(many.orderBy(F.desc("n")), store, "falling", 120, now)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(store).select(F.input_file_name()).distinct().count() > 2
+    read = read_snapshot(spark, store, "falling", many.schema, now, ordered=True)
+    assert [r["n"] for r in read.collect()] == list(range(4999, -1, -1))
+    top = read_ranking(spark, store, "falling", many.schema, now, 3)
+    assert [tuple(r) for r in top.orderBy("rank").collect()] == [(1, 4999), (2, 4998), (3, 4997)]
+    publish_snapshot(many.limit(0), store, "falling", 120, now)
+    assert read_ranking(spark, store, "falling", many.schema, now, 3).isEmpty()
+
+
 def test_an_empty_result_replaces_an_older_one(spark):
     store = fresh_path(spark, "snapshots")
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
