@@ -7,9 +7,11 @@ is as large as the set of living devices, and who applies the changes in order h
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from gaugeworks.functions.timing import span_seconds
 from gaugeworks.schema import METRICS
 
+# Spark loads the processor in Python processes of its own, also on the driver's side, where this package need not be.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HELD = T.StructType(
     [T.StructField("at", T.LongType()), T.StructField("msg_id", T.LongType()), T.StructField("status", T.StringType())]
     + [T.StructField(m, T.DoubleType()) for m in METRICS]
@@ -89,7 +94,8 @@ def stream_living(stream: DataFrame, ttl: str = "15 minutes", watermark: str = "
 
     A reading lives while it is less than ``ttl`` older than the newest event of the stream. Rows without time,
     device or message number are left out. Rows later than the watermark are dropped; of equal times the larger
-    message number wins.
+    message number wins. Spark keeps timers in the RocksDB store only: start the stream in a session of ``session.tuned``,
+    or by ``run_once``, which sees to it.
     """
     life, delay = (span_seconds(s) * 1_000_000 for s in (ttl, watermark))
     rows = stream.filter("timestamp IS NOT NULL AND device_id IS NOT NULL AND msg_id IS NOT NULL").select(

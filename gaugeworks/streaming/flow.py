@@ -14,7 +14,7 @@ from gaugeworks.functions.timing import interval
 from gaugeworks.operators.filters import classify_alerts
 from gaugeworks.operators.folders import drop_partitions, partition_values
 from gaugeworks.operators.rollups import part_column
-from gaugeworks.session import fresh_path
+from gaugeworks.session import STATE_STORE, fresh_path, with_settings
 from gaugeworks.sinks.live import unzoned, write_state_segment
 from gaugeworks.sinks.segments import write_segment
 from gaugeworks.streaming.windows import WATERMARK, stream_rollup
@@ -116,7 +116,7 @@ def run_once(
     """Drain the stream into a table of the shared folder and read the result.
 
     In update mode a key appears once per batch that changed it; ``keys`` keeps its newest state, and an empty
-    list all of them with the number of their ``batch``.
+    list all of them with the number of their ``batch``. Its state is kept in RocksDB in any session.
     """
     base = fresh_path(spark, name)
     schema = T.StructType(df.schema.fields + [T.StructField("batch", T.LongType())])
@@ -124,10 +124,12 @@ def run_once(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/table/batch={batch_id}")
 
-    query = (
+    writer = (
         df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
-        .foreachBatch(write).trigger(availableNow=True).start()
+        .foreachBatch(write).trigger(availableNow=True)
     )
+    with with_settings(spark, STATE_STORE):
+        query = writer.start()
     query.awaitTermination()
     out = spark.read.schema(schema).option("basePath", f"{base}/table").parquet(f"{base}/table")
     if keys == []:

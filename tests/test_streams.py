@@ -1,8 +1,12 @@
 """Streams over several micro-batches: late rows, repeats, updates, restarts."""
 
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gaugeworks import streaming as St
@@ -12,6 +16,7 @@ from gaugeworks.session import fresh_path
 from gaugeworks.sinks import drop_old_state, latest_state, read_segments, settle_months, sink_batched, upsert_latest
 from gaugeworks.sources import read_events, stream_events
 from gaugeworks.sources.sample_tables import telemetry
+from gaugeworks.streaming import expiring
 
 START = dt.datetime(2024, 5, 1, 12)
 
@@ -236,3 +241,25 @@ def test_an_idle_device_leaves_the_state_store(spark, feed):
     assert held() == alive() == {"a": 10, "b": 5, "c": 9}
     gone = changes().filter("expired").select("device_id", "msg_id").collect()
     assert [r["device_id"] for r in gone] == ["a"]
+
+
+def test_living_devices_in_a_session_without_settings(spark, feed):
+    """Timers need the RocksDB store: a session that does not select it gets it for the run, and keeps its own setting."""
+    folder, drop, stream = feed
+    drop([(0, "a", "OK", 1, 1.0), (2000, "b", "OK", 2, 1.0), (2300, "c", "OK", 3, 1.0)])
+    key = "spark.sql.streaming.stateStore.providerClass"
+    other = spark.newSession()
+    own = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    other.conf.set(key, own)
+    changes = St.run_once(other, St.stream_living(stream_events(other, folder, max_files=1), "15 minutes", "5 minutes"), "update", [])
+    assert sorted(r["device_id"] for r in St.living(changes).collect()) == ["b", "c"]
+    assert other.conf.get(key) == own
+
+
+def test_the_processor_loads_without_the_package(tmp_path):
+    """Spark loads it in Python processes that need not have this package on their path."""
+    (tmp_path / "latest").write_bytes(cloudpickle.dumps((expiring.Latest(1, 2), expiring._newest_of_batch)))
+    load = "import pickle; p, f = pickle.load(open('latest', 'rb')); print(p._expires(2), f.__name__)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, "-c", load], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert ran.stdout.split() == ["1", "_newest_of_batch"], ran.stderr
