@@ -5,7 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a stored file at most.
 TARGET_BYTES = 512 * 1024 * 1024
+#: Bytes of rows in memory, by Spark's default sizes of their types, that one task sorts.
+SORT_BYTES = 512 * 1024 * 1024
+
+
+def _row_bytes(table: DataFrame) -> int:
+    return int(table._jdf.schema().defaultSize())
+
+
+def sort_tasks(table: DataFrame, stored: int, target_bytes: int = TARGET_BYTES) -> int:
+    """Tasks for sorting a stored table into files: of ``target_bytes`` at most, of fewer where rows are many.
+
+    Stored rows are far smaller than the rows that a task sorts, so files' bytes alone do not bound its memory. Rows are
+    counted without reading a column.
+    """
+    return int(max(1, -(-stored // target_bytes), -(-table.count() * _row_bytes(table) // SORT_BYTES)))
 
 
 def stored_totals(table: DataFrame) -> DataFrame:
@@ -30,12 +46,22 @@ def stored_bytes(files: DataFrame) -> int:
 
 
 def scattered_partitions(spark: SparkSession, path: str, part: str, target_bytes: int = TARGET_BYTES) -> tuple[str, ...]:
-    """Partitions with more than twice the files that their bytes call for, and one for a shared boundary."""
+    """Partitions with more than twice the files that their bytes and rows call for, and one for a shared boundary.
+
+    Rows are counted, without reading a column, of those only that have too many files for their bytes.
+    """
     each = stored_files(spark, path).groupBy(F.col(part).cast("string").alias("part")).agg(
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
     )
     needy = each.filter(F.col("files") > 2 * F.ceil(F.col("bytes") / target_bytes) + 1)
-    return tuple(sorted(r["part"] for r in needy.select("part").collect()))
+    files = {r["part"]: r["files"] for r in needy.collect()}
+    if not files:
+        return ()
+    table = spark.read.parquet(path)
+    value = F.col(part).cast("string")
+    counted = table.filter(value.isin(*files)).groupBy(value.alias("part")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    most = {r["part"]: 2 * -(-r["rows"] * _row_bytes(table) // SORT_BYTES) + 1 for r in counted}
+    return tuple(sorted(v for v, n in files.items() if n > most.get(v, 1)))
 
 
 def _partition_folders(spark: SparkSession, path: str, part: str) -> tuple:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import day_of, instant, month_of, readable_size
 from gaugeworks.functions.timing import interval
-from gaugeworks.operators.folders import TARGET_BYTES, drop_partitions, partition_values, scattered_partitions, stored_bytes, stored_files, stored_totals
+from gaugeworks.operators.folders import TARGET_BYTES, drop_partitions, partition_values, scattered_partitions, sort_tasks, stored_bytes, stored_files, stored_totals
 from gaugeworks.operators.manifest import keep_manifest, refresh_manifest
 from gaugeworks.schema import RETENTION
 
@@ -68,17 +68,17 @@ def compact(
     """Rewrite the partitions of a table as few large files, sorted by ``order``.
 
     Rows are range-partitioned on partition and order columns, so a hot device spreads over files and
-    each file covers a narrow range. Partitions are replaced when the job commits; until then, and if
+    each file covers a narrow range; a task sorts a bounded number of rows (``sort_tasks``). Partitions are replaced when the job commits; until then, and if
     it fails, the old files stay.
     """
     table, listed = spark.read.parquet(path), stored_files(spark, path)
     if only is not None:
         chosen = F.col(part).cast("string").isin(*only)
         table, listed = table.filter(chosen), listed.filter(chosen)
-    files = max(1, -(-stored_bytes(listed) // target_bytes))
+    files = sort_tasks(table, stored_bytes(listed), target_bytes)
     keys = [part, *order]
     (
-        table.repartitionByRange(int(files), *keys)
+        table.repartitionByRange(files, *keys)
         .sortWithinPartitions(*keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

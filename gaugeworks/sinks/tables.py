@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import instant, month_of
-from gaugeworks.operators.folders import TARGET_BYTES, stored_bytes, stored_files
+from gaugeworks.operators.folders import SORT_BYTES, sort_tasks, stored_bytes, stored_files
 from gaugeworks.operators.manifest import keep_manifest
 from gaugeworks.operators.quality import expired
 from gaugeworks.schema import EVENTS
@@ -22,7 +22,11 @@ LAYOUT = ("device_id", "timestamp")
 MOST_TASKS = 100_000
 
 
-def tasks_for(df: DataFrame, target_bytes: int = TARGET_BYTES) -> int:
+#: Stored bytes that one sorting task gets at most where rows are not counted: they grow about tenfold in memory.
+SORTED_INPUT = SORT_BYTES // 8
+
+
+def tasks_for(df: DataFrame, target_bytes: int = SORTED_INPUT) -> int:
     """Output tasks for a frame, from the bytes that its files have in the optimizer's estimate.
 
     At least the session's partition count while that many tasks still get a share; the session's count too where the
@@ -71,8 +75,8 @@ def settle_months(
     ev = landed.select(*[c for c in EVENTS.fieldNames() if c in landed.columns])
     if files is None:
         held = sum(stored_bytes(stored_files(spark, p).filter(wanted)) for p in segments or [landing])
-        files = max(1, -(-held // TARGET_BYTES))
-    write_events(ev, table, int(files), replace_months=True)
+        files = sort_tasks(landed, held)
+    write_events(ev, table, files, replace_months=True)
 
 
 def write_indexed(

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks.operators import folders
 from gaugeworks.operators import maintenance as X
 from gaugeworks.operators import quality as Q
 from gaugeworks.operators.devices import latest_newest_first, latest_per, replay_buffer
@@ -137,6 +138,21 @@ def test_a_second_compaction_rewrites_nothing(spark, sf_dir):
     assert ids(spark.read.parquet(path)) == expected
 
 
+def test_compaction_sorts_a_bounded_number_of_rows_a_task(spark, sf_dir, monkeypatch):
+    """Files are small and rows many: tasks follow the rows, and a second compaction still rewrites nothing."""
+    path = fresh_path(spark, "events")
+    ev = as_stored(telemetry(spark, sf_dir))
+    write_events(ev, path, files=64)
+    monkeypatch.setattr(folders, "SORT_BYTES", ev.count() * folders._row_bytes(spark.read.parquet(path)) // 4 + 1)
+    done = lambda: X.compact_all(spark, {"events": (path, "yyyymm", ("device_id", "timestamp"))}).first()["result"]
+    assert done() == "optimized"
+    table = spark.read.parquet(path)
+    spans = table.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(spans) >= 4 and max(r["n"] for r in spans) < ev.count() / 2
+    assert table.drop("yyyymm").exceptAll(ev).isEmpty() and table.count() == ev.count()
+    assert done() == "unchanged"
+
+
 def test_compaction_reports_failures(spark, sf_dir):
     path = fresh_path(spark, "events")
     for i in range(4):
