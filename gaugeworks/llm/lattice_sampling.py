@@ -2,11 +2,12 @@
 
 The segmentations of a text are the paths of its lattice, each with a probability proportional to the
 product of its pieces' weights. Every path gets a Gumbel-perturbed log probability, and the k paths with
-the largest ones are a sample of k without replacement. They are found by search from the best down: a set
-of paths that begin alike has a known total probability, so its largest perturbed value can be drawn at
-once; the set with the largest value is opened, one path of it is drawn to carry that value, and what
-branches off from that path are new sets whose largest values are drawn below it. No path is listed that
-is not returned.
+the largest ones are a sample of k without replacement. They are found by search from the best down: the
+paths that branch off from a known one within a span of its places have a known total probability, so the
+largest perturbed value of them all can be drawn at once; the set with the largest value is opened, one path
+of it is drawn to carry that value (first the place where it branches off), and what is left of the set and
+what branches off from that path are new sets whose largest values are drawn below it. No path is listed that
+is not returned, and a path costs a few draws beyond those of its own edges.
 
 Pieces never reach over a word's beginning, so the lattice of a text is the chain of its words' lattices;
 those are built together, each distinct word once. Draws come from a hash of the row's key and the place, so they do not depend on
@@ -28,7 +29,7 @@ from pyspark.sql.types import StructType
 
 from gaugeworks.llm.common import exact_id, mix, plain_id, ship
 
-SAMPLES = 2
+SAMPLES = 4
 #: Words that are worked on at once (a text with more is worked on alone).
 WORDS_AT_ONCE = 200_000
 SPACE = "▁"
@@ -175,8 +176,9 @@ class Lattices:
         count = np.diff(np.r_[starts, len(source)])
         chance = np.exp(logp)
         total = np.add.reduceat(chance, starts) if len(starts) else chance
-        self.rest = np.maximum(np.repeat(total, count) - chance, 0.0)
-        self.rest[np.repeat(count == 1, count)] = 0.0
+        # how much an edge takes off a path's log probability; nothing where there is no other
+        self.cost = np.maximum(-logp, 0.0)
+        self.cost[np.repeat(count == 1, count)] = 0.0
         running = np.cumsum(chance)
         base = np.repeat(running[starts] - chance[starts], count) if len(starts) else running
         self.upper = source + np.minimum((running - base) / np.repeat(total, count), 1.0)
@@ -211,46 +213,103 @@ def lattices(path: str, power: float) -> Lattices:
     return _lattices[path, power]
 
 
-def _uniform(seed: np.ndarray, *parts) -> np.ndarray:
-    """Numbers between 0 and 1, both excluded, by a hash of the seed and the parts."""
-    x = seed
+def _part(x: np.ndarray, k: int, part) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(x + np.asarray(part).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
+
+
+def _mixed(seed: np.ndarray, *parts) -> np.ndarray:
+    """A hash of the seed and the parts."""
     for k, part in enumerate(parts):
-        x = mix(x + np.asarray(part).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
+        seed = _part(seed, k, part)
+    return seed
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
-def _below(place: np.ndarray, bound: np.ndarray, uniform: np.ndarray) -> np.ndarray:
-    """Gumbel variables at ``place`` that are known to lie below ``bound``."""
-    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        value = place - np.logaddexp(place - bound, np.log(-np.log(uniform)))
-    return np.where(np.isneginf(place), -np.inf, np.minimum(value, bound))
-
-
-class _Paths:
-    """The paths of one round, a text after another: their edges, and the sets that branch off from them."""
-
-    def __init__(self, lat: Lattices, edges: list[np.ndarray], units: list[np.ndarray]):
-        self.lengths = np.array([len(e) for e in edges], np.int64)
-        self.start = np.cumsum(self.lengths) - self.lengths
-        self.edge = np.concatenate(edges)
-        self.unit = np.concatenate(units)
-        self.owner = np.repeat(np.arange(len(edges)), self.lengths)
-        logp = lat.logp[self.edge]
-        total = np.cumsum(logp)
-        total = np.r_[0.0, total]
-        base = total[self.start]
-        self.before = total[:-1] - base[self.owner]
-        self.log_prob = total[self.start + self.lengths] - base
-        self.best = np.full(len(self.edge), -np.inf)
-
-    def draw(self, lat: Lattices, seed: np.ndarray, bound: np.ndarray, opened: np.ndarray, round_: int) -> None:
-        """Largest perturbed values of the sets that branch off behind the ``opened`` first edges of each path."""
-        place = np.arange(len(self.edge)) - self.start[self.owner]
-        rest = lat.rest[self.edge]
-        own = np.flatnonzero((place >= opened[self.owner]) & (rest > 0))
-        who = self.owner[own]
-        uniform = _uniform(seed[who], np.full(len(own), 2 * round_ + 1), place[own])
-        self.best[own] = _below(self.before[own] + np.log(rest[own]), bound[who], uniform)
+def _uniform(seed: np.ndarray, *parts) -> np.ndarray:
+    """Numbers between 0 and 1, both excluded, by a hash of the seed and the parts."""
+    return _unit(_mixed(seed, *parts))
+
+
+def _log_mass(cost: float) -> float:
+    """Log of the probability to leave a path somewhere on a stretch that costs so much."""
+    return math.log(-math.expm1(-cost)) if cost > 0 else -math.inf
+
+
+def _below(place: float, bound: float, uniform: float) -> float:
+    """A Gumbel variable at ``place`` that is known to lie below ``bound``."""
+    if place == -math.inf:
+        return place
+    a, b = place - bound, math.log(-math.log(uniform))
+    high = max(a, b)
+    return min(place - high - math.log1p(math.exp(min(a, b) - high)), bound)
+
+
+class _Text:
+    """The paths of a text found so far, and the sets of those not found: value, path, places, log probability up to them.
+
+    A set holds the paths that leave a known one at a place from ``low`` to before ``high``; or at ``low``, by none of the edges ``old``.
+    """
+
+    def __init__(self):
+        self.paths: list[tuple] = []
+        self.sets: list[tuple] = []
+
+    def add(self, edges: np.ndarray, units: np.ndarray, cost: np.ndarray, total: float, low: int, before: float, bound: float, uniform: float) -> None:
+        """A path, and the set of those that leave it from ``low`` on; ``total`` is the cost of that stretch."""
+        self.paths.append((edges, units, cost))
+        self._keep(before + _log_mass(total), bound, uniform, low, len(edges), before, total, None, len(self.paths) - 1)
+
+    def _keep(self, place, bound, uniform, low, high, before, total, old, path) -> None:
+        value = _below(place, bound, uniform)
+        if value > -math.inf:
+            self.sets.append((value, path, low, high, before, total, old))
+
+    def best(self) -> float:
+        return max((s[0] for s in self.sets), default=-math.inf)
+
+    def open(self, lat: Lattices, draws: list[float]) -> tuple:
+        """Take the set with the largest value apart: path left, place, edge taken there instead, and log probability up to the place."""
+        k = max(range(len(self.sets)), key=lambda i: self.sets[i][0])
+        value, path, low, high, before, total, old = self.sets.pop(k)
+        edges, _, cost = self.paths[path]
+        if old is None:
+            goal = -math.log1p(draws[0] * math.expm1(-total))
+            size = 64
+            while True:  # the first place up to which more than the goal is spent; most often a near one
+                spent = np.cumsum(cost[low : min(low + size, high)])
+                at = int(np.searchsorted(spent, goal, side="right"))
+                if at < len(spent) or low + size >= high:
+                    break
+                size *= 8
+            if at == len(spent):  # by rounding
+                at = int(np.flatnonzero(cost[low:high])[-1])
+            place, upto = low + at, float(spent[at - 1]) if at else 0.0
+            self._keep(before + _log_mass(upto), value, draws[2], low, place, before, upto, None, path)
+            left = total - float(spent[at])
+            if left < 1:  # too near to what was taken off
+                left = float(cost[place + 1 : high].sum())
+            behind = before - float(spent[at])
+            self._keep(behind + _log_mass(left), value, draws[3], place + 1, high, behind, left, None, path)
+            before, old = before - upto, (int(edges[place]),)
+        else:
+            place = low
+        here = lat.source[old[0]]
+        free = [e for e in range(int(lat.first[here]), int(lat.first[here + 1])) if e not in old]
+        chance = [math.exp(lat.logp[e]) for e in free]
+        goal, chosen = draws[1] * sum(chance), free[-1]
+        for e, c in zip(free, chance):
+            goal -= c
+            if goal < 0:
+                chosen = e
+                break
+        rest = sum(c for e, c in zip(free, chance) if e != chosen)
+        if rest > 0:
+            self._keep(before + math.log(rest), value, draws[4], place, place + 1, before, 0.0, (*old, chosen), path)
+        return value, path, place, chosen, before - float(lat.cost[chosen])
 
 
 def _walk(lat: Lattices, state: np.ndarray, unit: np.ndarray, seed: np.ndarray, depth: np.ndarray, round_: int):
@@ -262,8 +321,9 @@ def _walk(lat: Lattices, state: np.ndarray, unit: np.ndarray, seed: np.ndarray,
     depth = depth[active]
     row = np.arange(len(state))
     rows = []
+    drawn = _mixed(seed, 2 * round_ + 2, depth)
     while len(state):
-        uniform = _uniform(seed, np.full(len(state), 2 * round_ + 2), depth, np.full(len(state), step))
+        uniform = _unit(_part(drawn, 2, step))
         aim, first, edge = state + uniform, lat.first[state], lat.first[state + 1] - 1
         back = np.flatnonzero((edge > first) & (lat.upper[edge - 1] > aim))
         while len(back):  # from the longest piece, as a rule the likeliest, to the first one whose sum exceeds the draw
@@ -275,7 +335,7 @@ def _walk(lat: Lattices, state: np.ndarray, unit: np.ndarray, seed: np.ndarray,
         rows.append(row)
         state = lat.next[edge]
         on = state >= 0
-        state, unit, seed, depth, row = state[on], unit[on], seed[on], depth[on], row[on]
+        state, unit, drawn, row = state[on], unit[on], drawn[on], row[on]
         step += 1
     if not edges:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -293,85 +353,52 @@ def sample_texts(lat: Lattices, texts: list[list[str]], seeds: np.ndarray, count
     depth = np.arange(len(root)) - cut[doc]
     edge, unit, _ = _walk(lat, root, np.arange(len(root)), seeds[doc], depth, 0)
     ends = np.searchsorted(unit, cut)
-    edges = [edge[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    units = [unit[a:b] for a, b in zip(ends[:-1], ends[1:])]
     value = -np.log(-np.log(_uniform(seeds, np.full(n, 0))))
-    paths = _Paths(lat, edges, units)
-    paths.draw(lat, seeds, value, np.zeros(n, np.int64), 0)
-    found = [[(edges[d], paths.log_prob[d], value[d])] for d in range(n)]
-    rounds = [(paths, np.arange(n))]  # the paths of a round, and their texts
-    taken: dict[tuple[int, int], list[int]] = {}
-    for number in range(1, count + 1):
-        top, where = np.full(n, -np.inf), np.full((n, 2), -1)
-        for r, (p, who) in enumerate(rounds):
-            full = np.flatnonzero(p.lengths > 0)
-            if not len(full):
-                continue
-            most = np.maximum.reduceat(p.best, p.start[full])
-            better = most > top[who[full]]
-            hit = full[better]
-            if len(hit):
-                # the first place that holds the largest value
-                at = np.flatnonzero(p.best == np.repeat(most, p.lengths[full]))
-                first = np.full(len(p.lengths), -1)
-                first[p.owner[at][::-1]] = at[::-1]
-                top[who[hit]] = most[better]
-                where[who[hit]] = np.c_[np.full(len(hit), r), first[hit]]
-        if number == count:
-            break
-        more = np.flatnonzero(top > -np.inf)
+    cost = lat.cost[edge]
+    first = _uniform(seeds, 1, 5)
+    books = []
+    found = []
+    for d, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+        total, text = float(cost[a:b].sum()), _Text()
+        text.add(edge[a:b], unit[a:b], cost[a:b], total, 0, 0.0, float(value[d]), float(first[d]))
+        books.append(text)
+        found.append([(edge[a:b], -total, value[d])])
+    for number in range(1, count):
+        more = np.array([d for d in range(n) if books[d].sets], np.int64)
         if not len(more):
             break
-        heads, head_units, state, from_unit = [], [], [], []
-        pick = _uniform(seeds[more], np.full(len(more), 1000 + number))
-        for d, u in zip(more.tolist(), pick.tolist()):
-            r, at = where[d].tolist()
-            p = rounds[r][0]
-            own = int(p.owner[at])
-            old = taken.setdefault((r, at), [int(p.edge[at])])
-            here = lat.source[old[0]]
-            low = int(lat.first[here])
-            high = int(lat.first[here + 1])
-            free = [e for e in range(low, high) if e not in old]
-            chance = [math.exp(lat.logp[e]) for e in free]
-            goal, chosen = u * sum(chance), free[-1]
-            for e, c in zip(free, chance):
-                goal -= c
-                if goal < 0:
-                    chosen = e
-                    break
-            old.append(chosen)
-            left = sum(c for e, c in zip(free, chance) if e != chosen)
-            again = _uniform(seeds[d : d + 1], np.array([5000 + number]), np.array([at - p.start[own]]))
-            spot = np.array([p.before[at] + math.log(left) if left > 0 else -math.inf])
-            p.best[at] = _below(spot, np.array([top[d]]), again)[0]
-            begin = int(p.start[own])
-            heads.append(np.append(p.edge[begin:at], chosen))
-            head_units.append(p.unit[begin : at + 1])
-            state.append(int(lat.next[chosen]))
-            from_unit.append(int(p.unit[at]))
+        draws = np.stack([_uniform(seeds[more], 1000 + number, k) for k in range(6)], axis=1).tolist()
+        taken = [books[d].open(lat, u) for d, u in zip(more.tolist(), draws)]
+        heads, head_units, from_unit = [], [], []
+        for d, (_, path, place, chosen, _) in zip(more.tolist(), taken):
+            edges, units, _ = books[d].paths[path]
+            heads.append(np.append(edges[:place], chosen))
+            head_units.append(units[: place + 1])
+            from_unit.append(int(units[place]))
+        state = lat.next[[t[3] for t in taken]]
         # the rest of the opened word, then the words behind it
         behind = [np.arange(u + 1, cut[d + 1]) for d, u in zip(more.tolist(), from_unit)]
         walk_unit = np.concatenate([x for u, b in zip(from_unit, behind) for x in ((u,), b)])
         walk_state = np.concatenate([x for s, b in zip(state, behind) for x in ((s,), root[b])])
         part = np.repeat(np.arange(len(more)), [len(b) + 1 for b in behind])
         edge, unit, _ = _walk(lat, walk_state, walk_unit, seeds[more][part], walk_unit - cut[more][part], number)
-        ends = np.searchsorted(unit, np.r_[np.array(from_unit), cut[-1]])
-        stop = np.searchsorted(unit, cut[more + 1])
-        edges = [np.concatenate((h, edge[a:b])) for h, a, b in zip(heads, ends[:-1], stop)]
-        units = [np.concatenate((h, unit[a:b])) for h, a, b in zip(head_units, ends[:-1], stop)]
-        paths = _Paths(lat, edges, units)
-        paths.draw(lat, seeds[more], top[more], np.array([len(h) for h in heads]), number)
-        for k, d in enumerate(more.tolist()):
-            found[d].append((edges[k], paths.log_prob[k], top[d]))
-        rounds.append((paths, more))
+        cost = lat.cost[edge]
+        starts = np.searchsorted(unit, from_unit).tolist()
+        stops = np.searchsorted(unit, cut[more + 1]).tolist()
+        for k, (d, a, b) in enumerate(zip(more.tolist(), starts, stops)):
+            top, _, place, _, before = taken[k]
+            edges, units = np.concatenate((heads[k], edge[a:b])), np.concatenate((head_units[k], unit[a:b]))
+            total = float(cost[a:b].sum())
+            costs = np.concatenate((np.zeros(place + 1), cost[a:b]))  # those before are never asked for
+            books[d].add(edges, units, costs, total, place + 1, before, top, draws[k][5])
+            found[d].append((edges, before - total, top))
     out = []
     for d in range(n):
-        with np.errstate(over="ignore"):
-            out.append([
-                (lat.piece[e], float(lp), float(v), 1.0 if top[d] == -np.inf else float(-np.expm1(-np.exp(lp - top[d]))))
-                for e, lp, v in found[d]
-            ])
+        top = books[d].best()
+        out.append([
+            (lat.piece[e], float(lp), float(v), 1.0 if top == -math.inf else -math.expm1(-math.exp(min(lp - top, 700.0))))
+            for e, lp, v in found[d]
+        ])
     return out
 
 

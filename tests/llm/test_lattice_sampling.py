@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from gaugeworks.llm import lattice_sampling as G
+from gaugeworks.llm.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +91,23 @@ def test_rows(spark):
     back = G.decode(once.drop("text"), G.piece_bpe()).filter("doc_id = 5").select("text").distinct().collect()
     assert [r["text"] for r in back] == [TEXTS[5]]
     assert G.sample_segmentations(docs.limit(0), G.piece_bpe()).collect() == []
+
+
+def test_every_segmentation_is_found_once(lat):
+    """The search opens sets of all kinds until nothing is left."""
+    for text in ("abc", "able", "to be"):
+        paths = all_paths(lat, text)
+        seeds = np.arange(40, dtype=np.uint64) * np.uint64(15485863)
+        for rows in G.sample_texts(lat, [lat.split(text)] * 40, seeds, len(paths) + 5):
+            ids = [tuple(r[0].tolist()) for r in rows]
+            assert len(ids) == len(paths) and set(ids) == set(paths)
+            assert all(abs(paths[i] - r[1]) < 1e-9 and r[3] == 1 for i, r in zip(ids, rows))
+
+
+def test_the_query_searches_over_several_rounds(spark, tmp_path):
+    """Four samples a text, so that sets are opened, kept and opened again."""
+    docs = [(i, f"several words to segment number {i}", "en", "x", 1) for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op9_lattice_sampling"](spark, str(tmp_path)).toPandas()
+    assert sorted(got["sample"].value_counts().items()) == [(k, 20) for k in (1, 2, 3, 4)]
+    assert got["decoded"].all() and (got.groupby("doc_id")["ids_crc32"].nunique() == 4).all()
