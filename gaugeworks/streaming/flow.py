@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -116,13 +116,20 @@ def run_once(
     """Drain the stream into a table of the shared folder and read the result.
 
     In update mode a key appears once per batch that changed it; ``keys`` keeps its newest state, and an empty
-    list all of them with the number of their ``batch``. Its state is kept in RocksDB in any session.
+    list all of them with the number of their ``batch``. Rows of one batch have keys of their own, so they are gone
+    through again only where several batches gave rows. Its state is kept in RocksDB in any session.
     """
     base = fresh_path(spark, name)
     schema = T.StructType(df.schema.fields + [T.StructField("batch", T.LongType())])
 
+    filled: set[int] = set()
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/table/batch={batch_id}")
+        seen = Observation()
+        counted = batch.observe(seen, F.count(F.lit(1)).alias("rows"))
+        counted.write.mode("overwrite").parquet(f"{base}/table/batch={batch_id}")
+        if seen.get["rows"]:
+            filled.add(batch_id)
 
     writer = (
         df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
@@ -134,7 +141,7 @@ def run_once(
     out = spark.read.schema(schema).option("basePath", f"{base}/table").parquet(f"{base}/table")
     if keys == []:
         return out
-    if keys is None:
+    if keys is None or len(filled) < 2:
         return out.drop("batch")
     rest = [c for c in out.columns if c not in (*keys, "batch")]
     newest = out.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("_row"))

@@ -263,3 +263,18 @@ def test_the_processor_loads_without_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     ran = subprocess.run([sys.executable, "-c", load], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert ran.stdout.split() == ["1", "_newest_of_batch"], ran.stderr
+
+
+def test_rows_of_a_single_batch_are_read_as_they_are(spark, feed):
+    """Keys of one batch are distinct: no aggregate over them; with several batches the newest state of each key."""
+    folder, drop, stream = feed
+    keys = ["bucket", "device_id", "device_type", "location"]
+    rolled = lambda: St.run_once(spark, St.stream_rollup(stream(), watermark="365 days", metrics=["temperature"]), "update", keys)
+    drop([(0, "a", "OK", 1, 1.0), (10, "a", "OK", 2, 2.0), (70, "b", "OK", 3, 3.0)])
+    one = rolled()
+    assert "Aggregate" not in one._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["device_id"], r["events"], r["sum_temperature"]) for r in one.collect()) == [("a", 2, 3.0), ("b", 1, 3.0)]
+    drop([(20, "a", "WARN", 4, 4.0)])
+    two = rolled()
+    assert two.columns == one.columns
+    assert sorted((r["device_id"], r["events"], r["sum_temperature"]) for r in two.collect()) == [("a", 3, 7.0), ("b", 1, 3.0)]
