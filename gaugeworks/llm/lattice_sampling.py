@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,8 +128,8 @@ class Lattices:
 
     def build(self, words: list[str]) -> np.ndarray:
         """Make the lattices of these words; returns the first state of each."""
-        distinct = dict.fromkeys(words)
-        number = dict(zip(distinct, range(len(distinct))))
+        number = defaultdict[str, int]()
+        number.default_factory = number.__len__  # a word's number is how many came before it
         code = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         sizes = np.fromiter(map(len, number), np.int64, len(number))
         bounds = np.cumsum(sizes)
@@ -139,39 +140,43 @@ class Lattices:
         n = len(end_of)
         # beta: log of the summed weights of all ways from a state to its word's end, from the ends backwards
         beta = np.zeros(max(n, int(source.max(initial=-1)) + 1) + 1)
-        inner = source < n
+        places = int(np.searchsorted(source, n))  # edges from characters come first in the order of states
+        mine = source[:places]
+        end = end_of[mine]
         done = np.zeros(len(source), bool)
-        done[inner] = target[inner] == end_of[source[inner]]
-        chain_end = ~inner & (target <= n)
+        done[:places] = ended = target[:places] == end
+        follow = target
         # a byte's chain leads to the place behind its character, which is nearer to the end than the character
-        owner = source.copy()
-        if (~inner).any():
+        if places < len(source):
+            inner = source < n
+            chain_end = ~inner & (target <= n)
+            owner = source.copy()
             start_of = {int(t): int(s) for s, t in zip(source[inner & (target > n)], target[inner & (target > n)])}
             for e in np.flatnonzero(~inner).tolist():
                 owner[e] = start_of.setdefault(int(source[e]), owner[e])
                 if target[e] > n:
                     start_of[int(target[e])] = int(owner[e])
             done[chain_end] = target[chain_end] == end_of[owner[chain_end]]
-        follow = target.copy()
-        if (~inner).any():  # what follows a chain is what follows its character
-            long = inner & (target > n)
+            follow = target.copy()
+            long = inner & (target > n)  # what follows a chain is what follows its character
             follow[long] = source[long] + 1
-        ended = inner & (follow == end_of[np.minimum(source, n - 1)]) if n else inner
-        mine = source[inner]  # these come first in the order of states
-        distance = end_of[mine] - mine
+            ended = follow[:places] == end
+        distance = end - mine
         short = distance.max(initial=0) < 1 << 16
         by = np.argsort(distance.astype(np.uint16) if short else distance, kind="stable")
         distance, near, at, over, behind = distance[by], mine[by], weight[by], ended[by], follow[by]
+        values = np.empty(places)
         cuts = np.flatnonzero(np.r_[True, distance[1:] != distance[:-1], True]) if len(mine) else np.zeros(1, int)
         for low, high in zip(cuts[:-1], cuts[1:]):
             value = at[low:high] + np.where(over[low:high], 0.0, beta[behind[low:high]])
+            values[low:high] = value
             states = near[low:high]
             starts = np.flatnonzero(np.r_[True, states[1:] != states[:-1]])
             top = np.maximum.reduceat(value, starts)
             spread = np.exp(value - np.repeat(top, np.diff(np.r_[starts, high - low])))
             beta[states[starts]] = top + np.log(np.add.reduceat(spread, starts))
         logp = np.zeros(len(source))
-        logp[: len(mine)] = weight[: len(mine)] + np.where(ended[: len(mine)], 0.0, beta[follow[: len(mine)]]) - beta[mine]
+        logp[by] = values - beta[near]
         starts = np.flatnonzero(np.r_[True, source[1:] != source[:-1]]) if len(source) else np.empty(0, int)
         count = np.diff(np.r_[starts, len(source)])
         chance = np.exp(logp)
