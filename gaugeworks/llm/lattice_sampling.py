@@ -10,8 +10,8 @@ what branches off from that path are new sets whose largest values are drawn bel
 is not returned, and a path costs a few draws beyond those of its own edges.
 
 Pieces never reach over a word's beginning, so the lattice of a text is the chain of its words' lattices;
-those are built together, each distinct word once. Draws come from a hash of the row's key and the place, so they do not depend on
-how rows are dealt.
+those are built together, each distinct word once, and kept for the texts to come as long as there is room.
+Draws come from a hash of the row's key and the place, so they do not depend on how rows are dealt.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,9 +34,17 @@ from pyspark.sql.types import StructType
 from gaugeworks.llm.common import exact_id, mix, plain_id, ship
 
 SAMPLES = 4
-#: Words that are worked on at once (a text with more is worked on alone).
-WORDS_AT_ONCE = 200_000
+#: Characters of texts that are worked on at once (a text with more is worked on alone).
+TEXT_AT_ONCE = 1_200_000
+#: Edges beyond which the lattices at hand are forgotten before others are made; bounds space, not results.
+KEPT_EDGES = 4_000_000
+#: Words whose lattices are made together and words that are walked together, few enough for the processor's cache;
+#: only the speed depends on them.
+BUILT_AT_ONCE = 4_000
+WALKED_AT_ONCE = 1 << 14
 SPACE = "▁"
+#: Put between words where a whole lot of texts is split; texts that hold it are split one by one.
+CUT = "\0"
 #: First bits of a hash by which pieces are looked up; only the speed depends on them.
 KEY_BITS = 17
 
@@ -41,9 +52,8 @@ KEY_BITS = 17
 class Lattices:
     """Lattices of the words at hand: a state for each place in a word, an edge for each piece that begins there.
 
-    Edges stand in order of their states. ``upper`` is the state's number plus the summed probability up to
-    the edge, so one sorted array serves to draw an edge in any state. Pieces are found by hashes of growing
-    length, for all places at once, as long as some piece still begins so.
+    Edges stand in order of their states. ``upper`` is the summed probability of a state's edges up to each.
+    Pieces are found by hashes of growing length, for all places at once, as long as some piece still begins so.
     """
 
     def __init__(self, path: str, power: float = 1.0):
@@ -61,12 +71,65 @@ class Lattices:
         }
         self.byte = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.rare = power * -math.log(2 + size)
+        self._spell(plain)
         self.begins = self._table()
         whole = any(SPACE in p.lstrip(SPACE) for p in self.weight)
-        lines = not any("\n" in p for p in self.weight)
+        self.lines = lines = not any("\n" in p for p in self.weight)
         self.words = None if whole else re.compile(
             f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if lines else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
         )
+        self.number = defaultdict[str, int]()
+        self.number.default_factory = self.number.__len__  # a word's number is how many came before it
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number.clear()
+        self.words_kept = self.states = self.edges = 0
+        self.root, self.first = np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.source, self.next, self.piece = (np.empty(0, np.int32) for _ in range(3))
+        self.logp, self.upper = np.empty(0), np.empty(0)
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Write values into a column from a place on; what lies behind them is room for others."""
+        column = getattr(self, name)
+        if at + len(values) > len(column):
+            grown = np.empty(max(at + len(values), len(column) * 3 // 2), column.dtype)
+            grown[:at] = column[:at]
+            setattr(self, name, column := grown)
+        column[at : at + len(values)] = values
+
+    def _spell(self, plain: list[int]) -> None:
+        """What the model decodes each piece to: at the beginning of a text, and behind another piece."""
+        before = next((i for i in plain if SPACE not in self.model.id_to_piece(i)), plain[0])
+        skip = len(self.model.decode([before]))
+        size = self.model.get_piece_size()
+        self.spelled, behind = [b""] * size, [b""] * size
+        for b, i in enumerate(self.byte):
+            if self.model.is_byte(i):
+                self.spelled[i] = behind[i] = bytes([b])
+        for i, alone, pair in zip(plain, self.model.decode([[i] for i in plain]), self.model.decode([[before, i] for i in plain])):
+            self.spelled[i], behind[i] = alone.encode(), pair[skip:].encode()
+        self.spelled_behind = pa.array(behind, pa.large_binary())
+
+    def decodes(self, samples: list[np.ndarray], texts: list[str]) -> list[bool]:
+        """Whether the model decodes the ids of each sample to its text.
+
+        Ids are decoded all at once, by what the model makes of each piece; bytes that are together a text are what
+        the model makes of pieces for bytes. A sample that comes out otherwise is given to the model whole, and so are
+        those of texts that begin with a blank, which some models drop.
+        """
+        decoded = self.spelled_behind.take(pa.array(np.concatenate([np.empty(0, np.int32), *samples])))
+        at = np.frombuffer(decoded.buffers()[1], np.int64)
+        data = memoryview(decoded.buffers()[2] or b"")
+        ends = np.cumsum([len(x) for x in samples]).tolist()
+        out = []
+        for sample, text, end in zip(samples, texts, ends):
+            same = not text
+            if len(sample):
+                found = self.spelled[sample[0]] + data[at[end - len(sample) + 1] : at[end]]
+                same = text[:1] != " " and found == text.encode("utf-8", "surrogatepass") or self.model.decode(sample) == text
+            out.append(same)
+        return out
 
     def _table(self) -> list[tuple]:
         """Per length: hashes of all beginnings of pieces, sorted, where each value of their first bits begins
@@ -90,10 +153,35 @@ class Lattices:
         seen = SPACE + text.replace(" ", SPACE)
         return [seen] if self.words is None else self.words.findall(seen)
 
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts: how many a text has, and the first state of each."""
+        if any(t and CUT in t for t in texts):
+            split = [self.split(t) for t in texts]
+            return np.array([len(t) for t in split]), self.build([w for t in split for w in t])
+        parts = pc.split_pattern(pa.array(map(self._marked, texts), pa.large_string()), CUT)
+        words = parts.flatten()
+        real = pc.greater(pc.binary_length(words), 0)
+        sizes = np.diff(np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[parts.offsets.to_numpy()])
+        coded = words.filter(real).dictionary_encode()
+        return sizes, self.build(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+
+    def _marked(self, text: str | None) -> str:
+        """The text as the model sees it, with a mark between words."""
+        if not text:
+            return ""
+        seen = SPACE + text.replace(" ", SPACE)
+        if self.words is None:
+            return seen
+        if SPACE * 2 in seen:  # blanks in a row begin one word
+            return CUT.join(self.words.findall(seen))
+        seen = seen.replace(SPACE, CUT + SPACE)
+        return seen.replace("\n", f"{CUT}\n{CUT}") if self.lines else seen
+
     def _edges(self, ends: np.ndarray, text: str) -> tuple[np.ndarray, ...]:
-        """Source, target (-1: the word's end), piece and weight of all edges, without order."""
+        """Target (-1: the word's end), piece and weight of all edges by their states, and where each state's begin."""
         sums, scale, points = _running(text)
         active, found = np.arange(len(points)), []
+        count = np.zeros(len(points), np.int64)
         plain = np.zeros(len(points), bool)
         for length, (keys, begin, ids, weights) in enumerate(self.begins, 1):
             active = active[active + length <= ends[active]]
@@ -111,40 +199,56 @@ class Lattices:
             source, at = active[piece], at[piece]
             if length == 1:
                 plain[source] = True
-            found.append((source, source + length, ids[at], weights[at]))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3 + [np.empty(0)]
+            rank = count[source]  # shorter pieces come first
+            found.append((source, rank, source + length, ids[at], weights[at]))
+            count[source] = rank + 1
         extra, chained = [], len(points) + 1  # one more than a word's end may be
         for place in np.flatnonzero(~plain).tolist():  # characters without a piece: their bytes, one after another
             data = chr(points[place]).encode("utf-8", "surrogatepass")
             source = place
             for k, b in enumerate(data):
                 last = k == len(data) - 1
-                extra.append((source, place + 1 if last else chained, self.byte[b], self.rare * len(data) if k == 0 else 0.0))
+                rank = int(count[place]) if k == 0 else 0
+                extra.append((source, rank, place + 1 if last else chained, self.byte[b], self.rare * len(data) if k == 0 else 0.0))
                 source = chained
                 chained += not last
         if extra:
-            columns = [np.concatenate([c, np.array(e)]) for c, e in zip(columns, zip(*extra))]
-        return (*[c.astype(np.int64) for c in columns[:3]], columns[3])
+            count[~plain] += 1
+            count = np.concatenate((count, (0,), np.ones(chained - len(points) - 1, np.int64)))
+            found.append([np.array(e) for e in zip(*extra)])
+        first = np.append(0, np.cumsum(count))
+        columns = np.empty(first[-1], np.int64), np.empty(first[-1], np.int32), np.empty(first[-1])
+        for source, rank, *values in found:
+            at = first[source] + rank
+            for column, value in zip(columns, values):
+                column[at] = value
+        return (*columns, first)
 
     def build(self, words: list[str]) -> np.ndarray:
-        """Make the lattices of these words; returns the first state of each."""
-        number = defaultdict[str, int]()
-        number.default_factory = number.__len__  # a word's number is how many came before it
-        code = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        sizes = np.fromiter(map(len, number), np.int64, len(number))
+        """Make the lattices of those of these words that are not at hand; returns the first state of each."""
+        if self.edges > KEPT_EDGES:
+            self._forget()
+        code = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if len(self.number) > self.words_kept:
+            new = list(islice(self.number, self.words_kept, None))
+            for a in range(0, len(new), BUILT_AT_ONCE):
+                self._add(new[a : a + BUILT_AT_ONCE])
+        return self.root[code]
+
+    def _add(self, words: list[str]) -> None:
+        """Lattices of these words, behind those at hand."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         bounds = np.cumsum(sizes)
         end_of = np.repeat(bounds, sizes)
-        edges = self._edges(end_of, "".join(number))
-        order = np.argsort(edges[0], kind="stable")
-        source, target, piece, weight = (c[order] for c in edges)
+        target, piece, weight, first = self._edges(end_of, "".join(words))
         n = len(end_of)
+        count = np.diff(first)
+        source = np.repeat(np.arange(len(count)), count)
         # beta: log of the summed weights of all ways from a state to its word's end, from the ends backwards
-        beta = np.zeros(max(n, int(source.max(initial=-1)) + 1) + 1)
-        places = int(np.searchsorted(source, n))  # edges from characters come first in the order of states
-        mine = source[:places]
-        end = end_of[mine]
+        beta = np.zeros(len(count) + 1)
+        places = int(first[n])  # edges from characters come first in the order of states
         done = np.zeros(len(source), bool)
-        done[:places] = ended = target[:places] == end
+        done[:places] = ended = target[:places] == np.repeat(end_of, count[:n])
         follow = target
         # a byte's chain leads to the place behind its character, which is nearer to the end than the character
         if places < len(source):
@@ -160,38 +264,45 @@ class Lattices:
             follow = target.copy()
             long = inner & (target > n)  # what follows a chain is what follows its character
             follow[long] = source[long] + 1
-            ended = follow[:places] == end
-        distance = end - mine
+            ended = follow[:places] == np.repeat(end_of, count[:n])
+        distance = end_of - np.arange(n)
         short = distance.max(initial=0) < 1 << 16
-        by = np.argsort(distance.astype(np.uint16) if short else distance, kind="stable")
-        distance, near, at, over, behind = distance[by], mine[by], weight[by], ended[by], follow[by]
+        near = np.argsort(distance.astype(np.uint16) if short else distance, kind="stable")
+        many = count[near]
+        begin = np.append(0, np.cumsum(many))
+        by = np.repeat(first[near] - begin[:-1], many) + np.arange(places)  # edges by the distance of their states
+        at, behind = weight[by], np.where(ended, n, follow[:places])[by]  # beta is 0 at n
         values = np.empty(places)
-        cuts = np.flatnonzero(np.r_[True, distance[1:] != distance[:-1], True]) if len(mine) else np.zeros(1, int)
-        for low, high in zip(cuts[:-1], cuts[1:]):
-            value = at[low:high] + np.where(over[low:high], 0.0, beta[behind[low:high]])
-            values[low:high] = value
-            states = near[low:high]
-            starts = np.flatnonzero(np.r_[True, states[1:] != states[:-1]])
+        cuts = np.append(0, np.cumsum(np.bincount(distance)[1:])).tolist() if n else [0]
+        for left, right in zip(cuts[:-1], cuts[1:]):
+            if left == right:
+                continue
+            low, high = begin[left], begin[right]
+            value = np.add(at[low:high], beta[behind[low:high]], out=values[low:high])
+            starts = begin[left:right] - low
             top = np.maximum.reduceat(value, starts)
-            spread = np.exp(value - np.repeat(top, np.diff(np.r_[starts, high - low])))
-            beta[states[starts]] = top + np.log(np.add.reduceat(spread, starts))
+            spread = value - np.repeat(top, many[left:right])
+            beta[near[left:right]] = top + np.log(np.add.reduceat(np.exp(spread, out=spread), starts))
         logp = np.zeros(len(source))
-        logp[by] = values - beta[near]
-        starts = np.flatnonzero(np.r_[True, source[1:] != source[:-1]]) if len(source) else np.empty(0, int)
-        count = np.diff(np.r_[starts, len(source)])
+        logp[by] = values - np.repeat(beta[near], many)
+        taken = np.flatnonzero(count)
+        starts, count = first[taken], count[taken]
         chance = np.exp(logp)
-        total = np.add.reduceat(chance, starts) if len(starts) else chance
-        # how much an edge takes off a path's log probability; nothing where there is no other
-        self.cost = np.maximum(-logp, 0.0)
-        self.cost[np.repeat(count == 1, count)] = 0.0
+        total = np.add.reduceat(chance, starts)
         running = np.cumsum(chance)
-        base = np.repeat(running[starts] - chance[starts], count) if len(starts) else running
-        self.upper = source + np.minimum((running - base) / np.repeat(total, count), 1.0)
-        self.upper[starts + count - 1] = source[starts] + 1.0
-        self.source, self.logp, self.piece = source, logp, piece
-        self.next = np.where(done, -1, target)
-        self.first = np.append(0, np.cumsum(np.bincount(source)))
-        return (bounds - sizes)[code]
+        upper = np.minimum((running - np.repeat(running[starts] - chance[starts], count)) / np.repeat(total, count), 1.0)
+        upper[starts + count - 1] = 1.0
+        self._put("root", self.words_kept, bounds - sizes + self.states)
+        self._put("first", self.states + 1, first[1:] + self.edges)
+        self._put("source", self.edges, source + self.states)
+        self._put("next", self.edges, np.where(done, -1, target + self.states))
+        for name, values in (("piece", piece), ("logp", logp), ("upper", upper)):
+            self._put(name, self.edges, values)
+        self.words_kept, self.states, self.edges = self.words_kept + len(words), self.states + len(first) - 1, self.edges + len(source)
+
+    def cost(self, edges: np.ndarray) -> np.ndarray:
+        """How much the edges take off a path's log probability; nothing where there is no other."""
+        return 0.0 - np.minimum(self.logp[edges], 0.0)
 
 
 def _running(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,7 +331,7 @@ def lattices(path: str, power: float) -> Lattices:
 
 def _part(x: np.ndarray, k: int, part) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(x + np.asarray(part).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
+        return mix(x + (np.asarray(part).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)))
 
 
 def _mixed(seed: np.ndarray, *parts) -> np.ndarray:
@@ -303,8 +414,9 @@ class _Text:
         else:
             place = low
         here = lat.source[old[0]]
-        free = [e for e in range(int(lat.first[here]), int(lat.first[here + 1])) if e not in old]
-        chance = [math.exp(lat.logp[e]) for e in free]
+        begin, end = lat.first[here : here + 2].tolist()
+        free = [e for e in range(begin, end) if e not in old]
+        chance = [math.exp(x) for e, x in enumerate(lat.logp[begin:end].tolist(), begin) if e not in old]
         goal, chosen = draws[1] * sum(chance), free[-1]
         for e, c in zip(free, chance):
             goal -= c
@@ -314,94 +426,113 @@ class _Text:
         rest = sum(c for e, c in zip(free, chance) if e != chosen)
         if rest > 0:
             self._keep(before + math.log(rest), value, draws[4], place, place + 1, before, 0.0, (*old, chosen), path)
-        return value, path, place, chosen, before - float(lat.cost[chosen])
+        return value, path, place, chosen, before - max(-float(lat.logp[chosen]), 0.0)
 
 
 def _walk(lat: Lattices, state: np.ndarray, unit: np.ndarray, seed: np.ndarray, depth: np.ndarray, round_: int):
     """Draw edges from the given states to the ends of their words; edges and units, in order of units."""
-    edges, units = [], []
-    step = 0
     active = np.flatnonzero(state >= 0)
-    state, unit, seed = state[active], unit[active], seed[active]
-    depth = depth[active]
+    active = active[np.argsort(state[active])]  # equal words together
+    state, drawn = state[active], _mixed(seed[active], 2 * round_ + 2, depth[active])
+    count = np.zeros(len(unit), np.int64)
+    found = []
+    for a in range(0, len(active), WALKED_AT_ONCE):
+        rows = active[a : a + WALKED_AT_ONCE]
+        steps = _steps(lat, state[a : a + WALKED_AT_ONCE], drawn[a : a + WALKED_AT_ONCE])
+        own = np.zeros(len(rows), np.int64)
+        for at, _ in steps:
+            own[at] += 1
+        count[rows] = own
+        found.append((rows, steps))
+    begin = np.cumsum(count) - count
+    edges = np.empty(int(count.sum()), np.int64)
+    for rows, steps in found:
+        place = begin[rows]
+        for step, (at, edge) in enumerate(steps):
+            edges[place[at] + step] = edge
+    return edges, np.repeat(unit, count)
+
+
+def _steps(lat: Lattices, state: np.ndarray, drawn: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Step by step, which of the states given are not at their words' ends yet, and the edges drawn from there."""
+    steps = []
     row = np.arange(len(state))
-    rows = []
-    drawn = _mixed(seed, 2 * round_ + 2, depth)
+    upper = lat.upper
     while len(state):
-        uniform = _unit(_part(drawn, 2, step))
-        aim, first, edge = state + uniform, lat.first[state], lat.first[state + 1] - 1
-        back = np.flatnonzero((edge > first) & (lat.upper[edge - 1] > aim))
+        aim = _unit(_part(drawn, 2, len(steps)))
+        first, edge = lat.first.take(state), lat.first.take(state + 1) - 1
+        back = np.flatnonzero((edge > first) & (upper.take(edge - 1) > aim))
+        own, low, goal = edge.take(back) - 1, first.take(back), aim.take(back)
         while len(back):  # from the longest piece, as a rule the likeliest, to the first one whose sum exceeds the draw
-            edge[back] -= 1
-            own = edge[back]
-            back = back[(own > first[back]) & (lat.upper[own - 1] > aim[back])]
-        edges.append(edge)
-        units.append(unit)
-        rows.append(row)
-        state = lat.next[edge]
-        on = state >= 0
-        state, unit, drawn, row = state[on], unit[on], drawn[on], row[on]
-        step += 1
-    if not edges:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    order = np.argsort(np.concatenate(rows), kind="stable")
-    return np.concatenate(edges)[order], np.concatenate(units)[order], np.concatenate(rows)[order]
+            edge[back] = own
+            on = np.flatnonzero((own > low) & (upper.take(own - 1) > goal))
+            back, own, low, goal = back.take(on), own.take(on) - 1, low.take(on), goal.take(on)
+        steps.append((row, edge))
+        state = lat.next.take(edge)
+        on = np.flatnonzero(state >= 0)
+        state, drawn, row = state.take(on), drawn.take(on), row.take(on)
+    return steps
 
 
 def sample_texts(lat: Lattices, texts: list[list[str]], seeds: np.ndarray, count: int) -> list[list[tuple]]:
-    """Per text up to ``count`` samples, from the largest perturbed value down: ids, log probability, value, inclusion."""
-    n = len(texts)
-    sizes = np.array([len(t) for t in texts])
+    """Per text, given its words, up to ``count`` samples: ids, log probability, value, inclusion."""
     root = lat.build([w for t in texts for w in t])
+    return sample_words(lat, np.array([len(t) for t in texts]), root, seeds, count)
+
+
+def sample_words(lat: Lattices, sizes: np.ndarray, root: np.ndarray, seeds: np.ndarray, count: int) -> list[list[tuple]]:
+    """Per text up to ``count`` samples, from the largest perturbed value down: ids, log probability, value, inclusion.
+
+    Texts are given by the number of words of each and the first states of all.
+    """
+    n = len(sizes)
     cut = np.r_[0, np.cumsum(sizes)]
     doc = np.repeat(np.arange(n), sizes)
     depth = np.arange(len(root)) - cut[doc]
-    edge, unit, _ = _walk(lat, root, np.arange(len(root)), seeds[doc], depth, 0)
-    ends = np.searchsorted(unit, cut)
-    value = -np.log(-np.log(_uniform(seeds, np.full(n, 0))))
-    cost = lat.cost[edge]
-    first = _uniform(seeds, 1, 5)
+    edge, unit = _walk(lat, root, np.arange(len(root)), seeds[doc], depth, 0)
+    ends = np.searchsorted(unit, cut).tolist()
+    value = (-np.log(-np.log(_uniform(seeds, np.full(n, 0))))).tolist()
+    cost = lat.cost(edge)
+    first = _uniform(seeds, 1, 5).tolist()
     books = []
     found = []
-    for d, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-        total, text = float(cost[a:b].sum()), _Text()
-        text.add(edge[a:b], unit[a:b], cost[a:b], total, 0, 0.0, float(value[d]), float(first[d]))
+    for a, b, v, u in zip(ends[:-1], ends[1:], value, first):
+        edges, costs, text = edge[a:b], cost[a:b], _Text()
+        total = float(costs.sum())
+        text.add(edges, unit[a:b], costs, total, 0, 0.0, v, u)
         books.append(text)
-        found.append([(edge[a:b], -total, value[d])])
+        found.append([(edges, -total, v)])
     for number in range(1, count):
-        more = np.array([d for d in range(n) if books[d].sets], np.int64)
-        if not len(more):
+        more = [d for d in range(n) if books[d].sets]
+        if not more:
             break
         draws = np.stack([_uniform(seeds[more], 1000 + number, k) for k in range(6)], axis=1).tolist()
-        taken = [books[d].open(lat, u) for d, u in zip(more.tolist(), draws)]
-        heads, head_units, from_unit = [], [], []
-        for d, (_, path, place, chosen, _) in zip(more.tolist(), taken):
-            edges, units, _ = books[d].paths[path]
-            heads.append(np.append(edges[:place], chosen))
-            head_units.append(units[: place + 1])
-            from_unit.append(int(units[place]))
-        state = lat.next[[t[3] for t in taken]]
+        taken = [books[d].open(lat, u) for d, u in zip(more, draws)]
+        left = np.array([books[d].paths[path][1][place] for d, (_, path, place, _, _) in zip(more, taken)])
         # the rest of the opened word, then the words behind it
-        behind = [np.arange(u + 1, cut[d + 1]) for d, u in zip(more.tolist(), from_unit)]
-        walk_unit = np.concatenate([x for u, b in zip(from_unit, behind) for x in ((u,), b)])
-        walk_state = np.concatenate([x for s, b in zip(state, behind) for x in ((s,), root[b])])
-        part = np.repeat(np.arange(len(more)), [len(b) + 1 for b in behind])
-        edge, unit, _ = _walk(lat, walk_state, walk_unit, seeds[more][part], walk_unit - cut[more][part], number)
-        cost = lat.cost[edge]
-        starts = np.searchsorted(unit, from_unit).tolist()
-        stops = np.searchsorted(unit, cut[more + 1]).tolist()
-        for k, (d, a, b) in enumerate(zip(more.tolist(), starts, stops)):
-            top, _, place, _, before = taken[k]
-            edges, units = np.concatenate((heads[k], edge[a:b])), np.concatenate((head_units[k], unit[a:b]))
-            total = float(cost[a:b].sum())
-            costs = np.concatenate((np.zeros(place + 1), cost[a:b]))  # those before are never asked for
-            books[d].add(edges, units, costs, total, place + 1, before, top, draws[k][5])
+        stop = cut[np.array(more) + 1]
+        long = stop - left
+        part = np.repeat(np.arange(len(more)), long)
+        heads = np.cumsum(long) - long
+        walk_unit = np.arange(len(part)) + np.repeat(left - heads, long)
+        walk_state = root[walk_unit]
+        walk_state[heads] = lat.next[[t[3] for t in taken]]
+        edge, unit = _walk(lat, walk_state, walk_unit, seeds[more][part], walk_unit - np.repeat(cut[more], long), number)
+        cost = lat.cost(edge)
+        starts, stops = np.searchsorted(unit, left).tolist(), np.searchsorted(unit, stop).tolist()
+        for d, a, b, (top, path, place, chosen, before), draw in zip(more, starts, stops, taken, draws):
+            old, units, _ = books[d].paths[path]
+            edges, units = np.concatenate((old[:place], (chosen,), edge[a:b])), np.concatenate((units[: place + 1], unit[a:b]))
+            costs = np.zeros(len(edges))  # those before are never asked for
+            costs[place + 1 :] = tail = cost[a:b]
+            total = float(tail.sum())
+            books[d].add(edges, units, costs, total, place + 1, before, top, draw[5])
             found[d].append((edges, before - total, top))
     out = []
     for d in range(n):
         top = books[d].best()
         out.append([
-            (lat.piece[e], float(lp), float(v), 1.0 if top == -math.inf else -math.expm1(-math.exp(min(lp - top, 700.0))))
+            (lat.piece[e], float(lp), v, 1.0 if top == -math.inf else -math.expm1(-math.exp(min(lp - top, 700.0))))
             for e, lp, v in found[d]
         ])
     return out
@@ -424,31 +555,31 @@ def sample_segmentations(
     schema += ", ids array<int>" if with_ids else ""
     columns = [f.split()[0] for f in schema.split(", ")]
 
-    def work(lat: Lattices, ids: list, texts: list, seeds: np.ndarray, words: list) -> pd.DataFrame:
+    def work(lat: Lattices, ids: list, texts: list, seeds: list) -> pd.DataFrame:
         rows = []
-        for doc_id, text, found in zip(ids, texts, sample_texts(lat, words, seeds, samples)):
-            for number, (pieces, log_prob, draw, inclusion) in enumerate(found, 1):
-                listed = pieces.tolist()
-                ok = lat.model.decode(listed) == (text or "").replace(SPACE, " ") if listed else not text
-                row = (doc_id, number, len(listed), round(log_prob, 9), round(draw, 9), float(f"{inclusion:.9g}"), zlib.crc32(pieces.astype("<u4").tobytes()), ok)
+        found = sample_words(lat, *lat.read(texts), np.array(seeds, np.int64).view(np.uint64), samples)
+        seen = [(text or "").replace(SPACE, " ") for text in texts]
+        same = iter(lat.decodes([s[0] for own in found for s in own], [text for text, own in zip(seen, found) for _ in own]))
+        for doc_id, own in zip(ids, found):
+            for number, (pieces, log_prob, draw, inclusion) in enumerate(own, 1):
+                row = (doc_id, number, len(pieces), round(log_prob, 9), round(draw, 9), float(f"{inclusion:.9g}"), zlib.crc32(pieces.astype("<u4").tobytes()), next(same))
                 rows.append((*row, pieces) if with_ids else row)
         return pd.DataFrame(rows, columns=columns)
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lat = lattices(model, power)
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        held: tuple[list, list, list] = ([], [], [])
         size = 0
         for batch in batches:
-            for doc_id, seed, text in zip(batch["doc_id"], batch["seed"], batch["text"]):
-                words = lat.split(text)
-                for part, value in zip(held, (doc_id, text, seed, words)):
+            for row in zip(batch["doc_id"], batch["text"], batch["seed"]):
+                for part, value in zip(held, row):
                     part.append(value)
-                size += len(words)
-                if size >= WORDS_AT_ONCE:
-                    yield work(lat, held[0], held[1], np.array(held[2], np.int64).view(np.uint64), held[3])
-                    held, size = ([], [], [], []), 0
+                size += len(row[1] or "")
+                if size >= TEXT_AT_ONCE:
+                    yield work(lat, *held)
+                    held, size = ([], [], []), 0
         if held[0]:
-            yield work(lat, held[0], held[1], np.array(held[2], np.int64).view(np.uint64), held[3])
+            yield work(lat, *held)
 
     seeded = docs.select(exact_id(), F.xxhash64("doc_id", "text").alias("seed"), "text")
     return plain_id(seeded.mapInPandas(sample, schema))

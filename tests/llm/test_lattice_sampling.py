@@ -111,3 +111,37 @@ def test_the_query_searches_over_several_rounds(spark, tmp_path):
     got = QUERIES["op9_lattice_sampling"](spark, str(tmp_path)).toPandas()
     assert sorted(got["sample"].value_counts().items()) == [(k, 20) for k in (1, 2, 3, 4)]
     assert got["decoded"].all() and (got.groupby("doc_id")["ids_crc32"].nunique() == 4).all()
+
+
+def test_words_are_built_once_over_several_lots(monkeypatch):
+    """Lattices at hand serve later texts; forgetting them changes no sample."""
+    lots = [["able to segment", "more words to segment"], ["able to segment words", "ü漢字 to"], ["able to segment", "ü漢字 to more"]]
+    seeds = np.arange(2, dtype=np.uint64) + np.uint64(77)
+
+    def run(lat):
+        found = [G.sample_texts(lat, [lat.split(t) for t in texts], seeds, 4) for texts in lots]
+        return [[(ids.tolist(), *rest) for ids, *rest in own] for lot in found for own in lot]
+
+    lat, made = G.Lattices(G.piece_bpe()), []
+    edges = lat._edges
+    monkeypatch.setattr(lat, "_edges", lambda ends, text: made.append(text) or edges(ends, text))
+    kept = run(lat)
+    words = {w for texts in lots for t in texts for w in lat.split(t)}
+    assert sum(map(len, made)) == sum(map(len, words))
+    monkeypatch.setattr(G, "BUILT_AT_ONCE", 2)
+    assert run(G.Lattices(G.piece_bpe())) == kept
+    monkeypatch.setattr(G, "KEPT_EDGES", 1)
+    assert run(G.Lattices(G.piece_bpe())) == kept
+
+
+def test_texts_are_read_and_decoded_as_one_by_one(lat):
+    for texts in ([*TEXTS, "\n\nx\n", "▁", "  "], ["a\0b c", *TEXTS]):
+        sizes, root = lat.read(texts)
+        assert sizes.tolist() == [len(lat.split(t)) for t in texts]
+        assert root.tolist() == lat.build([w for t in texts for w in lat.split(t)]).tolist()
+        found = G.sample_words(lat, sizes, root, np.arange(len(texts), dtype=np.uint64), 3)
+        samples = [s[0] for own in found for s in own]
+        for change in ("", "!"):
+            wanted = [(t or "").replace("▁", " ") + change for t, own in zip(texts, found) for _ in own]
+            assert lat.decodes(samples, wanted) == [lat.model.decode(s.tolist()) == w for s, w in zip(samples, wanted)] == [not change] * len(wanted)
+    assert lat.decodes([], []) == []
